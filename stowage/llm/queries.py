@@ -32,6 +32,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_table(_table(spark, sf_dir, "pages"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm import lm_score
+
+    return lm_score.scores(_table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm import url_filter
+
+    return url_filter.url_table(_table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowage.llm import mixing
 
