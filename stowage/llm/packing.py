@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm.common import Written
-from stowage.llm.tokenizing import WordIds
+from stowage.llm.tokenizing import word_ids
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -39,11 +39,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     def encode(batches):
         from pyspark import TaskContext
 
-        ids, met, task = WordIds(tokenizer), defaultdict(int), TaskContext.get().partitionId()
+        ids, met, task = word_ids(tokenizer), defaultdict(int), TaskContext.get().partitionId()
         closing = CLOSING_ID.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            texts = batch.column(1).to_pylist()
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                 packed = ids.text(text) + closing
                 for k, at in enumerate(range(0, len(packed), 4 * capacity)):
                     part = packed[at : at + 4 * capacity]

@@ -17,6 +17,7 @@ are none; repeated rows are counted alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,12 @@ class PieceCounts(dict):
         return n
 
 
+@cache
+def piece_counts(tokenizer: str) -> PieceCounts:
+    """The worker's own PieceCounts: tasks that share a Python worker share what it remembers."""
+    return PieceCounts(tokenizer)
+
+
 def cutter():
     """The pattern of the public byte-level tokenizers, which cuts a text into pre-tokens."""
     import public_tokenizers
@@ -207,7 +214,7 @@ def count_edits(docs: DataFrame, edits: Column, tokenizer: str = TOKENIZER) -> D
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        cut, counts = cutter(), PieceCounts(tokenizer)
+        cut, counts = cutter(), piece_counts(tokenizer)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text, changes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
