@@ -7,8 +7,8 @@ import re
 import struct
 from functools import cache
 
-#: Words that a worker remembers at most; then it starts anew.
-REMEMBERED = 400_000
+#: Words, and parts of words, that a worker remembers at most; then it starts anew.
+REMEMBERED, PARTS = 600_000, 1_000_000
 
 
 def load(tokenizer: str):
@@ -50,7 +50,7 @@ class WordIds(dict):
         if packed is None:
             packed = self._encode(text)
             if len(text) <= 64:
-                if len(self.parts) >= REMEMBERED:
+                if len(self.parts) >= PARTS:
                     self.parts.clear()
                 self.parts[text] = packed
         return packed
