@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,12 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 #: One or more of them, as a Java regular expression.
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+#: Files for each core of the cluster that a shuffled table is written to at most.
+FILES_A_CORE = 4
 #: Shuffle files are dropped as soon as the statement that made them has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows and bytes that go to a Python worker at once: texts are long, and each is held several times over.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,18 +45,36 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of each statement at its end, rather than when the driver collects garbage."""
+def prepare(spark: SparkSession) -> None:
+    """Give the executors this package, send them small batches, and let Spark drop a statement's shuffle files at its end rather than when the driver collects garbage."""
     spark.conf.set(_CLEANUP, "true")
+    for name, value in _BATCHES.items():
+        spark.conf.set(name, value)
+    context = spark.sparkContext
+    if getattr(context, "_stowage_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="stowage-")) / "stowage.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._stowage_shipped = True
 
 
 class Written:
-    """A DataFrame cut from its lineage: written once to the shared folder and read from there."""
+    """A DataFrame cut from its lineage: written once to the shared folder and read from there.
 
-    def __init__(self, df: DataFrame, name: str, codec: str = "zstd"):
+    What comes from a shuffle goes to a few files for each core, whatever the number of its partitions;
+    a task then takes one partition after the other. With `scan`, the tasks that scan write a file each.
+    """
+
+    def __init__(self, df: DataFrame, name: str, codec: str = "zstd", scan: bool = False):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
         schema = df.schema
+        if not scan:
+            df = df.coalesce(FILES_A_CORE * self.spark.sparkContext.defaultParallelism)
         df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 

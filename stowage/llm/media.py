@@ -210,7 +210,7 @@ def has_shared() -> Column:
 
 def store_media(docs: DataFrame) -> tuple[DataFrame, Written]:
     """Write the media of `docs`. The chunk lists of its rows, and the store."""
-    lists = Written(chunk_lists(docs), "chunk-lists").df
+    lists = Written(chunk_lists(docs), "chunk-lists", scan=True).df
     shared = _shared(lists)
     payloads = _distinct_payloads(docs).join(shared, "payload", "left")
     return lists, Written(_store(payloads), "media", codec="none")

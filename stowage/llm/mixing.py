@@ -76,7 +76,7 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     narrow = narrow.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")))
     narrow = narrow.withColumn("_slice", F.pmod("_hash", F.lit(SLICES)).cast("int"))
-    held = Written(narrow, "mix") if write else None
+    held = Written(narrow, "mix", scan=True) if write else None
     narrow = held.df if held else narrow
     slices = narrow.groupBy("source", "_slice").agg(F.sum("size").alias("_sum"))
     slices = Written(slices, "mix-slices").df

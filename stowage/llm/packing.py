@@ -139,7 +139,7 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """The pieces of all documents with the sequence and the offset that each takes."""
-    rows = Written(pieces(docs, capacity, tokenizer), "pieces").df
+    rows = Written(pieces(docs, capacity, tokenizer), "pieces", scan=True).df
     tally = Written(rows.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts").df
     counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs = np.array(sorted(plan_bins(counts, capacity)), dtype=np.int64).reshape(-1, 6)

@@ -153,7 +153,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 def verdicts(docs: DataFrame) -> DataFrame:
     """The digest columns, a row for each of `docs`."""
     narrow = with_features(docs.select("doc_id", "text")).drop("text")
-    rows = Written(narrow, "quality").df
+    rows = Written(narrow, "quality", scan=True).df
     p = fit(rows).posterior(votes())
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return rows.select(

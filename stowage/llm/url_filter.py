@@ -95,7 +95,7 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> D
     """page_id, host, path, rule and verdict, with the host's trust and distrust, a row for each of `pages`."""
     named = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    rows = Written(named.select("page_id", "host", "path", rule.alias("rule"), said.alias("_said")), "urls").df
+    rows = Written(named.select("page_id", "host", "path", rule.alias("rule"), said.alias("_said")), "urls", scan=True).df
     count = lambda verdict: F.sum(F.when(F.col("_said") == verdict, 1).otherwise(0))
     seeds = rows.where("host <> ''").groupBy("host").agg(count("allow").alias("allowed"), count("block").alias("blocked"))
     standing = propagate(host_edges(named.select("host", "html")), seeds)
