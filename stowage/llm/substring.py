@@ -9,12 +9,13 @@ windows mostly share theirs, so the suffixes that begin in them travel as one se
 anchor. Three steps:
 
 1. A scan gives the anchors, about one for eight words; those met once in the corpus are done with.
-2. Texts that hold others give their segments. A task sorts the suffixes of one anchor's segments;
+2. Texts that hold others give their segments. Of equal segments, all but the earliest are marked
+   whole, which is a sum and a join. A task sorts the suffixes of the others of one anchor;
    neighbours with 20 words in common hang on an internal node of their suffix tree at that depth or
-   deeper. Each such node keeps its earliest suffix and marks the others.
-   Anchors with more than HOT places would make groups of any size. Their prefix is lengthened to
-   the whole window instead, and as such groups can't be made smaller by any prefix, they are
-   summed up, to the earliest start, before they meet.
+   deeper. Each such node keeps its earliest suffix and marks the rest.
+   Anchors with more than HOT different segments would make groups of any size. Their prefix is
+   lengthened to the whole window instead, and as such groups can't be made smaller by any prefix,
+   they are summed up, to the earliest start, before they meet.
 3. Marked windows go back to their texts.
 
 Copies of a whole text are found by 128-bit hash beforehand: they need no suffixes.
@@ -39,12 +40,12 @@ from stowage.llm.common import Written
 
 #: Words of a window, and of an anchor.
 WINDOW, ANCHOR = 20, 6
-#: An anchor with more places than this goes by whole windows.
+#: An anchor with more different segments than this goes by whole windows.
 HOT = 4096
 #: Rows that a task gathers before it sorts the suffixes of the anchors that are complete.
 GATHERED = 20_000
 #: Words whose hash a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Odd multipliers of the two rolling hashes, and of the final mixing: the fixed values of SplitMix64 and XXH64.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -130,41 +131,37 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def _segments(found: DataFrame) -> DataFrame:
-    """Segments of texts (_order, _ref, text, pos, hot): key, ord, ref, start, body; and, with hot, key and key2 of whole windows."""
-    schema = "hot boolean, key long, key2 long, ord long, ref long, start int, body binary"
+    """key, content (a digest of body), ord, ref, start, n (windows) and body of the segments of texts (_order, _ref, text, pos)."""
+    schema = "key long, content binary, ord long, ref long, start int, n int, body binary"
 
     def run(batches):
+        from xxhash import xxh3_128_digest
+
         hashes = WordHashes()
         for batch in batches:
             out: list[tuple] = []
             held = 0
-            for order, ref, text, places, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for order, ref, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.split()
-                h = hashes.of(words)
-                runs, place = anchors_of(h)
-                wanted = np.zeros(len(runs), dtype=np.int8)
-                wanted[[p for p in places if p < len(runs)]] = 1
-                wanted[[p for p, x in zip(places, hot, strict=True) if x and p < len(runs)]] = 2
-                kind = wanted[place]
-                if (kind == 2).any():
-                    one, two = (_runs_hash(h, WINDOW, m).view(np.int64) for m in MULTIPLIERS)
-                    out += [(True, int(one[i]), int(two[i]), order, ref, int(i), None) for i in np.flatnonzero(kind == 2)]
+                runs, place = anchors_of(hashes.of(words))
+                wanted = np.zeros(len(runs), dtype=bool)
+                wanted[[p for p in places if p < len(runs)]] = True
                 # Consecutive windows with the same anchor are one segment.
                 first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
                 last = np.append(first[1:], len(place)) - 1
-                cold = kind[first] == 1
+                meet = wanted[place[first]]
                 keys = runs.view(np.int64)[place[first]]
-                for i, j, key in zip(first[cold].tolist(), last[cold].tolist(), keys[cold].tolist(), strict=True):
+                for i, j, key in zip(first[meet].tolist(), last[meet].tolist(), keys[meet].tolist(), strict=True):
                     body = b" ".join(words[i : j + WINDOW])
                     held += len(body)
-                    out.append((False, key, 0, order, ref, i, body))
-                if held > 8_000_000 or len(out) > 200_000:
+                    out.append((key, xxh3_128_digest(body), order, ref, i, j - i + 1, body))
+                if held > 4_000_000 or len(out) > 50_000:
                     yield _batch(schema, zip(*out, strict=True))
                     out, held = [], 0
             if out:
                 yield _batch(schema, zip(*out, strict=True))
 
-    return found.select("_order", "_ref", F.col("text").cast("binary"), "pos", "hot").mapInArrow(run, schema)
+    return found.select("_order", "_ref", F.col("text").cast("binary"), "pos").mapInArrow(run, schema)
 
 
 def repeats_in(segments: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
@@ -195,8 +192,8 @@ def repeats_in(segments: list[tuple[int, int, int, bytes]]) -> list[tuple[int, i
     return marked
 
 
-def _cold(segments: DataFrame) -> DataFrame:
-    """ref, start, n: runs of n marked windows."""
+def _cold(contents: DataFrame) -> DataFrame:
+    """ref, start, n: runs of n marked windows in segments (key, ord, ref, start, body) that differ from each other."""
     schema = "ref long, start int, n int"
 
     def marks(rows):
@@ -228,18 +225,48 @@ def _cold(segments: DataFrame) -> DataFrame:
         if runs := marks(held):
             yield _batch(schema, zip(*runs, strict=True))
 
-    rows = segments.where("not hot").select("key", "ord", "ref", "start", "body")
+    rows = contents.select("key", "ord", "ref", "start", "body")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
-def _hot(segments: DataFrame) -> DataFrame:
-    """The same for windows of hot anchors: all but the earliest of each. Sums come before rows meet; a skewed join splits."""
-    rows = segments.where("hot").select("key", "key2", "ord", "ref", "start")
-    first = rows.groupBy("key", "key2").agg(F.min(F.struct("ord", "ref", "start")).alias("first"))
-    met = rows.join(first, ["key", "key2"]).where(F.struct("ord", "ref", "start") > F.col("first"))
+def _hot(contents: DataFrame) -> DataFrame:
+    """The same by whole windows: all but the earliest of each. Sums come before rows meet; a skewed join splits."""
+    schema = "one long, two long, ord long, ref long, start int"
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            out: list[tuple] = []
+            for order, ref, start, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = hashes.of(body.split())
+                one, two = (_runs_hash(h, WINDOW, m).view(np.int64).tolist() for m in MULTIPLIERS)
+                out += [(x, y, order, ref, start + k) for k, (x, y) in enumerate(zip(one, two, strict=True))]
+            if out:
+                yield _batch(schema, zip(*out, strict=True))
+
+    rows = contents.select("ord", "ref", "start", "body").mapInArrow(run, schema)
+    first = rows.groupBy("one", "two").agg(F.min(F.struct("ord", "ref", "start")).alias("first"))
+    met = rows.join(first, ["one", "two"]).where(F.struct("ord", "ref", "start") > F.col("first"))
     return met.select("ref", "start", F.lit(1).alias("n"))
 
 
+def _marks(segments: DataFrame) -> DataFrame:
+    """ref, start, n: runs of n windows that also start earlier, from all segments.
+
+    Segments with equal content have equal windows, so all but the earliest are marked as a whole,
+    and only the earliest of each content is compared with others.
+    """
+    contents = segments.groupBy("content").agg(F.min(F.struct("ord", "ref", "start")).alias("first"), F.first("key").alias("key"), F.first("body").alias("body"))
+    contents = Written(contents, "segment-contents").df
+    later = segments.select("content", "ord", "ref", "start", "n").join(contents.select("content", "first"), "content")
+    later = later.where(F.struct("ord", "ref", "start") > F.col("first")).select("ref", "start", "n")
+    flat = contents.select("key", "first.*", "body")
+    hot = Written(flat.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > HOT).select("key"), "substring-hot").df
+    if hot.isEmpty():
+        return later.union(_cold(flat))
+    return later.union(_cold(flat.join(hot, "key", "left_anti"))).union(_hot(flat.join(hot, "key", "left_semi")))
+
+
 def _referred(docs: DataFrame) -> DataFrame:
     """`docs` with _ref, a hash of doc_id and text, and _order."""
     return docs.withColumns({"_ref": F.xxhash64(F.col("doc_id"), F.col("text")), "_order": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))})
@@ -249,19 +276,19 @@ def marked_windows(docs: DataFrame) -> DataFrame:
     """ref, runs (an array of start, n) of marked windows, and copy (the whole text also stands earlier), for the documents that have any."""
     rows = _referred(docs.select("doc_id", "text"))
     twice = (F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("copy"), "text").alias("t2"))
-    narrow = Written(rows.select("_ref", "_order", *twice), "substring-texts").df
+    narrow = Written(rows.select("_ref", "_order", *twice), "substring-texts", scan=True).df
     first = narrow.groupBy("t1", "t2").agg(F.min("_order").alias("_first"))
     copies = Written(narrow.join(first, ["t1", "t2"]).where("_order > _first").select(F.col("_ref").alias("ref")).distinct(), "substring-copies").df
 
-    anchors = Written(_anchor_rows(rows), "anchors")
-    met = anchors.df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", (F.col("n") > HOT).alias("hot"))
-    places = anchors.df.join(met, "key").groupBy("ref").agg(F.collect_list("pos").alias("pos"), F.collect_list("hot").alias("hot"))
+    anchors = Written(_anchor_rows(rows), "anchors", scan=True)
+    met = anchors.df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    places = anchors.df.join(met, "key").groupBy("ref").agg(F.collect_list("pos").alias("pos"))
     places = Written(places.join(copies, "ref", "left_anti"), "substring-places").df
     anchors.drop()
 
-    found = rows.join(places, rows["_ref"] == places["ref"]).select("_order", "_ref", "text", "pos", "hot")
+    found = rows.join(places, rows["_ref"] == places["ref"]).select("_order", "_ref", "text", "pos")
     segments = Written(_segments(found), "segments")
-    marks = Written(_cold(segments.df).union(_hot(segments.df)), "substring-marks").df
+    marks = Written(_marks(segments.df), "substring-marks").df
     segments.drop()
     runs = marks.groupBy("ref").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return runs.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("runs", F.lit(None)).withColumn("copy", F.lit(True)).select("ref", "runs", "copy"))
