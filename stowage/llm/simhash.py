@@ -11,6 +11,13 @@ all pairs; components come from alternating large and small stars over those lin
 A bucket above TILE rows is dealt over tasks in tiles, each pair of tiles to one of them, which covers
 all pairs exactly. Copies of a text cost one fingerprint. Only fingerprints move, never texts.
 
+near_duplicates() is that, with 64 bits. Four bits of 64 stand for a similarity far above 0.8, though:
+texts that share 80 % of their shingles differ in ten. keep_one(), which drops near copies from a
+corpus, therefore takes shingles of five words, fingerprints of 256 bits and the radius at which 0.8
+lies well inside; unrelated texts differ in 128 bits. No pair of blocks agrees surely at such a radius;
+buckets are random samples of the bits there, as many as find a pair at 0.8 with the probability
+FOUND, and as wide as the number of fingerprints asks for.
+
 Defined results: null and empty texts have fingerprint zero, which links like any other; repeated rows
 get equal results; a component of rows without doc_id has no component_id; an empty table gives an
 empty result; other columns are ignored, or passed through by keep_one().
@@ -18,6 +25,7 @@ empty result; other columns are ignored, or passed through by keep_one().
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -33,13 +41,26 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints of a bucket that one task compares at once.
 TILE = 16_384
+#: keep_one(): words of a shingle, 64-bit words of a fingerprint, the radius, and the probability with which buckets find a pair at similarity 0.8.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, FOUND = 5, 4, 43, 0.96
+#: Share of bits in which texts of similarity 0.8 agree: 1 - acos(2s / (1+s)) / pi.
+AGREE = 0.848
 #: Hash values whose bits are unpacked at a time, rows gathered before their buckets are compared, comparisons (of one with 64) held at a time.
 UNPACKED, GATHERED, HELD = 200_000, 200_000, 400_000
 
 
-def _fingerprints(hashes: list[np.ndarray], shingles: int) -> np.ndarray:
-    """The fingerprint of each array of shingle hashes; zero for an empty one."""
-    out = np.zeros(len(hashes), dtype=np.uint64)
+def _remixed(h: np.ndarray, word: int) -> np.ndarray:
+    """The hash values from which word `word` of a fingerprint is summed; word 0 takes them as they are."""
+    if word:
+        h = (h ^ np.uint64(word * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(29))
+    return h
+
+
+def _fingerprints(hashes: list[np.ndarray], shingles: int = UNPACKED, words: int = 1) -> np.ndarray:
+    """The fingerprint, `words` 64-bit words, of each array of shingle hashes; zero for an empty one."""
+    out = np.zeros((len(hashes), words), dtype=np.uint64)
     at = 0
     while at < len(hashes):
         stop, n = at, 0
@@ -50,13 +71,15 @@ def _fingerprints(hashes: list[np.ndarray], shingles: int) -> np.ndarray:
         if full:
             sizes = np.array([len(hashes[k]) for k in full])
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            one = np.concatenate([hashes[k] for k in full]).astype("<u8")
-            ones = np.zeros((len(full), 64), dtype=np.int64)
-            for part in range(0, len(one), shingles):  # more than one only for a very long text
-                bits = np.unpackbits(one[part : part + shingles].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones += np.add.reduceat(bits, starts, axis=0, dtype=np.int32) if len(one) <= shingles else bits.sum(axis=0, dtype=np.int64)
-            majority = (2 * ones > sizes[:, None]).astype(np.uint8)
-            out[full] = np.packbits(majority, axis=1, bitorder="little").view("<u8").reshape(-1)
+            every = np.concatenate([hashes[k] for k in full])
+            for word in range(words):
+                one = _remixed(every, word).astype("<u8")
+                ones = np.zeros((len(full), 64), dtype=np.int64)
+                for part in range(0, len(one), shingles):  # more than one only for a very long text
+                    bits = np.unpackbits(one[part : part + shingles].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    ones += np.add.reduceat(bits, starts, axis=0, dtype=np.int32) if len(one) <= shingles else bits.sum(axis=0, dtype=np.int64)
+                majority = (2 * ones > sizes[:, None]).astype(np.uint8)
+                out[full, word] = np.packbits(majority, axis=1, bitorder="little").view("<u8").reshape(-1)
         at = stop
     return out
 
@@ -77,15 +100,21 @@ def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(starts))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed number), a row for each of `docs`."""
+def _names(words: int) -> list[str]:
+    return [f"f{k}" for k in range(words)]
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id and the words f0, f1, ... of the fingerprint (64 bits each, as signed numbers), a row for each of `docs`."""
+    schema = "doc_id long" + "".join(f", {n} long" for n in _names(words))
 
     def run(batches):
         for batch in batches:
-            hashes = [shingle_hashes(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_fingerprints(hashes, UNPACKED).view(np.int64))], ["doc_id", "fingerprint"])
+            hashes = [shingle_hashes(x, shingle) for x in batch.column(1).to_pylist()]
+            found = _fingerprints(hashes, words=words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(words))], ["doc_id", *_names(words)])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def bucket_keys(fingerprint: Column) -> Column:
@@ -98,46 +127,48 @@ def bucket_keys(fingerprint: Column) -> Column:
 
 def _planes(fps: np.ndarray, starts: np.ndarray, lane: np.ndarray) -> np.ndarray:
     """Plane b of each run of at most 64 fingerprints: bit l is bit b of the run's fingerprint l."""
-    out = np.empty((len(starts), 64), dtype=np.uint64)
-    for b in range(64):
-        out[:, b] = np.add.reduceat(((fps >> np.uint64(b)) & np.uint64(1)) << lane, starts)
+    words = fps.shape[1]
+    out = np.empty((64 * words, len(starts)), dtype=np.uint64)
+    for b in range(64 * words):
+        out[b] = np.add.reduceat(((fps[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << lane, starts)
     return out
 
 
-def within_radius(fps: np.ndarray, planes: np.ndarray, valid: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """For fingerprint k and plane set k: which have matches, and the 64 lanes within the radius as bits.
+def within_radius(fps: np.ndarray, row: np.ndarray, planes: np.ndarray, run: np.ndarray, valid: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the comparisons of fingerprint row[k] with plane set run[k] have matches, and the lanes within the radius as bits.
 
-    Counters of three bits and a flag for eight and more; `radius` is at most 6.
+    Counters are as many words as the radius has bits; what passes beyond them is kept as a flag.
     """
-    if not 0 <= radius <= 6:
-        raise ValueError("radius must be from 0 to 6")
-    live = np.arange(len(fps))
-    c0, c1, c2, over = (np.zeros(len(fps), dtype=np.uint64) for _ in range(4))
-    flip = lambda b: np.uint64(0) - ((fps >> np.uint64(b)) & np.uint64(1))
-    for b in range(0, 64, 2):
-        x, y = planes[:, b] ^ flip(b), planes[:, b + 1] ^ flip(b + 1)
-        half = c0 ^ x
-        carry = (c0 & x) | (half & y)
-        c0 = half ^ y
-        twos = c1 & carry
-        c1 = c1 ^ carry
-        over |= c2 & twos
-        c2 = c2 ^ twos
-        if b % 8 == 6:
-            at_least = over | _above(c0, c1, c2, radius)
-            alive = ~at_least & valid
+    live = np.arange(len(row))
+    counter = [np.zeros(len(row), dtype=np.uint64) for _ in range(max(2, radius.bit_length()))]
+    over = np.zeros(len(row), dtype=np.uint64)
+    bits = len(planes)
+    for b in range(0, bits, 2):
+        x, y = (planes[k][run] ^ (np.uint64(0) - ((fps[row, k // 64] >> np.uint64(k % 64)) & np.uint64(1))) for k in (b, b + 1))
+        half = counter[0] ^ x
+        carry = (counter[0] & x) | (half & y)
+        counter[0] = half ^ y
+        for k in range(1, len(counter)):
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+        over |= carry
+        if b % 16 == 14:
+            alive = ~(over | _above(counter, radius)) & valid[run]
             some = alive != 0
-            if b == 62 or np.count_nonzero(some) < 0.8 * len(some):
-                live, fps, planes, valid, c0, c1, c2, over, alive = (v[some] for v in (live, fps, planes, valid, c0, c1, c2, over, alive))
+            if b == bits - 2 or np.count_nonzero(some) < 0.8 * len(some):
+                live, row, run, over, alive, *counter = (v[some] for v in (live, row, run, over, alive, *counter))
     return live, alive
 
 
-def _above(c0: np.ndarray, c1: np.ndarray, c2: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose counter, three bits, is above the radius."""
-    out = np.zeros_like(c0)
-    for n in range(radius + 1, 8):
-        out |= (c0 if n & 1 else ~c0) & (c1 if n & 2 else ~c1) & (c2 if n & 4 else ~c2)
-    return out
+def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter is above the radius, compared from the highest bit down."""
+    more, same = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
+    for k in range(len(counter) - 1, -1, -1):
+        if radius >> k & 1:
+            same = same & counter[k]
+        else:
+            more |= same & counter[k]
+            same = same & ~counter[k]
+    return more
 
 
 def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -156,23 +187,21 @@ def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = nearer
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within each bucket; rows of a bucket stand together."""
-    n = len(keys)
+def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between nodes within each bucket; rows of a bucket stand together."""
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    size = np.diff(np.append(first, n))
+    size = np.diff(np.append(first, len(keys)))
     keep = np.repeat(size > 1, size)
-    keys, fps = keys[keep], fps[keep]
+    keys, nodes, fps = keys[keep], nodes[keep], fps[keep]
     n = len(keys)
     if not n:
-        return fps, fps
+        return nodes, nodes
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.append(first, n))
     place = np.arange(n) - np.repeat(first, size)
     starts = np.flatnonzero(place % 64 == 0)
     length = np.diff(np.append(starts, n))
-    lane = (place % 64).astype(np.uint64)
-    planes = _planes(fps, starts, lane)
+    planes = _planes(fps, starts, (place % 64).astype(np.uint64))
     valid = np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - length).astype(np.uint64)
     own = np.repeat(np.arange(len(starts)), length)  # plane set of each row
     last = np.repeat(np.searchsorted(starts, first + size) - 1, size)  # last plane set of its bucket
@@ -187,7 +216,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndar
         sets = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count) + own[rows]
         for part in range(0, len(rows), HELD):  # more than one only where one row has so many
             r, s = rows[part : part + HELD], sets[part : part + HELD]
-            live, alive = within_radius(fps[r], planes[s], valid[s])
+            live, alive = within_radius(fps, r, planes, s, valid, radius)
             r, s = r[live], s[live]
             while len(r):
                 low = alive & (~alive + np.uint64(1))
@@ -197,44 +226,64 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndar
                 r, s, alive = r[more], s[more], alive[more]
         row = stop
     linked = np.flatnonzero(labels != np.arange(n))
-    return fps[linked], fps[labels[linked]]
+    return nodes[linked], nodes[labels[linked]]
+
 
+def sampled_keys(fps: DataFrame, bits: int, words: int) -> DataFrame:
+    """`fps` (node, f0, ...) with a `key` for each of the random samples of `bits` bits that FOUND asks for."""
+    tables = math.ceil(math.log(1 - FOUND) / math.log(1 - AGREE**bits))
+    rng = np.random.Generator(np.random.PCG64(SEED))
+    samples = [np.sort(rng.choice(64 * words, bits, replace=False)) for _ in range(tables)]
+    names = ["key", "node", *_names(words)]
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links u, v between distinct fingerprints that connect all that are within the radius of each other."""
-    rows = fps.select("fingerprint", F.explode(bucket_keys(F.col("fingerprint"))).alias("key"))
+    def run(batches):
+        for batch in batches:
+            f = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(words)])
+            for t, sample in enumerate(samples):
+                key = np.zeros(f.shape[1], dtype=np.uint64)
+                for b in sample:
+                    key = (key << np.uint64(1)) | ((f[b // 64] >> np.uint64(b % 64)) & np.uint64(1))
+                key = (np.uint64(t) << np.uint64(bits)) | key
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names)
+
+    return fps.select("node", *_names(words)).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def links(rows: DataFrame, words: int = 1, radius: int = RADIUS) -> DataFrame:
+    """Links u, v that connect all nodes of a bucket within the radius of each other, from rows (key, node, f0, ...)."""
+    f = _names(words)
     hot = Written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE), "simhash-hot").df
     if hot.isEmpty():
         rows = rows.withColumn("tiles", F.lit(0))
     else:
         tiles = hot.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("_t"))
         rows = rows.join(tiles, "key", "left").withColumn("_t", F.coalesce("_t", F.lit(1)))
-        mine = F.pmod(F.xxhash64("fingerprint", F.lit("tile")), F.col("_t")).cast("int")
+        mine = F.pmod(F.xxhash64("node", F.lit("tile")), F.col("_t")).cast("int")
         other = F.explode(F.transform(F.sequence(F.lit(0), F.col("_t") - 1), lambda t: F.least(t, mine) * F.col("_t") + F.greatest(t, mine)))
-        rows = rows.select("key", "fingerprint", other.alias("tiles"))
+        rows = rows.select("key", "node", *f, other.alias("tiles"))
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         rest = 0
 
-        def compare(keys, fps):
-            u, v = bucket_links(keys, fps.view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+        def compare(x):
+            u, v = bucket_links(x[0] * np.int64(1 << 16) + x[1], x[2], np.ascontiguousarray(x[3:].T).view(np.uint64), radius)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for batch in batches:
-            key, tile, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
-            held.append((key * np.int64(1 << 20) + tile, fp.astype(np.int64)))
-            rest += len(key)
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            rest += batch.num_rows
             if rest >= GATHERED:
-                keys, fps = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-                whole = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
+                x = np.concatenate(held, axis=1)
+                ends = np.flatnonzero((x[0] != x[0, -1]) | (x[1] != x[1, -1]))
+                whole = int(ends[-1]) + 1 if len(ends) else 0
                 if whole:
-                    yield compare(keys[:whole], fps[:whole])
-                held, rest = [(keys[whole:], fps[whole:])], len(keys) - whole
+                    yield compare(x[:, :whole])
+                held, rest = [x[:, whole:]], x.shape[1] - whole
         if rest:
-            yield compare(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+            yield compare(np.concatenate(held, axis=1))
 
-    dealt = rows.select("key", "tiles", "fingerprint").repartition("key", "tiles").sortWithinPartitions("key", "tiles")
+    dealt = rows.select("key", "tiles", "node", *f).repartition("key", "tiles").sortWithinPartitions("key", "tiles")
     return dealt.mapInArrow(run, "u long, v long").where("u <> v").distinct()
 
 
@@ -264,21 +313,36 @@ def components(edges: DataFrame) -> DataFrame:
     return now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _classes(rows: DataFrame, keyed: DataFrame, words: int, radius: int) -> DataFrame:
+    """node and component_id, the least doc_id of its component, from rows (doc_id, node) and keyed fingerprints."""
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
+    stars = components(links(keyed, words, radius))
+    rooted = Written(least.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "fingerprint-roots").df
+    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, a row for each of `docs`."""
-    rows = Written(fingerprints(docs), "fingerprints").df
-    fps = Written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "fingerprint-ids").df
-    stars = components(links(fps))
-    rooted = fps.join(stars.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    rooted = Written(rooted, "fingerprint-roots").df
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = rooted.join(least, "root").select("fingerprint", "component_id")
-    return rows.join(known, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = Written(fingerprints(docs), "fingerprints", scan=True).df.withColumn("node", F.col("f0"))
+    fps = Written(rows.select("node", "f0").distinct(), "fingerprints-distinct").df
+    keyed = fps.select(F.explode(bucket_keys(F.col("f0"))).alias("key"), "node", "f0")
+    known = _classes(rows, keyed, 1, RADIUS)
+    return rows.join(known, "node").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id by 256-bit fingerprints, for shingles with a similarity of 0.8 or more, a row for each of `docs`."""
+    f = _names(WIDE_WORDS)
+    rows = Written(fingerprints(docs, WIDE_SHINGLE, WIDE_WORDS), "fingerprints-wide", scan=True).df.withColumn("node", F.xxhash64(*f))
+    fps = Written(rows.select("node", *f).dropDuplicates(["node"]), "fingerprints-wide-distinct").df
+    bits = min(40, max(14, fps.count().bit_length() - 2))
+    known = _classes(rows, sampled_keys(fps, bits, WIDE_WORDS), WIDE_WORDS, WIDE_RADIUS)
+    return rows.join(known, "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay: of each component the document with the least doc_id, once."""
-    stay = near_duplicates(docs).select(F.col("component_id").alias("_stay")).distinct()
+    """The rows of `docs` that stay: of each group of near copies the document with the least doc_id, once."""
+    stay = near_copies(docs).select(F.col("component_id").alias("_stay")).distinct()
     rows = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
     return rows.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
