@@ -64,7 +64,8 @@ def _due(u: Column, rank: Column) -> Column:
         whole = (a + b) / 2
         t = u if a == b else (F.sqrt(F.greatest(a * a + 2 * (b - a) * u * whole, F.lit(0.0))) - a) / (b - a)
         out = F.when(rank % len(SCHEDULES) == k, t) if out is None else out.when(rank % len(SCHEDULES) == k, t)
-    return F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
+    out = out.otherwise(F.lit(None))
+    return F.when(out <= 0, 0.0).when(out >= 1, 1.0).otherwise(out)
 
 
 def plan(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", keep: tuple[str, ...] = (), write: bool = True) -> DataFrame:
@@ -74,7 +75,8 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     is taken if its middle is within the target: the sum is within half a document of the target.
     """
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    narrow = narrow.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")))
+    digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15)
+    narrow = narrow.withColumn("_hash", F.conv(digits, 16, 10).cast("long"))
     narrow = narrow.withColumn("_slice", F.pmod("_hash", F.lit(SLICES)).cast("int"))
     held = Written(narrow, "mix", scan=True) if write else None
     narrow = held.df if held else narrow

@@ -79,5 +79,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
+#: The six blanks that separate words, as a RE2 class of all other characters.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_WARC = """WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM p),
+d AS (SELECT *, CAST(from_hex(h) AS BIT)::VARCHAR AS bits FROM f)
+SELECT page_id, octet_length(b) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, CAST(5 * k + 1 AS INTEGER), 1) AS INTEGER) + 8 * CAST(substr(bits, CAST(5 * k + 2 AS INTEGER), 1) AS INTEGER) + 4 * CAST(substr(bits, CAST(5 * k + 3 AS INTEGER), 1) AS INTEGER) + 2 * CAST(substr(bits, CAST(5 * k + 4 AS INTEGER), 1) AS INTEGER) + CAST(substr(bits, CAST(5 * k + 5 AS INTEGER), 1) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+  url, CASE WHEN page_id = first THEN octet_length(b) ELSE 0 END AS stored_bytes FROM d"""
+
+_MIX = f"""WITH n AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM n GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
+w AS (SELECT *, CAST(1 + rank % 3 AS DOUBLE) AS weight FROM r),
+l AS (SELECT *, 3.0::DOUBLE * source_size AS full_size, (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT *, CASE WHEN level * weight > full_size THEN full_size ELSE least(first(level) OVER (ORDER BY level * weight > full_size, source_size / weight, rank) * weight, full_size) END AS target FROM l),
+p AS (SELECT n.doc_id, n.size, t.source_size, t.target, t.rank, CAST(coalesce(sum(n.size) OVER (PARTITION BY n.source ORDER BY n.h % 4096, n.h, n.doc_id, n.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CASE WHEN size > 0 THEN CAST(start + size / 2 <= target AS INTEGER) + CAST(start + size / 2 + source_size <= target AS INTEGER) + CAST(start + size / 2 + 2 * source_size <= target AS INTEGER) ELSE 0 END AS copies,
+  least(start / greatest(target, 1e-9), 1.0) AS u FROM p),
+x AS (SELECT *, CASE rank % 3 WHEN 0 THEN u WHEN 1 THEN (sqrt(greatest(2.25 + 2 * (0.5 - 1.5) * u * 1.0, 0.0)) - 1.5) / (0.5 - 1.5) ELSE (sqrt(greatest(0.25 + 2 * (1.5 - 0.5) * u * 1.0, 0.0)) - 0.5) / (1.5 - 0.5) END AS due FROM c)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, copies * size AS taken, CASE WHEN copies > 0 THEN CASE WHEN due <= 0 THEN 0.0::DOUBLE WHEN due >= 1 THEN 1.0::DOUBLE ELSE due::DOUBLE END END AS position FROM x"""
+
+_REPEATS = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+k AS (SELECT doc_id, len(w) AS n_words, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, w FROM d),
+o AS (SELECT doc_id, i, word, CASE WHEN i + 19 <= n_words THEN array_to_string(w[i : i + 19], ' ') END AS win FROM k),
+f AS (SELECT doc_id, i, word, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM o),
+g AS (SELECT doc_id, i, word, max(CAST(again AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+a AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(a.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(a.kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": _WARC, "op6_mixing": _MIX, "op9_substring": _REPEATS}

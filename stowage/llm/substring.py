@@ -307,7 +307,7 @@ def _removal(words: list[bytes], runs, copy: bool | None) -> np.ndarray:
 
 def _with_marks(docs: DataFrame) -> DataFrame:
     marks = marked_windows(docs)
-    return _referred(docs).join(marks.withColumnRenamed("ref", "_ref"), "_ref", "left")
+    return _referred(docs).join(marks.select(F.col("ref").alias("_ref"), F.col("runs").alias("_runs"), F.col("copy").alias("_copy")), "_ref", "left")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def removals(docs: DataFrame) -> DataFrame:
                 yield _batch(schema, zip(*out, strict=True))
 
     joined = _with_marks(docs.select(F.col("doc_id").cast("long"), "text"))
-    return joined.select("doc_id", F.col("text").cast("binary"), "runs", "copy").mapInArrow(run, schema)
+    return joined.select("doc_id", F.col("text").cast("binary"), "_runs", "_copy").mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[3:]], ["text", *batch.schema.names[3:]])
 
     rest = [c for c in columns if c != "text"]
-    joined = _with_marks(docs).select(F.col("text").cast("string"), "runs", "copy", *rest)
+    joined = _with_marks(docs).select(F.col("text").cast("string"), "_runs", "_copy", *rest)
     kept = joined.mapInArrow(run, "text string" + "".join(f", `{c}` {schema[c].dataType.simpleString()}" for c in rest))
     if "n_chars" in rest:
         kept = kept.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
