@@ -676,3 +676,37 @@ def _(r):
 def _(r):
     staged = r.docs.where("doc_id % 4 = 0").select("path", F.when(F.col("doc_id") % 12 == 0, "D").otherwise("M").alias("status"))
     return staged.where("status <> 'D'").select("path")
+
+
+# Snapshots ------------------------------------------------------------------------------------------------------
+
+
+def _snapshots(r: Relations):
+    """Both revisions, written to a folder that all executors share."""
+    import tempfile
+    import uuid
+
+    from stowage.plans.snapshots import Snapshots
+
+    root = r.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stowage-')}"
+    found = Snapshots(r.spark, f"{root.rstrip('/')}/snapshots-{uuid.uuid4().hex}")
+    found.write(r.prev, "prev")
+    found.write(r.cur, "cur")
+    return found
+
+
+@_query("o_s3_all_shards", "SELECT path, hash FROM cur", "cur")
+def _(r):
+    return _snapshots(r).read("cur")
+
+
+@_query("o_s6_revision", "SELECT path, hash FROM prev WHERE split_part(path, '/', 1) IN ('src2', 'src4')", "prev")
+def _(r):
+    return _snapshots(r).read("prev", ["src2", "src4"])
+
+
+@_query("o_w2_changed_shards", "SELECT path, hash FROM cur WHERE split_part(path, '/', 1) = 'src2' UNION ALL SELECT path, hash FROM prev WHERE split_part(path, '/', 1) <> 'src2'", "cur", "prev")
+def _(r):
+    found = _snapshots(r)
+    found.write_changed("prev", r.cur, "next", ["src2"])
+    return found.read("next")
