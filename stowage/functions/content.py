@@ -7,6 +7,7 @@ import gzip
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType
 
 #: A file is compressed if the first SAMPLE bytes shrink below WORTH of their size.
 SAMPLE, WORTH = 256 * 1024, 0.9
@@ -34,18 +35,18 @@ def split(content: Column, chunk_size: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), chunk)).otherwise(F.array().cast("array<struct<chunk_index:int,content:binary>>"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def gzip_compress(content: pd.Series) -> pd.Series:
     """Gzip without name and time, so that equal contents give equal bytes."""
     return content.map(lambda x: None if x is None else gzip.compress(bytes(x), 5, mtime=0))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def gzip_decompress(content: pd.Series) -> pd.Series:
     return content.map(lambda x: None if x is None else gzip.decompress(bytes(x)))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _shrinks(sample: pd.Series) -> pd.Series:
     return sample.map(lambda x: bool(x) and len(gzip.compress(bytes(x), 1)) < WORTH * len(x))
 

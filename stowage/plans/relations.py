@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.session import ship
+
 PREFIX = "p"
 CHUNK_CHARS = 2000
 #: The present, for everything that expires: 2024-01-15T00:00:00Z.
@@ -26,6 +28,7 @@ class Relations:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        ship(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")

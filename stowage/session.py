@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,6 +28,20 @@ def local_session(cores: int | str = 8, app: str = "stowage", **conf: str) -> Sp
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_stowage_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="stowage-")) / "stowage.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._stowage_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables; `root` may be any path Spark can read."""
     return spark.read.parquet(f"{root}/{name}.parquet")
