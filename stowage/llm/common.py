@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.session import ship
+
 #: The six ASCII white-space characters that end a word: blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 #: One or more of them, as a Java regular expression.
 BLANK_RUN = r"[\x20\x09-\x0D]+"
-#: Files for each core of the cluster that a shuffled table is written to at most.
-FILES_A_CORE = 4
+#: A shuffled table is written to so many files for each core of the cluster, or to a file for so many partitions, whichever gives more files.
+FILES_A_CORE, PARTITIONS_A_FILE = 4, 8
 #: Shuffle files are dropped as soon as the statement that made them has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes that go to a Python worker at once: texts are long, and each is held several times over.
@@ -50,23 +50,14 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set(_CLEANUP, "true")
     for name, value in _BATCHES.items():
         spark.conf.set(name, value)
-    context = spark.sparkContext
-    if getattr(context, "_stowage_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="stowage-")) / "stowage.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._stowage_shipped = True
+    ship(spark)
 
 
 class Written:
     """A DataFrame cut from its lineage: written once to the shared folder and read from there.
 
-    What comes from a shuffle goes to a few files for each core, whatever the number of its partitions;
-    a task then takes one partition after the other. With `scan`, the tasks that scan write a file each.
+    What comes from a shuffle goes to fewer files than it has partitions; a task then takes one
+    partition after the other. With `scan`, the tasks that scan write a file each.
     """
 
     def __init__(self, df: DataFrame, name: str, codec: str = "zstd", scan: bool = False):
@@ -74,7 +65,8 @@ class Written:
         self.path = new_path(self.spark, name)
         schema = df.schema
         if not scan:
-            df = df.coalesce(FILES_A_CORE * self.spark.sparkContext.defaultParallelism)
+            partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df = df.coalesce(max(FILES_A_CORE * self.spark.sparkContext.defaultParallelism, partitions // PARTITIONS_A_FILE))
         df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
