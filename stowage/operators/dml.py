@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import globs, keys
@@ -70,3 +70,40 @@ def first_and_more(rows: DataFrame, order: str, n: int = 10) -> DataFrame:
     """The first n rows, with how many more there are."""
     total = rows.agg(F.count(F.lit(1)).alias("_all"))
     return rows.orderBy(order).limit(n).join(F.broadcast(total)).withColumn("more", F.greatest(F.col("_all") - n, F.lit(0))).drop("_all")
+
+
+def split_block(lines: DataFrame, start: str, end: str) -> DataFrame:
+    """ord, line and section (before, block, after) of a file with a marked block; the markers are in no section.
+
+    A block without an end is none: its start marker goes, and all lines are before.
+    """
+    marks = lines.agg(F.min(F.when(F.col("line") == start, F.col("ord"))).alias("_start"))
+    begun = lines.join(F.broadcast(marks))
+    ends = begun.agg(F.min(F.when((F.col("line") == end) & (F.col("ord") > F.col("_start")), F.col("ord"))).alias("_end"))
+    rows = begun.join(F.broadcast(ends))
+    section = F.when(F.col("_end").isNull() | (F.col("ord") < F.col("_start")), "before").when(F.col("ord") < F.col("_end"), "block").otherwise("after")
+    marker = F.coalesce(F.col("ord") == F.col("_start"), F.lit(False)) | F.coalesce(F.col("ord") == F.col("_end"), F.lit(False))
+    return rows.where(~marker).select("ord", "line", section.alias("section"))
+
+
+def claim(claims: DataFrame, bases: DataFrame, now: float) -> DataFrame:
+    """Claims (base, claimed_at) after these bases are claimed, or claimed again."""
+    return upsert(claims.select("base", "claimed_at"), bases.select("base", F.lit(now).alias("claimed_at")).distinct(), "base")
+
+
+def release(claims: DataFrame, bases: DataFrame, now: float, seconds: float) -> DataFrame:
+    """Claims after these bases are released; what has expired goes too."""
+    return claims.join(bases, "base", "left_anti").where(F.col("claimed_at") >= now - seconds).select("base", "claimed_at")
+
+
+def publish(manifest: DataFrame, uploads: DataFrame) -> DataFrame:
+    """The manifest after uploads (path, hash, landed: a row for each chunk): an entry changes when all of its chunks have landed."""
+    done = uploads.groupBy("path", "hash").agg(F.min("landed").alias("all_landed")).where("all_landed").select("path", "hash")
+    return upsert(manifest.select("path", "hash"), done)
+
+
+def ignore_pattern(spec: Column, is_dir: Column, is_file: Column) -> Column:
+    """The ignore entry for what a user tracks: a directory with a slash at its end, a file escaped, a pattern as it is."""
+    plain = F.regexp_replace(spec, "/+$", "")
+    globbed = spec.rlike(r"[*?\[]")
+    return F.when(is_dir, F.concat(F.lit("/"), keys.escape_ignore(plain), F.lit("/"))).when(is_file | ~globbed, F.concat(F.lit("/"), keys.escape_ignore(plain))).otherwise(F.concat(F.lit("/"), plain))

@@ -710,3 +710,165 @@ def _(r):
     found = _snapshots(r)
     found.write_changed("prev", r.cur, "next", ["src2"])
     return found.read("next")
+
+
+# The rest of the inventory ---------------------------------------------------------------------------------------
+
+
+@_query("o_s7_commit_range", "SELECT CAST(event_id AS BIGINT) AS ord, md5(CAST(event_id AS VARCHAR)) AS sha FROM events WHERE event_id > 100 AND event_id <= 700 ORDER BY ord")
+def _(r):
+    commits = r.table("events").select(F.col("event_id").cast("long").alias("ord"), F.md5(F.col("event_id").cast("string")).alias("sha"))
+    return commits.where((F.col("ord") > 100) & (F.col("ord") <= 700)).orderBy("ord")
+
+
+@_query("o_s10_cache_scan", "SELECT path, hash, size, mtime, inode, timestamp FROM cache", "cache")
+def _(r):
+    return r.cache
+
+
+@_query("o_s11_claims_scan", "SELECT base, claimed_at FROM claims", "claims")
+def _(r):
+    return r.claims
+
+
+@_query("o_s14_lfs_patterns", "SELECT '/' || path AS pattern FROM docs WHERE doc_id % 3 = 0", "docs")
+def _(r):
+    rest = F.when(F.col("doc_id") % 3 == 0, "  filter=lfs diff=lfs -text").otherwise(" text=auto")
+    return dml.lfs_patterns(r.docs.select(F.concat(F.lit("/"), "path", rest).alias("value")))
+
+
+_FILE = "SELECT doc_id AS ord, CASE doc_id WHEN 30 THEN '# begin' WHEN 70 THEN '# end' ELSE path END AS line FROM docs"
+
+
+@_query(
+    "o_s15_marked_block",
+    "SELECT ord, line, CASE WHEN ord < 30 THEN 'before' WHEN ord < 70 THEN 'block' ELSE 'after' END AS section FROM lines WHERE line NOT IN ('# begin', '# end')",
+    "docs", lines=_FILE,
+)
+def _(r):
+    line = F.when(F.col("doc_id") == 30, "# begin").when(F.col("doc_id") == 70, "# end").otherwise(F.col("path"))
+    return dml.split_block(r.docs.select(F.col("doc_id").alias("ord"), line.alias("line")), "# begin", "# end")
+
+
+@_query("o_w8_forget", "SELECT path, hash FROM cache WHERE path NOT IN (SELECT path FROM disk)", "cache", "disk")
+def _(r):
+    return dml.forget(r.cache.select("path", "hash"), r.disk)
+
+
+@_query(
+    "o_w10_claim_release",
+    f"SELECT base, claimed_at FROM (SELECT base, max(claimed_at) AS claimed_at FROM claims WHERE base NOT IN (SELECT base FROM mine) GROUP BY base UNION ALL SELECT base, {NOW} FROM mine) WHERE claimed_at >= {NOW} - 1000000 AND base NOT IN (SELECT base FROM mine WHERE doc_id % 14 = 0)",
+    "claims", "cur", mine="SELECT DISTINCT 'p/assets/' || hash || '/' || path AS base, doc_id FROM cur WHERE doc_id % 7 = 0",
+)
+def _(r):
+    bases = r.cur.where("doc_id % 7 = 0").select(keys.asset_key(PREFIX, "hash", "path").alias("base"), "doc_id")
+    latest = r.claims.groupBy("base").agg(F.max("claimed_at").alias("claimed_at"))
+    return dml.release(dml.claim(latest, bases, NOW), bases.where("doc_id % 14 = 0"), NOW, 1_000_000)
+
+
+@_query(
+    "o_w13_publish",
+    "SELECT path, hash FROM done UNION ALL SELECT path, hash FROM cur WHERE path NOT IN (SELECT path FROM done)",
+    "cur", "theirs", done="SELECT path, hash FROM theirs WHERE n_chars > 0 AND (n_chars <= 2000 OR doc_id % 5 <> 1)",
+)
+def _(r):
+    n = F.ceil(F.col("n_chars") / 2000).cast("int")
+    parts = r.theirs.where("n_chars > 0").select("path", "hash", "doc_id", "n_chars", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    landed = ~((F.col("n_chars") > 2000) & (F.col("doc_id") % 5 == 1) & (F.col("k") == 1))
+    return dml.publish(r.cur, parts.select("path", "hash", landed.alias("landed")))
+
+
+@_query(
+    "o_w19_add_lines",
+    "SELECT CAST(row_number() OVER (ORDER BY part, ord) AS INTEGER) AS ord, line FROM (SELECT line, min(part) AS part, min_by(ord, part * 1000000000 + ord) AS ord FROM (SELECT 0 AS part, doc_id AS ord, '/' || path AS line FROM cur UNION ALL SELECT 1, doc_id, '/' || path FROM theirs) GROUP BY line)",
+    "cur", "theirs",
+)
+def _(r):
+    return dml.add_lines(_lines(r.cur), _lines(r.theirs))
+
+
+@_query(
+    "o_w23_checkout",
+    "SELECT c.path, c.hash FROM cur c LEFT JOIN disk d USING (path) WHERE starts_with(c.path, 'src3/') AND c.hash IS DISTINCT FROM d.hash",
+    "cur", "disk",
+)
+def _(r):
+    return diff.needs_download(globs.select(r.cur.select("path", "hash"), "src3"), r.disk).where("action = 'download'").select("path", "hash")
+
+
+@_query("o_w24_track", "SELECT d.path, d.hash FROM disk d LEFT JOIN cur c USING (path) WHERE regexp_full_match(d.path, 'src4/(.*/)?[^/]*') AND d.hash IS DISTINCT FROM c.hash", "disk", "cur")
+def _(r):
+    return diff.needs_upload(r.disk.where(globs.matches("path", "src4/**/*") & ~keys.is_internal("path")), r.cur)
+
+
+@_query("o_p2_filesystem_path", "SELECT page_id, CASE WHEN path <> '' AND NOT starts_with(path, '/') AND NOT ends_with(path, '/') AND NOT starts_with(path, '..') AND NOT contains(path, '/..') AND NOT contains(path, chr(92)) THEN '/work/' || path END AS place FROM paths", paths=_URL_PATH)
+def _(r):
+    return _url_paths(r).select("page_id", F.when(keys.is_valid_key("path"), F.concat(F.lit("/work/"), "path")).alias("place"))
+
+
+@_query("o_p14_cache_hit", "SELECT f.path, f.size IS NOT DISTINCT FROM k.size AND f.mtime IS NOT DISTINCT FROM k.mtime AND f.inode IS NOT DISTINCT FROM k.inode AS hit FROM files f JOIN cache k USING (path)", "files", "cache")
+def _(r):
+    return diff.cached_hash(r.files, r.cache, trust_racy=True).join(r.cache.select("path"), "path").select("path", "hit")
+
+
+@_query(
+    "o_p20_ignore_pattern",
+    "SELECT path, CASE WHEN doc_id % 3 = 0 THEN '/' || path || '/' WHEN doc_id % 3 = 1 THEN '/' || path ELSE '/' || path || '*' END AS entry FROM docs",
+    "docs",
+)
+def _(r):
+    spec = F.when(F.col("doc_id") % 3 == 2, F.concat("path", F.lit("*"))).when(F.col("doc_id") % 3 == 0, F.concat("path", F.lit("/"))).otherwise(F.col("path"))
+    return r.docs.select("path", dml.ignore_pattern(spec, F.col("doc_id") % 3 == 0, F.col("doc_id") % 3 == 1).alias("entry"))
+
+
+@_query("o_p23_precedence", "SELECT doc_id, coalesce(given, stored, 'default') AS value FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang END AS given, CASE WHEN doc_id % 2 = 0 THEN source END AS stored FROM documents)")
+def _(r):
+    given, stored = F.when(F.col("doc_id") % 3 == 0, F.col("lang")), F.when(F.col("doc_id") % 2 == 0, F.col("source"))
+    return r.docs.select("doc_id", F.coalesce(given, stored, F.lit("default")).alias("value"))
+
+
+@_query("o_p25_reachable_entries", "SELECT path FROM cur WHERE split_part(path, '/', 1) IN ('src1', 'src3') OR NOT contains(path, '/')", "cur")
+def _(r):
+    return r.cur.select("path").where(keys.shard_for("path").isin(profile.reachable_shards(CONE)))
+
+
+@_query("o_a10_lfs_bytes", "SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM docs WHERE doc_id % 3 = 0", "docs")
+def _(r):
+    return r.docs.where("doc_id % 3 = 0").agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+
+
+@_query("o_a16_distinct_pairs", "SELECT path, hash FROM cur UNION SELECT path, hash FROM prev UNION SELECT path, hash FROM theirs", "cur", "prev", "theirs")
+def _(r):
+    pair = lambda df: df.select("path", "hash")
+    return pair(r.cur).union(pair(r.prev)).union(pair(r.theirs)).distinct()
+
+
+@_query(
+    "o_t4_hidden_limit",
+    "SELECT path FROM disk WHERE split_part(path, '/', 1) IN (SELECT split_part(path, '/', 1) FROM cur) AND path NOT IN (SELECT path FROM cur) ORDER BY path LIMIT 20",
+    "disk", "cur",
+)
+def _(r):
+    directories = r.cur.select(keys.shard_for("path").alias("directory")).distinct()
+    return diff.hidden(r.disk, directories, r.cur, limit=20)
+
+
+@_query("o_t5_chunk_order", "SELECT manifest_key, list(chunk_index ORDER BY chunk_index)::VARCHAR AS chunks FROM chunks GROUP BY manifest_key", "chunks")
+def _(r):
+    ordered = F.array_sort(F.collect_list("chunk_index"))
+    return r.chunks.groupBy("manifest_key").agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x.cast("string")), ", "), F.lit("]")).alias("chunks"))
+
+
+@_query("o_u6_key_union", "SELECT path FROM cur UNION SELECT path FROM prev UNION SELECT path FROM theirs", "cur", "prev", "theirs")
+def _(r):
+    return r.cur.select("path").union(r.prev.select("path")).union(r.theirs.select("path")).distinct()
+
+
+@_query("o_u7_unknown_keys", "SELECT path FROM theirs EXCEPT SELECT path FROM cur", "theirs", "cur")
+def _(r):
+    return r.theirs.select("path").subtract(r.cur.select("path"))
+
+
+@_query("o_u8_scan_union", f"SELECT path FROM cur WHERE {_IN_CONE('path')} UNION SELECT path FROM prev WHERE path NOT IN (SELECT path FROM cur)", "cur", "prev")
+def _(r):
+    return profile.inside(r.cur.select("path"), CONE).union(diff.dropped(r.prev, r.cur).select("path")).distinct()
