@@ -301,14 +301,16 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = (state["n"], state["h"])
         both = now.df.union(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join deals the links anew and a root with very many of them can be split there.
+        sums = Written(both.groupBy("u").agg(F.min("v").alias("m")), "stars-least")
+        least = sums.df.select("u", F.least("u", "m").alias("m"))
         large = Written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
         least = large.df.groupBy("u").agg(F.min("v").alias("m"))
         small = large.df.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         new = Written(small.distinct(), "stars")
-        large.drop()
-        now.drop()
+        for old in (sums, large, now):
+            old.drop()
         now = new
     return now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
 

@@ -281,7 +281,8 @@ def marked_windows(docs: DataFrame) -> DataFrame:
     copies = Written(narrow.join(first, ["t1", "t2"]).where("_order > _first").select(F.col("_ref").alias("ref")).distinct(), "substring-copies").df
 
     anchors = Written(_anchor_rows(rows), "anchors", scan=True)
-    met = anchors.df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Written, so that the join deals the anchors anew and a skewed key can be split there.
+    met = Written(anchors.df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "substring-met").df
     places = anchors.df.join(met, "key").groupBy("ref").agg(F.collect_list("pos").alias("pos"))
     places = Written(places.join(copies, "ref", "left_anti"), "substring-places").df
     anchors.drop()
