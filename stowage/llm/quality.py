@@ -161,7 +161,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
         *[F.col(f"_q_{n}").alias(n) for n in names],
         base_failed().alias("base_failed"),
         (~base_failed() & (p >= KEEP_AT)).alias("kept"),
-        p.alias("p_good"),
+        F.round(p, 6).alias("p_good"),
     )
 
 

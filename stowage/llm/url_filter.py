@@ -100,6 +100,8 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> D
     seeds = rows.where("host <> ''").groupBy("host").agg(count("allow").alias("allowed"), count("block").alias("blocked"))
     standing = propagate(host_edges(named.select("host", "html")), seeds)
     standing = Written(standing, "host-standing").df
+    # Rounded, so that the order of sums can't decide where both are equal.
+    standing = standing.select("host", *[F.round(c, 9).alias(c) for c in ("trust", "distrust")])
     block = F.col("distrust") > F.col("trust") * threshold
     verdict = F.coalesce("_said", F.when(block, "block"), F.lit("allow"))
     return rows.join(standing, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
