@@ -150,3 +150,14 @@ def changed_pairs(tips: DataFrame, base: DataFrame) -> DataFrame:
 def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+
+
+def changed_since(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path and changed: whether a file's stat (size, mtime, inode) differs between two looks, or the file is gone."""
+    stat = lambda df, name: df.select("path", F.struct("size", "mtime", "inode").alias(name))
+    return stat(before, "_was").join(stat(after, "_is"), "path", "left").select("path", (~F.col("_was").eqNullSafe(F.col("_is"))).alias("changed"))
+
+
+def recent(files: DataFrame, since: float) -> DataFrame:
+    """Files that changed after a time: what an incremental scan has to look at."""
+    return files.where(F.col("mtime") > since)

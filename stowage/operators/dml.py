@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.functions import globs, keys
+from stowage.functions import content, globs, keys
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
@@ -107,3 +107,14 @@ def ignore_pattern(spec: Column, is_dir: Column, is_file: Column) -> Column:
     plain = F.regexp_replace(spec, "/+$", "")
     globbed = spec.rlike(r"[*?\[]")
     return F.when(is_dir, F.concat(F.lit("/"), keys.escape_ignore(plain), F.lit("/"))).when(is_file | ~globbed, F.concat(F.lit("/"), keys.escape_ignore(plain))).otherwise(F.concat(F.lit("/"), plain))
+
+
+def lfs_import(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """path and pointer of the files (path, content) that patterns of an attributes file name: a pointer must be replaced by its content before it is tracked.
+
+    A pattern without a slash holds at any depth.
+    """
+    hit = F.lit(False)
+    for pattern in patterns:
+        hit = hit | globs.matches("path", pattern if "/" in pattern else f"**/{pattern}")
+    return files.where(hit).select("path", content.is_lfs_pointer(F.col("content")).alias("pointer"))

@@ -872,3 +872,30 @@ def _(r):
 @_query("o_u8_scan_union", f"SELECT path FROM cur WHERE {_IN_CONE('path')} UNION SELECT path FROM prev WHERE path NOT IN (SELECT path FROM cur)", "cur", "prev")
 def _(r):
     return profile.inside(r.cur.select("path"), CONE).union(diff.dropped(r.prev, r.cur).select("path")).distinct()
+
+
+@_query(
+    "o_w15_download",
+    "SELECT manifest_key AS path, sha256(string_agg(text, '' ORDER BY chunk_index)) = sha256(string_agg(text, '' ORDER BY chunk_index) || CASE WHEN CAST(manifest_key AS BIGINT) % 5 = 0 THEN '!' ELSE '' END) AS whole FROM chunks GROUP BY manifest_key",
+    "chunks",
+)
+def _(r):
+    files = store.reassemble(r.chunks).select(F.col("manifest_key").alias("path"), "content")
+    spoiled = F.when(F.col("path").cast("long") % 5 == 0, F.concat("content", F.lit(b"!"))).otherwise(F.col("content"))
+    good, bad = store.verify(files, files.select("path", F.sha2(spoiled, 256).alias("hash")))
+    return good.select("path", F.lit(True).alias("whole")).union(bad.select("path", F.lit(False)))
+
+
+@_query("o_w18_lfs_import", "SELECT path, starts_with(content, 'version https://git-lfs.github.com/spec/v1') AS pointer FROM files WHERE regexp_full_match(path, 'src1/(.*/)?[^/]*[.]txt') OR ends_with(path, '7.txt')", "files")
+def _(r):
+    return dml.lfs_import(r.files, ["src1/**/*.txt", "*7.txt"])
+
+
+@_query("o_p16_stat_changed", "SELECT k.path, f.path IS NULL OR f.size IS DISTINCT FROM k.size OR f.mtime IS DISTINCT FROM k.mtime OR f.inode IS DISTINCT FROM k.inode AS changed FROM cache k LEFT JOIN files f USING (path)", "cache", "files")
+def _(r):
+    return diff.changed_since(r.cache, r.files)
+
+
+@_query("o_r2_incremental", "SELECT path FROM files WHERE mtime > 1700010000.0 AND path NOT IN (SELECT path FROM cur)", "files", "cur")
+def _(r):
+    return diff.recent(r.files, 1_700_010_000.0).select("path").join(r.cur, "path", "left_anti")
