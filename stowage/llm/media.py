@@ -126,6 +126,7 @@ def _shared(lists: DataFrame) -> DataFrame:
     chunks = lists.select("payload", "digests").dropDuplicates(["payload"]).select("payload", F.posexplode("digests").alias("place", "digest"))
     chunks = Written(chunks, "chunks")
     owners = chunks.df.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("payload", "place")).alias("owner")).where("n > 1").select("digest", "owner")
+    owners = Written(owners, "chunk-owners").df
     met = chunks.df.join(owners, "digest").withColumn("mine", F.struct("payload", "place") == F.col("owner"))
     found = met.groupBy("payload").agg(F.collect_list(F.when(F.col("mine"), F.col("place"))).alias("given"), F.collect_list(F.when(~F.col("mine"), F.col("place"))).alias("taken"))
     found = Written(found, "chunks-shared").df

@@ -320,7 +320,8 @@ def _classes(rows: DataFrame, keyed: DataFrame, words: int, radius: int) -> Data
     least = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
     stars = components(links(keyed, words, radius))
     rooted = Written(least.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "fingerprint-roots").df
-    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+    least = Written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "fingerprint-least").df
+    return Written(rooted.join(least, "root").select("node", "component_id"), "fingerprint-classes").df
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

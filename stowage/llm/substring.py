@@ -245,7 +245,7 @@ def _hot(contents: DataFrame) -> DataFrame:
                 yield _batch(schema, zip(*out, strict=True))
 
     rows = contents.select("ord", "ref", "start", "body").mapInArrow(run, schema)
-    first = rows.groupBy("one", "two").agg(F.min(F.struct("ord", "ref", "start")).alias("first"))
+    first = Written(rows.groupBy("one", "two").agg(F.min(F.struct("ord", "ref", "start")).alias("first")), "substring-first").df
     met = rows.join(first, ["one", "two"]).where(F.struct("ord", "ref", "start") > F.col("first"))
     return met.select("ref", "start", F.lit(1).alias("n"))
 
@@ -277,7 +277,8 @@ def marked_windows(docs: DataFrame) -> DataFrame:
     rows = _referred(docs.select("doc_id", "text"))
     twice = (F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("copy"), "text").alias("t2"))
     narrow = Written(rows.select("_ref", "_order", *twice), "substring-texts", scan=True).df
-    first = narrow.groupBy("t1", "t2").agg(F.min("_order").alias("_first"))
+    first = narrow.groupBy("t1", "t2").agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    first = Written(first, "substring-equal").df
     copies = Written(narrow.join(first, ["t1", "t2"]).where("_order > _first").select(F.col("_ref").alias("ref")).distinct(), "substring-copies").df
 
     anchors = Written(_anchor_rows(rows), "anchors", scan=True)

@@ -128,8 +128,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    first = rows.groupBy("digest").agg(F.max("page_id").alias("first"))
-    rows = rows.join(first, "digest")
+    # Written, so that the join deals the pages anew and a payload with very many of them can be split there.
+    equal = rows.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = rows.join(Written(equal, "warc-equal").df, "digest", "left")
     revisit = (F.length("payload") >= least) & F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
     rows = rows.select("page_id", "url", "payload", "first", revisit.alias("revisit"))
 
