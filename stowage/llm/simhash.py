@@ -13,13 +13,18 @@ all pairs exactly. Copies of a text cost one fingerprint. Only fingerprints move
 
 near_duplicates() is that, with 64 bits. Four bits of 64 stand for a similarity far above 0.8, though:
 texts that share 80 % of their shingles differ in ten. keep_one(), which drops near copies from a
-corpus, therefore takes shingles of five words, fingerprints of 256 bits and the radius at which 0.8
-lies well inside; unrelated texts differ in 128 bits. No pair of blocks agrees surely at such a radius;
-buckets are random samples of the bits there, as many as find a pair at 0.8 with the probability
-FOUND, and as wide as the number of fingerprints asks for.
-
-Defined results: null and empty texts have fingerprint zero, which links like any other; repeated rows
-get equal results; a component of rows without doc_id has no component_id; an empty table gives an
+corpus, therefore takes the sets of shingles of five words, and links texts whose sets have a Jaccard
+similarity of SIMILAR or more, counted exactly. Fingerprints of 256 bits only find the candidates: at
+0.8 they differ in 39 bits with a deviation of 6, in WIDE_RADIUS or fewer all but surely; unrelated
+texts differ in 128. No pair of blocks agrees surely at such a radius; buckets are random samples of
+the bits there, as many as find a pair at 0.8 with the probability FOUND over all its distances, and
+as wide as the number of fingerprints asks for. A forest of candidates won't do, as a candidate that
+falls short may be all that joins two that don't; but nodes that are known to be connected need no
+further link. So forests at the CLOSE radii are verified first, and then all candidates between nodes
+that these leave apart.
+
+Defined results: null and empty texts have fingerprint zero, which links like any other, and in
+keep_one() the empty set of shingles, which is similar to itself only; repeated rows get equal results; a component of rows without doc_id has no component_id; an empty table gives an
 empty result; other columns are ignored, or passed through by keep_one().
 """
 
@@ -41,8 +46,12 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints of a bucket that one task compares at once.
 TILE = 16_384
-#: keep_one(): words of a shingle, 64-bit words of a fingerprint, the radius, and the probability with which buckets find a pair at similarity 0.8.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, FOUND = 5, 4, 43, 0.96
+#: keep_one(): the least similarity, as a fraction, that links.
+SIMILAR = (4, 5)
+#: keep_one(): words of a shingle, 64-bit words of a fingerprint, the radius of candidates, and the probability with which a pair at similarity 0.8 is one.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, FOUND = 5, 4, 60, 0.99
+#: Radii of the forests that are verified first, and the number of samples of bits they take.
+CLOSE, CLOSE_TABLES = (12, 24, 36), 12
 #: Share of bits in which texts of similarity 0.8 agree: 1 - acos(2s / (1+s)) / pi.
 AGREE = 0.848
 #: Hash values whose bits are unpacked at a time, rows gathered before their buckets are compared, comparisons (of one with 64) held at a time.
@@ -187,15 +196,18 @@ def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = nearer
 
 
-def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between nodes within each bucket; rows of a bucket stand together."""
+def _shared(keys: np.ndarray) -> np.ndarray:
+    """Whether a row's bucket has other rows; rows of a bucket stand together."""
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.append(first, len(keys)))
-    keep = np.repeat(size > 1, size)
-    keys, nodes, fps = keys[keep], nodes[keep], fps[keep]
+    return np.repeat(size > 1, size)
+
+
+def _matches(keys: np.ndarray, fps: np.ndarray, radius: int):
+    """Rows a and b of the same bucket within the radius, some at a time; each pair comes once or twice, and each row with itself."""
     n = len(keys)
     if not n:
-        return nodes, nodes
+        return
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.append(first, n))
     place = np.arange(n) - np.repeat(first, size)
@@ -207,7 +219,6 @@ def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: i
     last = np.repeat(np.searchsorted(starts, first + size) - 1, size)  # last plane set of its bucket
     each = last - own + 1
     upto = np.cumsum(each)
-    labels = np.arange(n)
     row = 0
     while row < n:
         stop = max(row + 1, int(np.searchsorted(upto, (upto[row - 1] if row else 0) + HELD, side="right")))
@@ -220,21 +231,58 @@ def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: i
             r, s = r[live], s[live]
             while len(r):
                 low = alive & (~alive + np.uint64(1))
-                _union(labels, r, starts[s] + np.log2(low.astype(np.float64)).astype(np.int64))
+                yield r, starts[s] + np.log2(low.astype(np.float64)).astype(np.int64)
                 alive = alive ^ low
                 more = alive != 0
                 r, s, alive = r[more], s[more], alive[more]
         row = stop
-    linked = np.flatnonzero(labels != np.arange(n))
+
+
+def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between nodes within each bucket; rows of a bucket stand together."""
+    keep = _shared(keys)
+    keys, nodes, fps = keys[keep], nodes[keep], fps[keep]
+    labels = np.arange(len(keys))
+    for a, b in _matches(keys, fps, radius):
+        _union(labels, a, b)
+    linked = np.flatnonzero(labels != np.arange(len(keys)))
     return nodes[linked], nodes[labels[linked]]
 
 
-def sampled_keys(fps: DataFrame, bits: int, words: int) -> DataFrame:
-    """`fps` (node, f0, ...) with a `key` for each of the random samples of `bits` bits that FOUND asks for."""
-    tables = math.ceil(math.log(1 - FOUND) / math.log(1 - AGREE**bits))
+def bucket_pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, labels: np.ndarray, radius: int):
+    """All links within each bucket between nodes of different labels, some at a time; the greater node comes first."""
+    keep = _shared(keys)
+    keys, nodes, fps, labels = keys[keep], nodes[keep], fps[keep], labels[keep]
+    for a, b in _matches(keys, fps, radius):
+        apart = (b > a) & (labels[a] != labels[b])
+        u, v = nodes[a[apart]], nodes[b[apart]]
+        if len(u):
+            yield np.maximum(u, v), np.minimum(u, v)
+
+
+def found(bits: int, tables: int, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS) -> float:
+    """The probability that a pair at similarity 0.8 is within the radius and meets in one of `tables` samples of `bits` bits."""
+    n = 64 * words
+    meets = lambda d: 1 - (1 - math.comb(n - d, bits) / math.comb(n, bits)) ** tables
+    return sum(math.comb(n, d) * (1 - AGREE) ** d * AGREE ** (n - d) * meets(d) for d in range(radius + 1))
+
+
+def tables_for(bits: int) -> int:
+    """The least number of samples of `bits` bits that find a pair at similarity 0.8 with the probability FOUND."""
+    low, high = 0, 1
+    while found(bits, high) < FOUND:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if found(bits, mid) >= FOUND else (mid, high)
+    return high
+
+
+def sampled_keys(fps: DataFrame, bits: int, words: int, tables: int) -> DataFrame:
+    """`fps` (node, f0, ..., and a label if there is one) with a `key` for each of `tables` random samples of `bits` bits."""
     rng = np.random.Generator(np.random.PCG64(SEED))
     samples = [np.sort(rng.choice(64 * words, bits, replace=False)) for _ in range(tables)]
-    names = ["key", "node", *_names(words)]
+    names = ["key", *fps.columns]
 
     def run(batches):
         for batch in batches:
@@ -246,12 +294,18 @@ def sampled_keys(fps: DataFrame, bits: int, words: int) -> DataFrame:
                 key = (np.uint64(t) << np.uint64(bits)) | key
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names)
 
-    return fps.select("node", *_names(words)).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return fps.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def links(rows: DataFrame, words: int = 1, radius: int = RADIUS) -> DataFrame:
-    """Links u, v that connect all nodes of a bucket within the radius of each other, from rows (key, node, f0, ...)."""
+def links(rows: DataFrame, words: int = 1, radii: tuple[int, ...] = (RADIUS,)) -> DataFrame:
+    """Links u, v that connect all nodes of a bucket within each radius of each other, from rows (key, node, f0, ...).
+
+    Where rows have a label too, all links between nodes of different labels instead.
+    """
     f = _names(words)
+    labelled = "label" in rows.columns
+    if labelled:
+        f = [*f, "label"]
     hot = Written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE), "simhash-hot").df
     if hot.isEmpty():
         rows = rows.withColumn("tiles", F.lit(0))
@@ -267,8 +321,10 @@ def links(rows: DataFrame, words: int = 1, radius: int = RADIUS) -> DataFrame:
         rest = 0
 
         def compare(x):
-            u, v = bucket_links(x[0] * np.int64(1 << 16) + x[1], x[2], np.ascontiguousarray(x[3:].T).view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            keys, fps = x[0] * np.int64(1 << 16) + x[1], np.ascontiguousarray(x[3 : 3 + words].T).view(np.uint64)
+            for radius in radii:
+                for u, v in bucket_pairs(keys, x[2], fps, x[-1], radius) if labelled else [bucket_links(keys, x[2], fps, radius)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
@@ -278,10 +334,10 @@ def links(rows: DataFrame, words: int = 1, radius: int = RADIUS) -> DataFrame:
                 ends = np.flatnonzero((x[0] != x[0, -1]) | (x[1] != x[1, -1]))
                 whole = int(ends[-1]) + 1 if len(ends) else 0
                 if whole:
-                    yield compare(x[:, :whole])
+                    yield from compare(x[:, :whole])
                 held, rest = [x[:, whole:]], x.shape[1] - whole
         if rest:
-            yield compare(np.concatenate(held, axis=1))
+            yield from compare(np.concatenate(held, axis=1))
 
     dealt = rows.select("key", "tiles", "node", *f).repartition("key", "tiles").sortWithinPartitions("key", "tiles")
     return dealt.mapInArrow(run, "u long, v long").where("u <> v").distinct()
@@ -315,10 +371,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _classes(rows: DataFrame, keyed: DataFrame, words: int, radius: int) -> DataFrame:
-    """node and component_id, the least doc_id of its component, from rows (doc_id, node) and keyed fingerprints."""
+def _classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and component_id, the least doc_id of its component, from rows (doc_id, node) and the links u, v between nodes."""
     least = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
-    stars = components(links(keyed, words, radius))
+    stars = components(edges)
     rooted = Written(least.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "fingerprint-roots").df
     least = Written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "fingerprint-least").df
     return Written(rooted.join(least, "root").select("node", "component_id"), "fingerprint-classes").df
@@ -329,17 +385,56 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = Written(fingerprints(docs), "fingerprints", scan=True).df.withColumn("node", F.col("f0"))
     fps = Written(rows.select("node", "f0").distinct(), "fingerprints-distinct").df
     keyed = fps.select(F.explode(bucket_keys(F.col("f0"))).alias("key"), "node", "f0")
-    known = _classes(rows, keyed, 1, RADIUS)
+    known = _classes(rows, links(keyed))
     return rows.join(known, "node").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id by 256-bit fingerprints, for shingles with a similarity of 0.8 or more, a row for each of `docs`."""
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, node (a hash of the set), f0, ... and `shingles`, the set of a text's shingle hashes, a row for each of `docs`."""
+    f = _names(WIDE_WORDS)
+    schema = "doc_id long, node long" + "".join(f", {n} long" for n in f) + ", shingles array<long>"
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x, WIDE_SHINGLE)) for x in batch.column(1).to_pylist()]
+            nodes = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
+            prints = _fingerprints(sets, words=WIDE_WORDS).view(np.int64)
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE_WORDS)), held], ["doc_id", "node", *f, "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+
+
+def similar(candidates: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the `candidates` (u, v) whose sets, from `rows` (node, shingles), are as similar as SIMILAR says."""
+    met = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).distinct()
+    # Written, so that a node with very many candidates can be split in the joins.
+    sets = Written(rows.select("node", "shingles").join(met, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets").df
+    one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"_{n}")) for n in ("u", "v"))
+    both, total = F.size(F.array_intersect("_u", "_v")), F.size("_u") + F.size("_v")
+    # The union has `total - both` shingles.
+    return candidates.join(one, "u").join(two, "v").where(both * (SIMILAR[0] + SIMILAR[1]) >= total * SIMILAR[0]).select("u", "v")
+
+
+def similar_links(rows: DataFrame) -> DataFrame:
+    """Links u, v of sufficient similarity that connect all nodes of a component, from the rows of shingle_sets()."""
     f = _names(WIDE_WORDS)
-    rows = Written(fingerprints(docs, WIDE_SHINGLE, WIDE_WORDS), "fingerprints-wide", scan=True).df.withColumn("node", F.xxhash64(*f))
     fps = Written(rows.select("node", *f).dropDuplicates(["node"]), "fingerprints-wide-distinct").df
-    bits = min(40, max(14, fps.count().bit_length() - 2))
-    known = _classes(rows, sampled_keys(fps, bits, WIDE_WORDS), WIDE_WORDS, WIDE_RADIUS)
+    bits = min(40, max(10, fps.count().bit_length() - 7))
+    close = Written(links(sampled_keys(fps, bits, WIDE_WORDS, CLOSE_TABLES), WIDE_WORDS, CLOSE), "close-candidates").df
+    close = Written(similar(close, rows), "close-links").df
+    labelled = Written(fps.join(components(close), "node", "left").select("node", *f, F.coalesce("root", "node").alias("label")), "fingerprints-labelled").df
+    wide = Written(links(sampled_keys(labelled, bits, WIDE_WORDS, tables_for(bits)), WIDE_WORDS, (WIDE_RADIUS,)), "wide-candidates").df
+    return Written(close.union(similar(wide, rows)), "similar-links").df
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id by links of texts that share SIMILAR of their shingles or more, a row for each of `docs`."""
+    rows = Written(shingle_sets(docs), "shingles", scan=True).df
+    known = _classes(rows, similar_links(rows))
     return rows.join(known, "node").select("doc_id", "component_id")
 
 
