@@ -371,9 +371,9 @@ def components(edges: DataFrame) -> DataFrame:
     return now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and component_id, the least doc_id of its component, from rows (doc_id, node) and the links u, v between nodes."""
-    least = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
+def _classes(rows: DataFrame, edges: DataFrame, first: str = "doc_id") -> DataFrame:
+    """node and component_id, the least `first` of its component, from rows (first, node) and the links u, v between nodes."""
+    least = rows.groupBy("node").agg(F.min(first).alias("first"))
     stars = components(edges)
     rooted = Written(least.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "fingerprint-roots").df
     least = Written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "fingerprint-least").df
@@ -389,23 +389,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(known, "node").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_md5() -> Column:
+    """What tells texts apart; empty for a null text."""
+    return F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of the set), f0, ... and `shingles`, the set of a text's shingle hashes, a row for each of `docs`."""
+    """doc_id, md5 (of the text), node (a hash of the set), f0, ... and `shingles`, the set of a text's shingle hashes, a row for each of `docs`."""
     f = _names(WIDE_WORDS)
-    schema = "doc_id long, node long" + "".join(f", {n} long" for n in f) + ", shingles array<long>"
+    schema = "doc_id long, md5 string, node long" + "".join(f", {n} long" for n in f) + ", shingles array<long>"
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x, WIDE_SHINGLE)) for x in batch.column(1).to_pylist()]
+            sets = [np.unique(shingle_hashes(x, WIDE_SHINGLE)) for x in batch.column(2).to_pylist()]
             nodes = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
             prints = _fingerprints(sets, words=WIDE_WORDS).view(np.int64)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE_WORDS)), held], ["doc_id", "node", *f, "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE_WORDS)), held], ["doc_id", "md5", "node", *f, "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_md5().alias("md5"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def similar(candidates: DataFrame, rows: DataFrame) -> DataFrame:
@@ -431,16 +436,29 @@ def similar_links(rows: DataFrame) -> DataFrame:
     return Written(close.union(similar(wide, rows)), "similar-links").df
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """doc_id, md5 and `stays`, the first (doc_id, md5) of the component, a row for each of `docs`."""
+    rows = Written(shingle_sets(docs), "shingles", scan=True).df
+    # A document without id comes after all others.
+    rows = rows.withColumn("document", F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "md5"))
+    known = _classes(rows, similar_links(rows), "document")
+    return rows.join(known, "node").select("doc_id", "md5", F.col("component_id").alias("stays"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id by links of texts that share SIMILAR of their shingles or more, a row for each of `docs`."""
-    rows = Written(shingle_sets(docs), "shingles", scan=True).df
-    known = _classes(rows, similar_links(rows))
-    return rows.join(known, "node").select("doc_id", "component_id")
+    return _copies(docs).select("doc_id", F.col("stays.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay: of each group of near copies the document with the least doc_id, once."""
-    stay = near_copies(docs).select(F.col("component_id").alias("_stay")).distinct()
-    rows = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    """The rows of `docs` that stay: one of each group of near copies.
+
+    It is the row with the least doc_id, a null doc_id being the last; of equal ids that with the least MD5 of
+    its text; of equal texts that with the least other columns. Groups are made of texts, so different texts
+    stay whether they have no id or share one.
+    """
+    stay = _copies(docs).select(F.col("stays.doc_id").alias("_stay"), F.col("stays.md5").alias("_stay_md5")).distinct()
+    rows = docs.withColumn("_md5", text_md5())
+    rows = rows.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")) & (F.col("_md5") == F.col("_stay_md5")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_md5").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
     return rows.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)

@@ -62,3 +62,14 @@ def test_the_number_of_samples_counts_all_distances():
     for bits in (10, 12, 16, 18):
         tables = simhash.tables_for(bits)
         assert simhash.found(bits, tables) >= simhash.FOUND > simhash.found(bits, tables - 1)
+
+
+def test_different_texts_without_id_or_with_equal_ids_stay(spark):
+    rng = random.Random(47)
+    text = [" ".join(f"t{k}x{rng.getrandbits(40)}" for _ in range(60)) for k in range(14)]
+    rows = [(None, text[k], "a") for k in range(5)] + [(7, text[k], "a") for k in range(5, 10)]
+    # A text of document 3 and one of document 8 again, the former under the id of five other texts; repeated rows; a copy with an id of one without.
+    rows += [(3, text[10], "a"), (7, text[10], "a"), (8, text[11], "b"), (8, text[11], "a"), (8, text[11], "a"), (9, text[0], "a"), (None, text[12], "b"), (None, text[12], "a"), (None, None, "a"), (None, "", "a")]
+    kept = [(r["doc_id"], r["text"], r["source"]) for r in simhash.keep_one(documents(spark, rows)).collect()]
+    want = [(None, text[k], "a") for k in (1, 2, 3, 4, 12)] + [(7, text[k], "a") for k in range(5, 10)] + [(3, text[10], "a"), (8, text[11], "a"), (9, text[0], "a"), (None, None, "a")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
