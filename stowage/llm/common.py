@@ -14,8 +14,6 @@ from stowage.session import ship
 BLANKS = " \t\n\x0b\x0c\r"
 #: One or more of them, as a Java regular expression.
 BLANK_RUN = r"[\x20\x09-\x0D]+"
-#: A shuffled table is written to so many files for each core of the cluster, or to a file for so many partitions, whichever gives more files.
-FILES_A_CORE, PARTITIONS_A_FILE = 4, 8
 #: Shuffle files are dropped as soon as the statement that made them has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes that go to a Python worker at once: texts are long, and each is held several times over.
@@ -23,13 +21,13 @@ _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.e
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new folder of this machine for a local master, and an error for a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        root = held or f"file://{tempfile.mkdtemp(prefix='stowage-')}"
-        if not held:
-            spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='stowage-')}"
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -65,17 +63,14 @@ def prepare(spark: SparkSession) -> None:
 class Written:
     """A DataFrame cut from its lineage: written once to the shared folder and read from there.
 
-    What comes from a shuffle goes to fewer files than it has partitions; a task then takes one
-    partition after the other. With `scan`, the tasks that scan write a file each.
+    Each task of the last stage writes a file; how many there are is for Spark to say, from the size of
+    the input or of the shuffle.
     """
 
-    def __init__(self, df: DataFrame, name: str, codec: str = "zstd", scan: bool = False):
+    def __init__(self, df: DataFrame, name: str, codec: str = "zstd"):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
         schema = df.schema
-        if not scan:
-            partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.coalesce(max(FILES_A_CORE * self.spark.sparkContext.defaultParallelism, partitions // PARTITIONS_A_FILE))
         df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 

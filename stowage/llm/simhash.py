@@ -382,7 +382,7 @@ def _classes(rows: DataFrame, edges: DataFrame, first: str = "doc_id") -> DataFr
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, a row for each of `docs`."""
-    rows = Written(fingerprints(docs), "fingerprints", scan=True).df.withColumn("node", F.col("f0"))
+    rows = Written(fingerprints(docs), "fingerprints").df.withColumn("node", F.col("f0"))
     fps = Written(rows.select("node", "f0").distinct(), "fingerprints-distinct").df
     keyed = fps.select(F.explode(bucket_keys(F.col("f0"))).alias("key"), "node", "f0")
     known = _classes(rows, links(keyed))
@@ -438,7 +438,7 @@ def similar_links(rows: DataFrame) -> DataFrame:
 
 def _copies(docs: DataFrame) -> DataFrame:
     """doc_id, md5 and `stays`, the first (doc_id, md5) of the component, a row for each of `docs`."""
-    rows = Written(shingle_sets(docs), "shingles", scan=True).df
+    rows = Written(shingle_sets(docs), "shingles").df
     # A document without id comes after all others.
     rows = rows.withColumn("document", F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "md5"))
     known = _classes(rows, similar_links(rows), "document")

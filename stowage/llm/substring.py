@@ -3,33 +3,39 @@
 A window is 20 consecutive words. Words are removed that lie in a window whose words also start
 earlier: in a document with a smaller doc_id, or earlier in the same one.
 
-Suffixes are grouped by a prefix that their content defines. Of the six-word runs in a window, the one
-with the least hash is its anchor; equal windows have equal anchors, at the same place. Consecutive
-windows mostly share theirs, so the suffixes that begin in them travel as one segment, keyed by the
-anchor. Three steps:
-
-1. A scan gives the anchors, about one for eight words; those met once in the corpus are done with.
-2. Texts that hold others give their segments. Of equal segments, all but the earliest are marked
-   whole, which is a sum and a join. A task sorts the suffixes of the others of one anchor;
-   neighbours with 20 words in common hang on an internal node of their suffix tree at that depth or
-   deeper. Each such node keeps its earliest suffix and marks the rest.
-   Anchors with more than HOT different segments would make groups of any size. Their prefix is
-   lengthened to the whole window instead, and as such groups can't be made smaller by any prefix,
-   they are summed up, to the earliest start, before they meet.
-3. Marked windows go back to their texts.
-
-Copies of a whole text are found by 128-bit hash beforehand: they need no suffixes.
-
-Defined results: null and empty texts have no words; rows that repeat both doc_id and text are one
-document and get equal results; rows with equal doc_id and other texts are ordered by a hash of the
-text; a null doc_id comes last; an empty table gives an empty result; other columns are ignored, or
+1. A suffix can have a window in common with another only if they share what the window holds. Of the
+   six-word runs in a window, the one with the least hash is its anchor; equal windows have equal
+   anchors, at the same place. A scan gives the anchors, about one for eight words; suffixes whose anchor
+   is met once in the corpus are done with. Whole texts that are equal are found by their 128-bit hash
+   beforehand: all but the earliest go, and have no suffixes.
+2. Consecutive suffixes mostly share their anchor, and travel as one segment. Suffixes of equal segments
+   are equal: they end in the same leaves, of which only the earliest can stay, so only the earliest of
+   each content goes on, where its anchor has other contents.
+3. Those suffixes, each with its text up to the end of its segment, are split by prefixes of variable
+   length: a prefix of PREFIXES[0] words that more than GROUP suffixes share is lengthened to
+   PREFIXES[1] words, and so on, up to the window. A prefix that one suffix has alone ends there. A prefix
+   of a whole window can't be split further, nor need it: all its suffixes hang below one node, whose
+   earliest is a plain sum.
+4. A task builds the subtree of each prefix from its sorted suffixes and the depths to which neighbours
+   agree (subtree()). Below each of the shallowest internal nodes at the depth of a window or deeper, the
+   earliest suffix stays and the windows at the others are marked.
+5. Marked windows go back to their texts.
+
+maximal_repeats() reports the deep internal nodes themselves, from the same groups and subtrees, with
+suffixes of DEPTH words.
+
+Defined results: null and empty texts have no words; a text of any length is cut into segments in one
+task, in memory of a few times its size; rows that repeat both doc_id and text are one document and get
+equal results; rows with equal doc_id and other texts are ordered by a hash of the text; a null doc_id
+comes last; an empty table gives an empty result; other columns, whatever their names, are ignored, or
 passed through by without_repeats().
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import groupby
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +46,10 @@ from stowage.llm.common import Written
 
 #: Words of a window, and of an anchor.
 WINDOW, ANCHOR = 20, 6
-#: An anchor with more different segments than this goes by whole windows.
-HOT = 4096
-#: Rows that a task gathers before it sorts the suffixes of the anchors that are complete.
-GATHERED = 20_000
+#: Words of the prefixes by which suffixes are split, and the most suffixes of a subtree.
+PREFIXES, GROUP = (8, 12, 16, 20), 20_000
+#: Words of a suffix in maximal_repeats().
+DEPTH = 256
 #: Words whose hash a worker remembers.
 REMEMBERED = 200_000
 #: Odd multipliers of the two rolling hashes, and of the final mixing: the fixed values of SplitMix64 and XXH64.
@@ -66,8 +72,9 @@ class WordHashes(dict):
             self[word] = value
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    def of(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The hashes of the words of all texts, one after the other."""
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=sum(map(len, texts)))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -108,54 +115,69 @@ def _batch(schema: str, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [f for f, _ in fields])
 
 
+class Anchored:
+    """The words of some texts as one sequence: `begin` of each text, hashes of all runs, and each window's `first` word and anchor `place`."""
+
+    def __init__(self, texts: list[bytes | None], hashes: WordHashes):
+        self.words = [t.split() if t else [] for t in texts]
+        sizes = np.fromiter(map(len, self.words), dtype=np.int64, count=len(texts))
+        self.begin = np.cumsum(sizes) - sizes
+        self.of = np.repeat(np.arange(len(texts)), sizes)
+        if len(self.of) < WINDOW:
+            self.runs, self.first, self.place = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+            return
+        runs, place = anchors_of(hashes.of(self.words))
+        self.runs = runs.view(np.int64)
+        # Windows that reach into the next text are none.
+        self.first = np.flatnonzero(self.of[: len(place)] == self.of[WINDOW - 1 :])
+        self.place = place[self.first]
+
+
 def _anchor_rows(docs: DataFrame) -> DataFrame:
     """key, ref, pos: the anchors of each text."""
-    schema = "key long, ref long, pos int"
+    schema = "key long, ref binary, pos int"
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            keys, refs, places = [], [], []
-            for ref, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = text.split() if text else ()
-                if len(words) >= WINDOW:
-                    runs, place = anchors_of(hashes.of(words))
-                    place = np.unique(place)
-                    keys.append(runs[place])
-                    places.append(place)
-                    refs.append(np.full(len(place), ref, dtype=np.int64))
-            if keys:
-                yield _batch(schema, (np.concatenate(keys).view(np.int64), np.concatenate(refs), np.concatenate(places).astype(np.int32)))
+            refs, a = batch.column(0).to_pylist(), Anchored(batch.column(1).to_pylist(), hashes)
+            place = np.unique(a.place)
+            if len(place):
+                text = a.of[place]
+                yield _batch(schema, (a.runs[place], [refs[k] for k in text.tolist()], (place - a.begin[text]).astype(np.int32)))
 
     return docs.select("_ref", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def _segments(found: DataFrame) -> DataFrame:
     """key, content (a digest of body), ord, ref, start, n (windows) and body of the segments of texts (_order, _ref, text, pos)."""
-    schema = "key long, content binary, ord long, ref long, start int, n int, body binary"
+    schema = "key long, content binary, ord long, ref binary, start int, n int, body binary"
 
     def run(batches):
         from xxhash import xxh3_128_digest
 
         hashes = WordHashes()
         for batch in batches:
+            orders, refs, texts = (batch.column(k).to_pylist() for k in range(3))
+            a = Anchored(texts, hashes)
+            if not len(a.first):
+                continue
+            wanted = np.zeros(len(a.of), dtype=bool)
+            sizes = batch.column(3).value_lengths().to_numpy()
+            wanted[np.repeat(a.begin, sizes) + batch.column(3).flatten().to_numpy()] = True
+            # Consecutive windows with the same anchor are one segment.
+            begin = np.flatnonzero(np.concatenate(([True], (a.place[1:] != a.place[:-1]) | (a.first[1:] != a.first[:-1] + 1))))
+            n = np.diff(np.append(begin, len(a.first)))
+            meet = wanted[a.place[begin]]
+            begin, n = begin[meet], n[meet]
+            text = a.of[a.first[begin]]
             out: list[tuple] = []
             held = 0
-            for order, ref, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.split()
-                runs, place = anchors_of(hashes.of(words))
-                wanted = np.zeros(len(runs), dtype=bool)
-                wanted[[p for p in places if p < len(runs)]] = True
-                # Consecutive windows with the same anchor are one segment.
-                first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-                last = np.append(first[1:], len(place)) - 1
-                meet = wanted[place[first]]
-                keys = runs.view(np.int64)[place[first]]
-                for i, j, key in zip(first[meet].tolist(), last[meet].tolist(), keys[meet].tolist(), strict=True):
-                    body = b" ".join(words[i : j + WINDOW])
-                    held += len(body)
-                    out.append((key, xxh3_128_digest(body), order, ref, i, j - i + 1, body))
-                if held > 4_000_000 or len(out) > 50_000:
+            for t, i, n_windows, key in zip(text.tolist(), (a.first[begin] - a.begin[text]).tolist(), n.tolist(), a.runs[a.place[begin]].tolist(), strict=True):
+                body = b" ".join(a.words[t][i : i + n_windows - 1 + WINDOW])
+                held += len(body)
+                out.append((key, xxh3_128_digest(body), orders[t], refs[t], i, n_windows, body))
+                if held > 4_000_000:
                     yield _batch(schema, zip(*out, strict=True))
                     out, held = [], 0
             if out:
@@ -164,124 +186,189 @@ def _segments(found: DataFrame) -> DataFrame:
     return found.select("_order", "_ref", F.col("text").cast("binary"), "pos").mapInArrow(run, schema)
 
 
-def repeats_in(segments: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
-    """(ref, start) of the windows in one anchor's segments (ord, ref, start, body) that also start earlier.
-
-    The suffixes are sorted; a run of neighbours with a whole window in common is an internal node of
-    their tree, at a window's depth or below.
-    """
-    suffixes = []
-    for order, ref, start, body in segments:
-        words = body.split()
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1).tolist()
-        closed = body + b" "
-        at = 0
-        for k in range(len(words) - WINDOW + 1):
-            suffixes.append((closed[at:], ends[k + WINDOW - 1] - at, order, ref, start + k))
-            at = ends[k]
-    suffixes.sort()
-    marked = []
-    begin = 0
-    for k in range(1, len(suffixes) + 1):
-        text, depth = suffixes[begin][:2]
-        if k == len(suffixes) or not suffixes[k][0].startswith(text[:depth]):
-            if k - begin > 1:
-                node = sorted({x[2:] for x in suffixes[begin:k]})
-                marked += [x[1:] for x in node[1:]]
-            begin = k
-    return marked
-
-
-def _cold(contents: DataFrame) -> DataFrame:
-    """ref, start, n: runs of n marked windows in segments (key, ord, ref, start, body) that differ from each other."""
-    schema = "ref long, start int, n int"
-
-    def marks(rows):
-        out: list[tuple[int, int]] = []
-        for _, group in groupby(rows, key=lambda x: x[0]):
-            same = [x[1:] for x in group]
-            if len(same) > 1:
-                out += repeats_in(same)
-        out.sort()
-        runs: list[list[int]] = []
-        for ref, start in out:
-            if runs and runs[-1][0] == ref and runs[-1][1] + runs[-1][2] == start:
-                runs[-1][2] += 1
-            elif not (runs and runs[-1][0] == ref and runs[-1][1] + runs[-1][2] > start):
-                runs.append([ref, start, 1])
-        return runs
-
-    def run(batches):
-        held: list[tuple] = []
-        for batch in batches:
-            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            if len(held) >= GATHERED and held[0][0] != held[-1][0]:
-                whole = len(held)
-                while held[whole - 1][0] == held[-1][0]:
-                    whole -= 1
-                if runs := marks(held[:whole]):
-                    yield _batch(schema, zip(*runs, strict=True))
-                held = held[whole:]
-        if runs := marks(held):
-            yield _batch(schema, zip(*runs, strict=True))
-
-    rows = contents.select("key", "ord", "ref", "start", "body")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+_SUFFIXES = "ord long, ref binary, start int, left binary, suffix binary, " + ", ".join(f"p{n} binary" for n in PREFIXES)
 
 
-def _hot(contents: DataFrame) -> DataFrame:
-    """The same by whole windows: all but the earliest of each. Sums come before rows meet; a skewed join splits."""
-    schema = "one long, two long, ord long, ref long, start int"
+def _suffix_rows(segments: DataFrame, window: int = WINDOW) -> DataFrame:
+    """ord, ref, start, left (the word before), suffix and its prefixes p8, p12, ... (digests), from segments (ord, ref, start, n, before, body): a row for each of their n first words."""
 
     def run(batches):
-        hashes = WordHashes()
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
             out: list[tuple] = []
-            for order, ref, start, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = hashes.of(body.split())
-                one, two = (_runs_hash(h, WINDOW, m).view(np.int64).tolist() for m in MULTIPLIERS)
-                out += [(x, y, order, ref, start + k) for k, (x, y) in enumerate(zip(one, two, strict=True))]
+            held = 0
+            for order, ref, start, n, before, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = body.split()
+                ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1).tolist()
+                closed, at = body + b" ", 0
+                for k in range(n):
+                    deep = closed[at : ends[min(k + window, len(words)) - 1]] if window > WINDOW else closed[at:]
+                    held += len(deep) + 100
+                    out.append((order, ref, start + k, before if k == 0 else words[k - 1], deep, *(xxh3_128_digest(closed[at : ends[k + p - 1]]) for p in PREFIXES)))
+                    at = ends[k]
+                if held > 4_000_000:
+                    yield _batch(_SUFFIXES, zip(*out, strict=True))
+                    out, held = [], 0
             if out:
+                yield _batch(_SUFFIXES, zip(*out, strict=True))
+
+    return segments.select("ord", "ref", "start", "n", "before", "body").mapInArrow(run, _SUFFIXES)
+
+
+def split_by_prefix(suffixes: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """Suffixes with the `prefix` that makes their subtree, GROUP of them at most; and those whose whole window is shared by more."""
+    ready, rest, shared = None, suffixes, None
+    for words in PREFIXES:
+        name = f"p{words}"
+        # Written, so that a prefix with very many suffixes can be split in the join.
+        shared = Written(rest.groupBy(name).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "prefixes").df
+        met = rest.join(shared, name)
+        fits = met.where(F.col("_n") <= group).select("ord", "ref", "start", "left", "suffix", F.col(name).alias("prefix"))
+        ready = fits if ready is None else ready.unionByName(fits)
+        rest = met.where(F.col("_n") > group).drop("_n")
+        if shared.where(F.col("_n") > group).isEmpty():
+            break
+    return ready, rest
+
+
+def depth_of(one: bytes, two: bytes) -> tuple[int, int]:
+    """Bytes and words that two suffixes have in common from their beginning; each word is closed by a blank."""
+    if two.startswith(one):
+        same = len(one)
+    else:
+        low, high = 0, min(len(one), len(two))
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if one[:mid] == two[:mid] else (low, mid - 1)
+        same = one.rfind(b" ", 0, low) + 1
+    return same, one.count(b" ", 0, same)
+
+
+def subtree(leaves: Iterable[tuple[bytes, object]], merge: Callable, least: int = WINDOW) -> Iterator[tuple[int, object, bool]]:
+    """The internal nodes, of a depth of `least` words or more, of the suffix tree of `leaves` (suffix, value) in order of suffix.
+
+    Gives the depth in words, the values of all leaves below merged by `merge(of the node, of a part)`, and
+    whether no other such node is above. Holds no more than the nodes on the way to one leaf.
+    """
+    path: list[list] = []  # depth and value of each open node
+    before, value = None, None
+    for suffix, new in chain(leaves, [(b"", None)]):
+        if before is not None:
+            depth = depth_of(before, suffix)[1]
+            while path and path[-1][0] > depth:
+                deep, whole = path.pop()
+                value = merge(whole, value) if whole is not None else value
+                yield deep, value, depth < least and not path
+            if depth >= least:
+                if not path or path[-1][0] < depth:
+                    path.append([depth, None])
+                path[-1][1] = value if path[-1][1] is None else merge(path[-1][1], value)
+        before, value = suffix, new
+
+
+def _subtrees(suffixes: DataFrame, leaf: Callable, merge: Callable, emit: Callable, schema: str) -> DataFrame:
+    """What `emit` makes of the nodes of each prefix's subtree; `leaf` gives the value of a row (ord, ref, start, left)."""
+
+    def run(batches):
+        def rows():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        out: list[tuple] = []
+        for _, group in groupby(rows(), key=lambda r: r[0]):
+            for node in subtree(((r[-1], leaf(r[1:-1])) for r in group), merge):
+                out += emit(*node)
+            if len(out) > 20_000:
                 yield _batch(schema, zip(*out, strict=True))
+                out = []
+        if out:
+            yield _batch(schema, zip(*out, strict=True))
 
-    rows = contents.select("ord", "ref", "start", "body").mapInArrow(run, schema)
-    first = Written(rows.groupBy("one", "two").agg(F.min(F.struct("ord", "ref", "start")).alias("first")), "substring-first").df
-    met = rows.join(first, ["one", "two"]).where(F.struct("ord", "ref", "start") > F.col("first"))
-    return met.select("ref", "start", F.lit(1).alias("n"))
+    rows = suffixes.select("prefix", "ord", "ref", "start", "left", "suffix")
+    return rows.repartition("prefix").sortWithinPartitions("prefix", "suffix").mapInArrow(run, schema)
 
 
-def _marks(segments: DataFrame) -> DataFrame:
-    """ref, start, n: runs of n windows that also start earlier, from all segments.
+def _all_of(node: list, part: list) -> list:
+    node += part
+    return node
 
-    Segments with equal content have equal windows, so all but the earliest are marked as a whole,
-    and only the earliest of each content is compared with others.
-    """
-    contents = segments.groupBy("content").agg(F.min(F.struct("ord", "ref", "start")).alias("first"), F.first("key").alias("key"), F.first("body").alias("body"))
+
+def later_suffixes(depth: int, leaves: list[tuple], outermost: bool) -> list[tuple]:
+    """(ref, start, 1) of all suffixes below an outermost node but the earliest."""
+    return [(ref, start, 1) for _, ref, start in sorted(set(leaves))[1:]] if outermost else []
+
+
+def _marks(segments: DataFrame) -> DataFrame:
+    """ref, start, n: runs of n windows that also start earlier, from all segments."""
+    contents = segments.groupBy("content").agg(F.min(F.struct("ord", "ref", "start")).alias("first"), F.count(F.lit(1)).alias("n_equal"), F.first("key").alias("key"), F.first("n").alias("n"), F.first("body").alias("body"))
     contents = Written(contents, "segment-contents").df
-    later = segments.select("content", "ord", "ref", "start", "n").join(contents.select("content", "first"), "content")
+    later = segments.select("content", "ord", "ref", "start", "n").join(contents.where("n_equal > 1").select("content", "first"), "content")
     later = later.where(F.struct("ord", "ref", "start") > F.col("first")).select("ref", "start", "n")
-    flat = contents.select("key", "first.*", "body")
-    hot = Written(flat.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > HOT).select("key"), "substring-hot").df
-    if hot.isEmpty():
-        return later.union(_cold(flat))
-    return later.union(_cold(flat.join(hot, "key", "left_anti"))).union(_hot(flat.join(hot, "key", "left_semi")))
+    # Written, so that an anchor with very many contents can be split in the join.
+    several = Written(contents.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key"), "anchors-several").df
+    different = contents.join(several, "key").select("first.*", "n", F.lit(None).cast("binary").alias("before"), "body")
+    suffixes = Written(_suffix_rows(different), "suffixes")
+    trees, whole = split_by_prefix(suffixes.df)
+    marks = Written(_subtrees(trees, lambda r: [r[:3]], _all_of, later_suffixes, "ref binary, start int, n int"), "subtree-marks").df
+    # What is left shares a whole window with very many others: one node each, whose earliest stays.
+    last = f"p{PREFIXES[-1]}"
+    earliest = Written(whole.groupBy(last).agg(F.min(F.struct("ord", "ref", "start")).alias("first")), "window-first").df
+    many = whole.select(last, "ord", "ref", "start").join(earliest, last).where(F.struct("ord", "ref", "start") > F.col("first")).select("ref", "start", F.lit(1).alias("n"))
+    return later.union(marks).union(many)
+
+
+def maximal_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The maximal repeats of a window's length or more: n_words, n (how often), and doc_id, ref and start of the earliest.
+
+    These are the internal nodes of the suffix tree whose suffixes have different words before them (the
+    beginning of a text is different from any word). Repeats longer than `depth` come cut to it, one for
+    each place at which `depth` words have different words before them. Rows that repeat both doc_id and
+    text are one document.
+    """
+    rows = _referred(docs.select("doc_id", "text")).dropDuplicates(["_ref"])
+    schema = "ord long, ref binary, start int, n int, before binary, body binary"
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for order, ref, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = text.split() if text else []
+                # Parts of a text that overlap by a suffix's depth, so that no row is as long as a text.
+                for at in range(0, max(0, len(words) - WINDOW + 1), 4 * depth):
+                    n = min(4 * depth, len(words) - WINDOW + 1 - at)
+                    out.append((order, ref, at, n, words[at - 1] if at else None, b" ".join(words[at : at + n + depth])))
+            if out:
+                yield _batch(schema, zip(*out, strict=True))
+
+    parts = rows.select("_order", "_ref", F.col("text").cast("binary")).mapInArrow(run, schema)
+    suffixes = Written(_suffix_rows(parts, depth), "deep-suffixes").df
+    trees, whole = split_by_prefix(suffixes)
+    # A whole window that very many share is sorted by Spark like any other prefix; its subtree takes no more memory than its deepest path.
+    trees = trees.unionByName(whole.select("ord", "ref", "start", "left", "suffix", F.col(f"p{PREFIXES[-1]}").alias("prefix")))
+    leaf = lambda r: (1, r[:3], r[3], r[3] is None)
+    merge = lambda a, b: (a[0] + b[0], min(a[1], b[1]), a[2], a[3] or b[3] or a[2] != b[2])
+    emit = lambda words, node, _: [(words, node[0], *node[1])] if node[3] else []
+    got = _subtrees(trees, leaf, merge, emit, "n_words int, n long, ord long, ref binary, start int")
+    return got.select("n_words", "n", F.when(F.col("ord") != LAST, F.col("ord")).alias("doc_id"), "ref", "start")
 
 
 def _referred(docs: DataFrame) -> DataFrame:
-    """`docs` with _ref, a hash of doc_id and text, and _order."""
-    return docs.withColumns({"_ref": F.xxhash64(F.col("doc_id"), F.col("text")), "_order": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))})
+    """`docs` with _ref, a 128-bit hash of doc_id and text, and _order."""
+    both = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.withColumns({"_ref": F.unhex(F.md5(both.cast("binary"))), "_order": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))})
 
 
 def marked_windows(docs: DataFrame) -> DataFrame:
     """ref, runs (an array of start, n) of marked windows, and copy (the whole text also stands earlier), for the documents that have any."""
     rows = _referred(docs.select("doc_id", "text"))
     twice = (F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("copy"), "text").alias("t2"))
-    narrow = Written(rows.select("_ref", "_order", *twice), "substring-texts", scan=True).df
+    narrow = Written(rows.select("_ref", "_order", *twice), "substring-texts").df
     first = narrow.groupBy("t1", "t2").agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     first = Written(first, "substring-equal").df
     copies = Written(narrow.join(first, ["t1", "t2"]).where("_order > _first").select(F.col("_ref").alias("ref")).distinct(), "substring-copies").df
 
-    anchors = Written(_anchor_rows(rows), "anchors", scan=True)
+    anchors = Written(_anchor_rows(rows), "anchors")
     # Written, so that the join deals the anchors anew and a skewed key can be split there.
     met = Written(anchors.df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "substring-met").df
     places = anchors.df.join(met, "key").groupBy("ref").agg(F.collect_list("pos").alias("pos"))

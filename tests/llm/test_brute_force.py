@@ -62,9 +62,11 @@ def removals(rows, size=20):
     return out
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 4096), (2, 1), (3, 2)])
-def test_substring(spark, monkeypatch, seed, hot):
-    monkeypatch.setattr(substring, "HOT", hot)
+@pytest.mark.parametrize(("seed", "group"), [(1, 20_000), (2, 1), (3, 2), (4, 5)])
+def test_substring(spark, monkeypatch, seed, group):
+    """With a bound of one suffix every prefix is lengthened to the whole window; with a few, some are."""
+    split = substring.split_by_prefix
+    monkeypatch.setattr(substring, "split_by_prefix", lambda s: split(s, group))
     rows = corpus(seed)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.removals(documents(spark, rows)).collect()}
     assert got == removals(rows)
@@ -78,9 +80,60 @@ def test_substring(spark, monkeypatch, seed, hot):
 
 
 def test_a_suffix_tree_node_needs_whole_words():
-    body = lambda last: b" ".join([b"w"] * 19 + [last])
-    assert substring.repeats_in([(1, 1, 0, body(b"ab")), (2, 2, 0, body(b"abc")), (3, 3, 0, body(b"ab\x01"))]) == []
-    assert substring.repeats_in([(1, 1, 0, body(b"ab")), (2, 2, 0, body(b"ab"))]) == [(2, 0)]
+    body = lambda last: b" ".join([b"w"] * 19 + [last]) + b" "
+    marked = lambda *bodies: [x for node in substring.subtree(sorted((b, [(k, k, 0)]) for k, b in enumerate(bodies)), substring._all_of) for x in substring.later_suffixes(*node)]
+    assert marked(body(b"ab"), body(b"abc"), body(b"ab\x01")) == []
+    assert marked(body(b"ab"), body(b"ab")) == [(1, 0, 1)]
+
+
+def test_subtrees_give_all_internal_nodes():
+    rng = random.Random(17)
+    for _ in range(50):
+        n = rng.randrange(2, 40)
+        suffixes = sorted(b"".join(rng.choice([b"a ", b"b ", b"ab "]) for _ in range(rng.randrange(1, 9))) for _ in range(n))
+        want = Counter()
+        for words in range(2, 9):
+            for head in {tuple(x.split()[:words]) for x in suffixes}:
+                below = [k for k, x in enumerate(suffixes) if tuple(x.split()[:words]) == head]
+                deeper = {tuple(suffixes[k].split()[: words + 1]) for k in below}
+                # A node is where suffixes part, or where one of several ends.
+                if len(head) == words and len(below) > 1 and (len(deeper) > 1 or any(len(suffixes[k].split()) == words for k in below)):
+                    want[words, tuple(below)] += 1
+        got = Counter((depth, tuple(sorted(leaves))) for depth, leaves, _ in substring.subtree([(x, [k]) for k, x in enumerate(suffixes)], substring._all_of, 2))
+        assert got == want
+
+
+@pytest.mark.parametrize(("seed", "group"), [(1, 20_000), (5, 2)])
+def test_maximal_repeats(spark, monkeypatch, seed, group):
+    split = substring.split_by_prefix
+    monkeypatch.setattr(substring, "split_by_prefix", lambda s: split(s, group))
+    rng = random.Random(seed)
+    rows = corpus(seed, 36) + [(900, words(rng, 700, 9), "a"), (901, "x " * 60, "a")]
+    split_texts = {i: BLANK.findall((t or "").encode()) for i, t, _ in rows}
+    places = {}
+    for i, w in split_texts.items():
+        for k in range(len(w) - 19):
+            places.setdefault(tuple(w[k : k + 20]), []).append((i, k))
+    want = Counter()
+    before = lambda i, k: split_texts[i][k - 1] if k else None
+    level = {k: v for k, v in places.items() if len(v) > 1}
+    size = 20
+    while level:
+        longer = {}
+        for run, at in level.items():
+            after = {}
+            for i, k in at:
+                if k + size < len(split_texts[i]):
+                    after.setdefault(split_texts[i][k + size], []).append((i, k))
+            right = len(after) > 1 or sum(map(len, after.values())) < len(at)
+            left = len({before(i, k) for i, k in at}) > 1 or any(k == 0 for _, k in at)
+            if right and left:
+                want[(size, len(at), *min(at))] += 1
+            longer |= {(*run, w): v for w, v in after.items() if len(v) > 1}
+        level, size = longer, size + 1
+    got = Counter((r["n_words"], r["n"], r["doc_id"], r["start"]) for r in substring.maximal_repeats(documents(spark, rows)).collect())
+    assert got == want
+    assert max(n for n, *_ in want) > 30
 
 
 # SimHash -------------------------------------------------------------------------------------------
@@ -364,40 +417,72 @@ def test_reader_is_sequential_and_notices_damage():
 # Language model -----------------------------------------------------------------------------------------------
 
 
-def test_lm_scores(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "HEAD", 40)
+def lm_corpus():
     rng = random.Random(12)
     nouns, verbs, rare = [f"n{k}" for k in range(30)], [f"v{k}" for k in range(30)], [f"r{k}" for k in range(400)]
     line = lambda: " ".join(rng.choice(rare) if rng.random() < 0.05 else rng.choice(nouns if k % 2 else verbs) for k in range(rng.randrange(60)))
-    rows = [(k, line().title() if k % 7 else None, "a") for k in range(300)]
-    tok = lambda t: [*BLANK.findall((t or "").encode().lower()), b"\n"]
-    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _, _ in rows}
-    counts = Counter(w for i, t, _ in rows if not out[i] for w in tok(t))
+    rows = [(k, line().title() if k % 7 else None, "a") for k in range(300)] + [(300, "n1 " + "y" * 200 + " v1", "a"), (302, "y" * 200, "a"), (303, "Y" * 200 + " v2", "a")]
+    tok = {i: [*BLANK.findall((t or "").encode().lower()), b"\n"] for i, t, _ in rows}
+    return rows, tok, {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _, _ in rows}
+
+
+@pytest.mark.parametrize(("context", "head"), [(20, 40), (2048, 100_000), (0, 0)])
+def test_lm_scores(spark, monkeypatch, context, head):
+    """Scores word by word from the classes that training gave, counted anew."""
+    monkeypatch.setattr(lm_score, "CONTEXT", context)
+    monkeypatch.setattr(lm_score, "HEAD", head)
+    rows, tok, out = lm_corpus()
+    docs = documents(spark, rows)
+    of = {bytes(r["word"]): r["cls"] for r in lm_score.train(docs)[1].collect()}
+    counts = Counter(w for i in tok if not out[i] for w in tok[i])
+    states = set(sorted((w for w in counts if w != b"\n" and len(w) <= 64), key=lambda w: (-counts[w], w))[:context])
+    last = lm_score.CLASSES - 1
+    assert set(of) == set(counts)
+    assert [w for w in of if of[w] == last] == [b"\n"]
+    # All words that are met often enough have a class of their own choice, the others share one.
+    assert all((of[w] == last - 1) == (counts[w] < lm_score.LEAST and w not in states) for w in counts if w != b"\n")
+    state = lambda w: last if w == b"\n" else of[w] if w in states else last - 1
+    pairs, single, members = Counter(), Counter(), Counter(of.values())
+    for i in tok:
+        if not out[i]:
+            for a, b in zip([b"\n", *tok[i]], tok[i], strict=False):
+                pairs[state(a), of[b]] += 1
+                single[of[b]] += 1
+    total, d = sum(single.values()), lm_score.DELTA
+
+    def transition(s, c):
+        row = [pairs[s, k] for k in range(last + 1)]
+        kinds = sum(x > 0 for x in row) + 1
+        return (pairs[s, c] + kinds * (single[c] + d) / (total + d * (last + 1))) / (sum(row) + kinds)
+
+    room = lambda c: max(1, members[c] + (c == last - 1))
+    emission = lambda w, c: (counts[w] + d) / (single[c] + d * room(c))
     n, v = sum(counts.values()), len(counts)
-    got = {r["doc_id"]: r for r in lm_score.scores(documents(spark, rows)).collect()}
-    for i, t, _ in rows:
-        w, r = tok(t), got[i]
+    got = {r["doc_id"]: r for r in lm_score.scores(docs).collect()}
+    for i, w in tok.items():
+        r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(w), sum(x in counts for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
-    held = [r for i, r in got.items() if out[i]]
-    assert sum(r["score"] for r in held) > 0.95 * sum(r["base_score"] for r in held)
-
-
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(3)
-    width = lm_score.CORE + lm_score.BUCKETS + 1
-    bigrams = np.zeros((width, width))
-    bigrams[:20, :20] = rng.integers(0, 9, (20, 20))
-    bigrams[-1, :20] = bigrams[:20, -1] = 3
-    head = [(f"w{k:03}".encode(), int(bigrams[:, k].sum())) for k in range(20)]
-    tokens = bigrams.sum(axis=0)
-    model = lm_score.ClassModel(head, 60, int(tokens.sum()), 21, bigrams, tokens, (tokens > 0).astype(float))
-    assert np.allclose((10**model.transition).sum(axis=1), 1)
-    for c in range(lm_score.CLASSES):
-        inside = [10 ** (model.log_count[k] - model.log_class[c]) for k in range(20) if model.classes[k] == c]
-        end = 10 ** (math.log10(60.5) - model.log_class[c]) if model.classes[-1] == c else 0
-        unseen = 0.5 / 10 ** model.log_class[c]
-        assert sum(inside) + end + unseen == pytest.approx(1)
+        want = sum(math.log10(transition(state(a), of.get(b, last - 1)) * emission(b, of.get(b, last - 1))) for a, b in zip([b"\n", *w], w, strict=False))
+        assert r["score"] == pytest.approx(want)
+    for s in range(last + 1):
+        assert sum(transition(s, c) for c in range(last + 1)) == pytest.approx(1)
+    for c in set(of.values()):
+        unseen = d / (single[c] + d * room(c)) if c == last - 1 else 0
+        assert sum(emission(w, c) for w in of if of[w] == c) + unseen == pytest.approx(1)
+    if context:
+        held = [r for i, r in got.items() if out[i]]
+        assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_words_beyond_the_context_join_their_likes(spark, monkeypatch):
+    """With few context words, words that follow the same ones get the same class, whatever their names."""
+    monkeypatch.setattr(lm_score, "CONTEXT", 4)
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"{left} {left} {rng.choice([left + str(j) for j in range(40)])}" for left in rng.choices(["aa", "bb", "cc", "dd"], k=40)), "a") for k in range(300)]
+    of = {bytes(r["word"]).decode(): r["cls"] for r in lm_score.train(documents(spark, rows))[1].collect()}
+    groups = [{of[f"{left}{j}"] for j in range(40)} for left in ("aa", "bb", "cc", "dd")]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 4
 
 
 def test_exchange_finds_the_classes():
