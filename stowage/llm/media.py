@@ -11,12 +11,14 @@ equal chunks wherever they stand. Chunk digests are deduplicated by Spark joins:
 4. Packs are read back. Those with shared chunks fetch them by digest; the others need no shuffle.
    Every chunk and every payload is verified by digest before anything is computed from it.
 
-The stored form of a medium, which media_bytes and media_sha256 describe, is its chunk list, a digest
-and a length each, followed by its samples, one byte each.
+The stored form of a medium, which media_bytes and media_sha256 describe, are the bytes in the store
+that it is rebuilt from, in this order: its pack's chunk list, its pack's own samples (compressed) and
+the shared chunks that the list refers to (compressed, in the order of the list).
 
 Defined results: a null text is empty, and an empty payload is one frame of padding; equal texts are
-one medium; rows are matched to media by payload digest, so repeated doc_ids do no harm; an empty
-table gives an empty result; other columns are ignored.
+one medium; rows are matched to media by payload digest, so repeated doc_ids do no harm; a text of any
+length is one payload, held whole by one task; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import Written
@@ -134,8 +136,19 @@ def _shared(lists: DataFrame) -> DataFrame:
     return found
 
 
-#: kind 0, a pack: key is its payload's digest. kind 1, a shared chunk: key is its digest; the lists are null.
-_STORE = "kind int, key binary, digests array<binary>, lengths array<int>, places array<int>, data binary"
+#: kind 0, a pack: key is its payload's digest, `list` its chunk list, `taken` the digests of its shared chunks, data its own chunks. kind 1, a shared chunk: key is its digest.
+_STORE = "kind int, key binary, list binary, taken array<binary>, data binary"
+#: Bytes of an entry of a chunk list: digest, length, place.
+_ENTRY = 21
+
+
+def pack_list(entries: list[tuple[bytes, int, int]]) -> bytes:
+    """A chunk list (digest, length, place) as it is stored."""
+    return b"".join(d + n.to_bytes(4, "little") + bytes([place]) for d, n, place in entries)
+
+
+def unpack_list(packed: bytes) -> list[tuple[bytes, int, int]]:
+    return [(packed[k : k + 16], int.from_bytes(packed[k + 16 : k + 20], "little"), packed[k + 20]) for k in range(0, len(packed), _ENTRY)]
 
 
 def _store(payloads: DataFrame) -> DataFrame:
@@ -153,8 +166,8 @@ def _store(payloads: DataFrame) -> DataFrame:
                         where[k] = kind
                 digests = [digest(c) for c in parts]
                 own = zlib.compress(b"".join(c for c, w in zip(parts, where, strict=True) if w == OWN), 6)
-                out.append((0, key, digests, [len(c) for c in parts], where, own))
-                out += [(1, d, None, None, None, zlib.compress(c, 6)) for c, w, d in zip(parts, where, digests, strict=True) if w == GIVEN]
+                out.append((0, key, pack_list(list(zip(digests, map(len, parts), where, strict=True))), [d for d, w in zip(digests, where, strict=True) if w != OWN], own))
+                out += [(1, d, None, None, zlib.compress(c, 6)) for c, w, d in zip(parts, where, digests, strict=True) if w == GIVEN]
                 held += len(packed)
                 if held > 8_000_000:
                     yield _table(_STORE, zip(*out, strict=True))
@@ -182,31 +195,28 @@ def _restore(packs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for key, digests, lengths, places, data, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, listed, data, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shared = {x["digest"]: x["data"] for x in others or ()}
-                own, at, parts = zlib.decompress(data), 0, []
-                for d, n, where in zip(digests, lengths, places, strict=True):
-                    if where == OWN:
+                own, at, parts, entries = zlib.decompress(data), 0, [], unpack_list(listed)
+                media, media_bytes = hashlib.sha256(listed + data), len(listed) + len(data)
+                for d, n, place in entries:
+                    if place == OWN:
                         part, at = own[at : at + n], at + n
                     else:
                         part = zlib.decompress(shared[d])
+                        media.update(shared[d])
+                        media_bytes += len(shared[d])
                     if len(part) != n or digest(part) != d:
                         raise ValueError(f"chunk {d.hex()} of payload {key.hex()} is damaged")
                     parts.append(part)
                 payload = b"".join(parts)
                 if hashlib.sha256(payload).digest() != key:
                     raise ValueError(f"payload {key.hex()} is damaged")
-                media = hashlib.sha256(b"".join(d + n.to_bytes(4, "little") for d, n in zip(digests, lengths, strict=True)))
-                media.update(payload)
-                out.append((key, len(payload), zlib.crc32(payload[-32:]), 20 * len(digests) + len(payload), media.hexdigest(), feature_of(payload, len(digests))))
+                out.append((key, len(payload), zlib.crc32(payload[-32:]), media_bytes, media.hexdigest(), feature_of(payload, len(entries))))
             if out:
                 yield _table(_MEDIA, zip(*out, strict=True))
 
-    return packs.select("key", "digests", "lengths", "places", "data", "others").mapInArrow(run, _MEDIA)
-
-
-def has_shared() -> Column:
-    return F.exists("places", lambda x: x != OWN)
+    return packs.select("key", "list", "data", "others").mapInArrow(run, _MEDIA)
 
 
 def store_media(docs: DataFrame) -> tuple[DataFrame, Written]:
@@ -219,14 +229,14 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, Written]:
 
 def read_media(store: DataFrame) -> DataFrame:
     """What is computed from each stored medium, by payload digest."""
-    packs = store.where("kind = 0").select("key", "digests", "lengths", "places", "data")
+    packs = store.where("kind = 0").select("key", "list", "taken", "data")
     nothing = F.lit(None).cast("array<struct<digest: binary, data: binary>>").alias("others")
-    alone = packs.where(~has_shared()).select("*", nothing)
-    wanted = store.where("kind = 0").where(has_shared()).select("key", F.explode(F.arrays_zip("digests", "places")).alias("x")).where(F.col("x.places") != OWN)
-    wanted = wanted.select("key", F.col("x.digests").alias("digest")).distinct()
+    alone = packs.where("size(taken) = 0").select("*", nothing)
+    # The shared places of a list that this pack has written itself are read back like any other's.
+    wanted = packs.where("size(taken) > 0").select("key", F.explode(F.array_distinct("taken")).alias("digest"))
     chunks = store.where("kind = 1").select(F.col("key").alias("digest"), "data")
     others = wanted.join(chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "data")).alias("others"))
-    return _restore(alone.unionByName(packs.where(has_shared()).join(others, "key")))
+    return _restore(alone.unionByName(packs.where("size(taken) > 0").join(others, "key")))
 
 
 def media_table(docs: DataFrame) -> DataFrame:

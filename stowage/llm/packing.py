@@ -10,8 +10,10 @@ lengths, at most `capacity` counts whatever the number of documents. Its result
 finds its place from its length and its rank among the pieces of that length. Ranks are counted by
 the tasks that encode, and offset by sums over tasks: nothing is sorted.
 
-Defined results: null and empty texts hold only the closing id; an empty table gives no pieces;
-repeated rows are packed each on its own; other columns are ignored.
+Defined results: null and empty texts hold only the closing id; a text of any length is encoded by one
+task and cut into pieces; pieces of equal length take their places in the order in which they are
+encoded, whatever their doc_ids; an empty table gives no pieces; repeated rows, and rows that share a
+doc_id or have none, are packed each on its own; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -146,7 +148,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER)
     span = np.int64(max(counts.values(), default=0) + 1)
     key = runs[:, 0] * span + runs[:, 1]
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    tally = tally.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    # A row for each task and length: it grows with the input, so it is merged, never broadcast.
+    tally = tally.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")).hint("merge")
     ranked = rows.join(tally, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("_before")).alias("_rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 

@@ -13,7 +13,8 @@ task leaves at most a file that nothing refers to.
 
 Defined results: a null html is an empty payload; a null url is recorded as empty; rows that share the
 largest page_id of a payload are all responses; a null page_id never is the largest if there is
-another; an empty table gives no archives and an empty result; other columns are ignored.
+another; a payload of any length is one record, held whole by one task; an empty table gives no
+archives and an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -97,29 +98,60 @@ def members(source, read: int = READ) -> Iterator[Iterator[bytes]]:
         rest = rest or source.read(read)
 
 
+class _Framed:
+    """The bytes of one member, taken from its parts as they are inflated."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.held = parts, bytearray()
+
+    def until(self, mark: bytes) -> bytes:
+        """What comes before `mark`, which is taken too."""
+        seen = 0
+        while (end := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark) + 1)
+            if (part := next(self.parts, None)) is None:
+                raise DamagedArchive("a record has no end of header")
+            self.held += part
+        found = bytes(self.held[:end])
+        del self.held[: end + len(mark)]
+        return found
+
+    def exactly(self, n: int, who: str) -> Iterator[bytes]:
+        """The next n bytes, in parts."""
+        while n:
+            if not self.held:
+                if (part := next(self.parts, None)) is None:
+                    raise DamagedArchive(f"{who} lacks {n} bytes")
+                self.held += part
+            part = bytes(self.held[:n])
+            del self.held[:n]
+            n -= len(part)
+            yield part
+
+
 def read_records(source) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """Header fields (names in lower case), HTTP header and payload of each record of an archive, verified."""
+    """Header fields (names in lower case), HTTP header and payload of each record of an archive, verified.
+
+    A record is framed by its Content-Length while it is inflated: a longer or a shorter member is an error, found without inflating more than the record and the block behind it.
+    """
     for parts in members(source):
-        data = bytearray()
-        while (end := data.find(b"\r\n\r\n")) < 0:
-            if (part := next(parts, None)) is None:
-                raise DamagedArchive("a record has no end of header")
-            data += part
-        version, *lines = bytes(data[:end]).decode().split("\r\n")
+        record = _Framed(parts)
+        version, *lines = record.until(b"\r\n\r\n").decode().split("\r\n")
         if not version.startswith("WARC/"):
             raise DamagedArchive(f"a record begins with {version[:20]!r}")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        length = int(head["content-length"])
-        for part in parts:
-            data += part
-        if len(data) != end + 4 + length + 4 or data[-4:] != b"\r\n\r\n":
-            raise DamagedArchive(f"{head.get('warc-record-id')} has {len(data) - end - 8} bytes, not {length}")
-        block = bytes(data[end + 4 : end + 4 + length])
-        if head.get("warc-block-digest", "").partition(":")[2] != base32_sha1(block):
-            raise DamagedArchive(f"{head.get('warc-record-id')}: the block has another digest")
+        who, digest, held = head.get("warc-record-id", "a record"), hashlib.sha1(), []
+        for part in record.exactly(int(head["content-length"]), who):
+            digest.update(part)
+            held.append(part)
+        if b"".join(record.exactly(4, who)) != b"\r\n\r\n" or record.held or next(parts, None) is not None:
+            raise DamagedArchive(f"{who} doesn't end after {head['content-length']} bytes")
+        block = b"".join(held)
+        if head.get("warc-block-digest", "").partition(":")[2] != base64.b32encode(digest.digest()).decode():
+            raise DamagedArchive(f"{who}: the block has another digest")
         http, _, payload = block.partition(b"\r\n\r\n")
         if head["warc-type"] == "response" and head["warc-payload-digest"].partition(":")[2] != base32_sha1(payload):
-            raise DamagedArchive(f"{head.get('warc-record-id')}: the payload has another digest")
+            raise DamagedArchive(f"{who}: the payload has another digest")
         yield head, http, payload
 
 
