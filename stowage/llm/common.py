@@ -14,6 +14,8 @@ from stowage.session import ship
 BLANKS = " \t\n\x0b\x0c\r"
 #: One or more of them, as a Java regular expression.
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+#: Paths of the tables that Written has made and not dropped.
+_PATHS: list[str] = []
 #: Shuffle files are dropped as soon as the statement that made them has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes that go to a Python worker at once: texts are long, and each is held several times over.
@@ -45,6 +47,19 @@ def sweep(spark: SparkSession) -> None:
     drop_path(spark, _own_folder(spark))
 
 
+def drop_since(spark: SparkSession, mark: int, keep: str) -> None:
+    """Delete the tables that were written after the first `mark` ones, but for the one at `keep`. Nothing may read them any more."""
+    for path in _PATHS[mark:]:
+        if path != keep:
+            drop_path(spark, path)
+    _PATHS[mark:] = [keep]
+
+
+def tables_written() -> int:
+    """How many tables this process has written and not dropped: a mark for drop_since()."""
+    return len(_PATHS)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that new_path() named."""
     jvm = spark.sparkContext._jvm
@@ -53,7 +68,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Give the executors this package, send them small batches, and let Spark drop a statement's shuffle files at its end rather than when the driver collects garbage."""
+    """Give the executors this package, send them small batches, and let Spark drop a statement's shuffle files at its end rather than when the driver collects garbage.
+
+    The settings stay with the session: results are lazy and run after the operator has returned.
+    """
     spark.conf.set(_CLEANUP, "true")
     for name, value in _BATCHES.items():
         spark.conf.set(name, value)
@@ -70,11 +88,14 @@ class Written:
     def __init__(self, df: DataFrame, name: str, codec: str = "zstd"):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
+        _PATHS.append(self.path)
         schema = df.schema
         df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:
+        if self.path in _PATHS:
+            _PATHS.remove(self.path)
         drop_path(self.spark, self.path)
 
 

@@ -14,46 +14,52 @@ all pairs exactly. Copies of a text cost one fingerprint. Only fingerprints move
 near_duplicates() is that, with 64 bits. Four bits of 64 stand for a similarity far above 0.8, though:
 texts that share 80 % of their shingles differ in ten. keep_one(), which drops near copies from a
 corpus, therefore takes the sets of shingles of five words, and links texts whose sets have a Jaccard
-similarity of SIMILAR or more, counted exactly. Fingerprints of 256 bits only find the candidates: at
-0.8 they differ in 39 bits with a deviation of 6, in WIDE_RADIUS or fewer all but surely; unrelated
-texts differ in 128. No pair of blocks agrees surely at such a radius; buckets are random samples of
-the bits there, as many as find a pair at 0.8 with the probability FOUND over all its distances, and
-as wide as the number of fingerprints asks for. A forest of candidates won't do, as a candidate that
-falls short may be all that joins two that don't; but nodes that are known to be connected need no
+similarity of SIMILAR or more, counted exactly. Its buckets are bands of least hashes: texts meet if the
+ROWS least hashes of one of BANDS bands agree, which pairs at 0.8 do with the probability met(0.8) and
+unlike texts hardly ever, however many texts there are. Within a bucket, fingerprints of 256 bits are
+compared bit-sliced: at 0.8 they differ in 39 bits with a deviation of 6, in WIDE_RADIUS or fewer all
+but surely; what is within the radius is a candidate. A forest of candidates won't do, as a candidate
+that falls short may be all that joins two that don't; but nodes that are known to be connected need no
 further link. So forests at the CLOSE radii are verified first, and then all candidates between nodes
 that these leave apart.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other, and in
-keep_one() the empty set of shingles, which is similar to itself only; repeated rows get equal results; a component of rows without doc_id has no component_id; an empty table gives an
-empty result; other columns are ignored, or passed through by keep_one().
+keep_one() the empty set of shingles, which is similar to itself only; a text of any length is hashed
+whole by one task, some of its shingles at a time; repeated rows get equal results; rows that share a
+doc_id are documents of their own where their texts differ; a component of rows without doc_id has no
+component_id; an empty table gives an empty result; other columns, whatever their names, are ignored,
+or passed through by keep_one().
 """
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import Written
 
 #: Words of a shingle, the largest number of differing bits that links, and the seed of XXH64.
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Widths of the blocks of bits, from bit 0; two of them at least agree where four bits differ.
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Numbers of blocks that 64 bits are cut into, all but RADIUS of which agree where RADIUS bits differ: 15 keys of 21 bits, 35 of 27, 70 of 32.
+BLOCKS = (6, 7, 8)
+#: Fingerprints for each value of a key above which there are to be more blocks, and so longer keys.
+CROWDED = 64
 #: Fingerprints of a bucket that one task compares at once.
 TILE = 16_384
 #: keep_one(): the least similarity, as a fraction, that links.
 SIMILAR = (4, 5)
-#: keep_one(): words of a shingle, 64-bit words of a fingerprint, the radius of candidates, and the probability with which a pair at similarity 0.8 is one.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, FOUND = 5, 4, 60, 0.99
-#: Radii of the forests that are verified first, and the number of samples of bits they take.
-CLOSE, CLOSE_TABLES = (12, 24, 36), 12
-#: Share of bits in which texts of similarity 0.8 agree: 1 - acos(2s / (1+s)) / pi.
-AGREE = 0.848
+#: keep_one(): words of a shingle, 64-bit words of a fingerprint, and the radius of candidates.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS = 5, 4, 56
+#: keep_one(): bands of least hashes, and least hashes of a band.
+BANDS, ROWS = 14, 5
+#: Radii of the forests that are verified first.
+CLOSE = (12, 24, 36)
+#: Hashes whose least are sought at a time.
+SOUGHT = 20_000
 #: Hash values whose bits are unpacked at a time, rows gathered before their buckets are compared, comparisons (of one with 64) held at a time.
 UNPACKED, GATHERED, HELD = 200_000, 200_000, 400_000
 
@@ -126,12 +132,28 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> Dat
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def bucket_keys(fingerprint: Column) -> Column:
-    """The keys of a fingerprint: which two blocks, and their bits."""
-    at = np.concatenate(([0], np.cumsum(BLOCKS)))
-    block = [F.shiftrightunsigned(fingerprint, int(a)).bitwiseAND(F.lit((1 << w) - 1).cast("long")) for a, w in zip(at, BLOCKS, strict=False)]
-    pairs = combinations(range(len(BLOCKS)), 2)
-    return F.array(*[F.lit(k).cast("long") * (1 << 22) + block[i] * (1 << BLOCKS[j]) + block[j] for k, (i, j) in enumerate(pairs)])
+def widths(blocks: int) -> list[int]:
+    """Widths of so many blocks of 64 bits, from bit 0."""
+    return [64 // blocks + (k < 64 % blocks) for k in range(blocks)]
+
+
+def blocks_for(n: int) -> int:
+    """The least number of blocks whose keys are not crowded by n fingerprints, or the greatest there is."""
+    return next((b for b in BLOCKS if n <= CROWDED << min(sum(c) for c in combinations(widths(b), b - RADIUS))), BLOCKS[-1])
+
+
+def bucket_keys(fingerprint: Column, blocks: int = BLOCKS[0]) -> Column:
+    """The keys of a fingerprint: which blocks, and their bits."""
+    width = widths(blocks)
+    at = np.concatenate(([0], np.cumsum(width)))
+    block = [F.shiftrightunsigned(fingerprint, int(a)).bitwiseAND(F.lit((1 << w) - 1).cast("long")) for a, w in zip(at, width, strict=False)]
+    out = []
+    for k, some in enumerate(combinations(range(blocks), blocks - RADIUS)):
+        bits = block[some[0]]
+        for j in some[1:]:
+            bits = F.shiftleft(bits, width[j]).bitwiseOR(block[j])
+        out.append(F.lit(k).cast("long") * (1 << 40) + bits)
+    return F.array(*out)
 
 
 def _planes(fps: np.ndarray, starts: np.ndarray, lane: np.ndarray) -> np.ndarray:
@@ -260,41 +282,37 @@ def bucket_pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, labels: n
             yield np.maximum(u, v), np.minimum(u, v)
 
 
-def found(bits: int, tables: int, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS) -> float:
-    """The probability that a pair at similarity 0.8 is within the radius and meets in one of `tables` samples of `bits` bits."""
-    n = 64 * words
-    meets = lambda d: 1 - (1 - math.comb(n - d, bits) / math.comb(n, bits)) ** tables
-    return sum(math.comb(n, d) * (1 - AGREE) ** d * AGREE ** (n - d) * meets(d) for d in range(radius + 1))
+def met(similarity: float) -> float:
+    """The probability that two sets of a similarity meet in a bucket."""
+    return 1 - (1 - similarity**ROWS) ** BANDS
 
 
-def tables_for(bits: int) -> int:
-    """The least number of samples of `bits` bits that find a pair at similarity 0.8 with the probability FOUND."""
-    low, high = 0, 1
-    while found(bits, high) < FOUND:
-        low, high = high, 2 * high
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (low, mid) if found(bits, mid) >= FOUND else (mid, high)
-    return high
-
-
-def sampled_keys(fps: DataFrame, bits: int, words: int, tables: int) -> DataFrame:
-    """`fps` (node, f0, ..., and a label if there is one) with a `key` for each of `tables` random samples of `bits` bits."""
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A key for each band, as signed numbers, for each of some sets of hashes (none may be empty)."""
     rng = np.random.Generator(np.random.PCG64(SEED))
-    samples = [np.sort(rng.choice(64 * words, bits, replace=False)) for _ in range(tables)]
-    names = ["key", *fps.columns]
+    flip, factor = (rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1) for _ in range(2))
+    least = np.empty((len(sets), BANDS * ROWS), dtype=np.uint64)
 
-    def run(batches):
-        for batch in batches:
-            f = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(words)])
-            for t, sample in enumerate(samples):
-                key = np.zeros(f.shape[1], dtype=np.uint64)
-                for b in sample:
-                    key = (key << np.uint64(1)) | ((f[b // 64] >> np.uint64(b % 64)) & np.uint64(1))
-                key = (np.uint64(t) << np.uint64(bits)) | key
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names)
+    def hashed(h: np.ndarray) -> np.ndarray:
+        x = (h[:, None] ^ flip) * factor
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
-    return fps.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    at = 0
+    while at < len(sets):
+        stop, n = at, 0
+        while stop < len(sets) and (stop == at or n + len(sets[stop]) <= SOUGHT):
+            n += len(sets[stop])
+            stop += 1
+        if n > SOUGHT:  # one long set
+            least[at] = np.min([hashed(sets[at][k : k + SOUGHT]).min(axis=0) for k in range(0, n, SOUGHT)], axis=0)
+        else:
+            starts = np.cumsum([0, *map(len, sets[at : stop - 1])])
+            least[at:stop] = np.minimum.reduceat(hashed(np.concatenate(sets[at:stop])), starts, axis=0)
+        at = stop
+    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sets), BANDS)).copy()
+    for row in range(ROWS):
+        keys = _remixed(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, row::ROWS], 1)
+    return keys.view(np.int64)
 
 
 def links(rows: DataFrame, words: int = 1, radii: tuple[int, ...] = (RADIUS,)) -> DataFrame:
@@ -384,7 +402,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, a row for each of `docs`."""
     rows = Written(fingerprints(docs), "fingerprints").df.withColumn("node", F.col("f0"))
     fps = Written(rows.select("node", "f0").distinct(), "fingerprints-distinct").df
-    keyed = fps.select(F.explode(bucket_keys(F.col("f0"))).alias("key"), "node", "f0")
+    keyed = fps.select(F.explode(bucket_keys(F.col("f0"), blocks_for(fps.count()))).alias("key"), "node", "f0")
     known = _classes(rows, links(keyed))
     return rows.join(known, "node").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -395,9 +413,9 @@ def text_md5() -> Column:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, md5 (of the text), node (a hash of the set), f0, ... and `shingles`, the set of a text's shingle hashes, a row for each of `docs`."""
+    """doc_id, md5 (of the text), node (a hash of the set), f0, ..., `bands` (the keys of its buckets) and `shingles`, the set of a text's shingle hashes, a row for each of `docs`."""
     f = _names(WIDE_WORDS)
-    schema = "doc_id long, md5 string, node long" + "".join(f", {n} long" for n in f) + ", shingles array<long>"
+    schema = "doc_id long, md5 string, node long" + "".join(f", {n} long" for n in f) + ", bands array<long>, shingles array<long>"
 
     def run(batches):
         from xxhash import xxh64_intdigest
@@ -406,9 +424,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             sets = [np.unique(shingle_hashes(x, WIDE_SHINGLE)) for x in batch.column(2).to_pylist()]
             nodes = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
             prints = _fingerprints(sets, words=WIDE_WORDS).view(np.int64)
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE_WORDS)), held], ["doc_id", "md5", "node", *f, "shingles"])
+            sizes = np.array([len(x) for x in sets], dtype=np.int64)
+            lists = lambda each, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32)), pa.array(values))
+            bands = lists(BANDS * (sizes > 0), band_keys([x for x in sets if len(x)]).ravel())
+            held = lists(sizes, np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE_WORDS)), bands, held], ["doc_id", "md5", "node", *f, "bands", "shingles"])
 
     return docs.select(F.col("doc_id").cast("long"), text_md5().alias("md5"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
@@ -427,12 +447,16 @@ def similar(candidates: DataFrame, rows: DataFrame) -> DataFrame:
 def similar_links(rows: DataFrame) -> DataFrame:
     """Links u, v of sufficient similarity that connect all nodes of a component, from the rows of shingle_sets()."""
     f = _names(WIDE_WORDS)
-    fps = Written(rows.select("node", *f).dropDuplicates(["node"]), "fingerprints-wide-distinct").df
-    bits = min(40, max(10, fps.count().bit_length() - 7))
-    close = Written(links(sampled_keys(fps, bits, WIDE_WORDS, CLOSE_TABLES), WIDE_WORDS, CLOSE), "close-candidates").df
+    keyed = Written(rows.select("node", *f, "bands").dropDuplicates(["node"]).select(F.explode("bands").alias("key"), "node", *f), "bands").df
+    shared = Written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "bands-shared").df
+    buckets = Written(keyed.join(shared, "key"), "buckets").df
+    close = Written(links(buckets, WIDE_WORDS, CLOSE), "close-candidates").df
     close = Written(similar(close, rows), "close-links").df
-    labelled = Written(fps.join(components(close), "node", "left").select("node", *f, F.coalesce("root", "node").alias("label")), "fingerprints-labelled").df
-    wide = Written(links(sampled_keys(labelled, bits, WIDE_WORDS, tables_for(bits)), WIDE_WORDS, (WIDE_RADIUS,)), "wide-candidates").df
+    labelled = Written(buckets.join(components(close), "node", "left").select("key", "node", *f, F.coalesce("root", "node").alias("label")), "buckets-labelled").df
+    # A bucket whose nodes are all connected by now has no candidates left.
+    apart = labelled.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("key")
+    labelled = labelled.join(Written(apart, "buckets-apart").df, "key")
+    wide = Written(links(labelled, WIDE_WORDS, (WIDE_RADIUS,)), "wide-candidates").df
     return Written(close.union(similar(wide, rows)), "similar-links").df
 
 
@@ -457,8 +481,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     its text; of equal texts that with the least other columns. Groups are made of texts, so different texts
     stay whether they have no id or share one.
     """
-    stay = _copies(docs).select(F.col("stays.doc_id").alias("_stay"), F.col("stays.md5").alias("_stay_md5")).distinct()
-    rows = docs.withColumn("_md5", text_md5())
+    stay = Written(_copies(docs).select(F.col("stays.doc_id").alias("_stay"), F.col("stays.md5").alias("_stay_md5")).distinct(), "copies-stay").df
+    rows = docs.withColumns({"_md5": text_md5(), "_rest": F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_none"))})
     rows = rows.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")) & (F.col("_md5") == F.col("_stay_md5")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_md5").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
-    return rows.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    # Rows that repeat an id and a text are combined before they are dealt out.
+    one = rows.groupBy("doc_id", "_md5").agg(F.first("text").alias("text"), F.min("_rest").alias("_rest"))
+    return one.select(*[c if c in ("doc_id", "text") else F.col(f"_rest.{c}").alias(c) for c in docs.columns])

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from stowage.llm import simhash
 from tests.llm.conftest import documents
 
@@ -58,10 +60,24 @@ def test_candidates_that_fall_short_hide_no_link(spark):
     assert groups_of(spark, texts) == dict(enumerate(root))
 
 
-def test_the_number_of_samples_counts_all_distances():
-    for bits in (10, 12, 16, 18):
-        tables = simhash.tables_for(bits)
-        assert simhash.found(bits, tables) >= simhash.FOUND > simhash.found(bits, tables - 1)
+def test_pairs_at_four_fifths_meet():
+    assert simhash.met(0.8) > 0.995
+    assert simhash.met(0.3) < 0.05
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 64, 1000, dtype=np.uint64) for _ in range(400)]
+    # 800 of 1,000 hashes in common, among them sets that are sought in parts.
+    pairs = [(x[:900], x[100:]) for x in sets]
+    keys = simhash.band_keys([y for p in pairs for y in p])
+    assert sum(bool((keys[2 * k] == keys[2 * k + 1]).any()) for k in range(400)) >= 394
+    assert len(np.unique(np.concatenate([keys[0::2].ravel()]))) == 400 * simhash.BANDS
+    long = rng.integers(0, 1 << 64, 3 * simhash.SOUGHT, dtype=np.uint64)
+    assert (simhash.band_keys([long])[0] == simhash.band_keys([rng.permutation(long), long[:5]])[0]).all()
+
+
+def test_longer_keys_for_more_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 60_000_000, 1_000_000_000, 30_000_000_000)] == [6, 6, 7, 8]
+    for blocks in simhash.BLOCKS:
+        assert sum(simhash.widths(blocks)) == 64
 
 
 def test_different_texts_without_id_or_with_equal_ids_stay(spark):
