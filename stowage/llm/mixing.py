@@ -9,8 +9,11 @@ Places in a source are prefix sums in an order given by a hash of the document.
 steps, sums over slices of the hash and then sums within a slice, so that a source with a third of
 all rows is spread like any other: no window ever sees more than one slice.
 
-Defined results: null and empty texts have no words and are never taken; a null source is a source,
-last in order; an empty table gives an empty mix; repeated rows count each time; other columns pass.
+Defined results: null and empty texts have no words and are never taken; a text of any length is one
+row; a null source is a source, last in order; rows that share a doc_id, or have none, are documents of
+their own and are ordered by their texts; rows equal in id and text may change places, which changes no
+result; documents due at the same position go by doc_id; repeated rows count each time; an empty table
+gives an empty mix; other columns, whatever their names, pass.
 """
 
 from __future__ import annotations
@@ -74,9 +77,10 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     Copy e of a document covers the words [e*source_size + start, + size) of its source's stream, and
     is taken if its middle is within the target: the sum is within half a document of the target.
     """
-    narrow = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15)
-    narrow = narrow.withColumn("_hash", F.conv(digits, 16, 10).cast("long"))
+    # By id and text, so that rows without an id, or with the same one, are spread as well.
+    digits = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))).cast("binary"))
+    hashed = F.conv(F.substring(digits, 1, 15), 16, 10).cast("long")
+    narrow = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), hashed.alias("_hash"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     narrow = narrow.withColumn("_slice", F.pmod("_hash", F.lit(SLICES)).cast("int"))
     held = Written(narrow, "mix") if write else None
     narrow = held.df if held else narrow
@@ -88,7 +92,10 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     slices = slices.join(shares.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
     slices = slices.select(F.struct("source").alias("_src"), "_slice", "_before", "source_size", "target", "rank")
     within = Window.partitionBy("_src", "_slice").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = narrow.withColumn("_src", F.struct("source")).withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    # Documents without words are never taken and come nowhere: they stay out of the windows, of which one could else hold them all.
+    none = narrow.where("size = 0").join(shares.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+    none = none.withColumns({"start": F.lit(0).cast("long"), "copies": F.lit(0)})
+    placed = narrow.where("size > 0").withColumn("_src", F.struct("source")).withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(slices, ["_src", "_slice"])
     start = F.col("_before") + F.col("_in")
     middle = start + F.col("size") / 2
@@ -96,7 +103,8 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     for e in range(MOST_COPIES):
         copies = copies + F.when((F.col("size") > 0) & (middle + e * F.col("source_size") <= F.col("target")), 1).otherwise(0)
     placed = placed.withColumns({"start": start, "copies": copies})
-    return placed.select("doc_id", "size", "source", "source_size", "target", "rank", "start", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"_keep_{c}" for c in keep])
+    names = ["doc_id", "size", "source", "source_size", "target", "rank", "start", "copies", *[f"_keep_{c}" for c in keep]]
+    return placed.select(*names).unionByName(none.select(*names)).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def position(start: Column, copy: Column, source_size: Column, target: Column, rank: Column) -> Column:

@@ -7,8 +7,10 @@ stays if its posterior probability of being good is at least one half.
 Only counts of vote patterns leave the scan: at most 3^6 rows, whatever the input. The steps of the
 maximisation are aggregations over those rows; a step hands the next one its parameters as literals.
 
-Defined results: a null text has no words; an empty table gives an empty result; repeated rows are
-judged alike; every other column of the input is passed through or ignored, never used by name.
+Defined results: a null text has no words; a text of any length is one row, whose arrays are a few times
+its size; an empty table gives an empty result; repeated rows, and rows that share a doc_id or have
+none, are judged each by its own text, equal texts alike; every other column of the input, whatever its
+name, is passed through or ignored, never used by name.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from stowage.llm.common import BLANKS, Written, as_list, words_of
 
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbols", "marks", "repetition", "lines", "shouting", "word_length")
-#: Steps of the expectation-maximisation; it settles after about ten.
-STEPS = 12
+#: The expectation-maximisation ends when no pattern's posterior moves by this much in a step, or after so many steps.
+SETTLED, STEPS = 1e-4, 40
 #: A document stays if its posterior probability of being good is at least this.
 KEEP_AT = 0.5
 
@@ -106,22 +108,23 @@ class VoteModel:
 
 
 def fit(features: DataFrame) -> VoteModel:
-    """Estimate the model from the votes on all rows of with_features()'s result.
+    """Estimate the model from the votes (columns v_...) on all rows.
 
     It begins with every bad vote taken at its word. An abstention is no evidence, a bad vote never counts in favour of a document
     and a good one never against it, whatever the estimates, so that the classes can't change places.
     """
     names = [f"v_{r}" for r in RULES]
-    kept = Written(features.select(*votes()).groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "votes")
-    patterns = kept.df.coalesce(1)
-    p = F.when(F.least(*names) < 0, 0.1).otherwise(0.95)
+    kept = Written(features.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "votes")
+    patterns = kept.df.coalesce(1)  # at most 3^6 rows
     model = VoteModel(0.9, [{-1: -3.0, 0: 0.0, 1: 0.1} for _ in RULES])
-    for _ in range(STEPS):
-        cast = patterns.select("n", p.alias("p"), F.posexplode(F.array(*names)).alias("rule", "vote"))
-        sums = cast.groupBy("rule", "vote").agg(F.sum(F.col("n") * F.col("p")).alias("good"), F.sum(F.col("n") * (1 - F.col("p"))).alias("bad"))
-        got = {(r, v): (g, b) for r, v, g, b in as_list(sums, "rule", "vote", "good", "bad")}
-        if not got:
+    before, p = F.lit(-1.0), F.when(F.least(*names) < 0, 0.1).otherwise(0.95)
+    for step in range(STEPS + 1):
+        cast = patterns.select("n", p.alias("p"), before.alias("before"), F.posexplode(F.array(*names)).alias("rule", "vote"))
+        sums = cast.groupBy("rule", "vote").agg(F.sum(F.col("n") * F.col("p")).alias("good"), F.sum(F.col("n") * (1 - F.col("p"))).alias("bad"), F.max(F.abs(F.col("p") - F.col("before"))).alias("moved"))
+        rows = as_list(sums, "rule", "vote", "good", "bad", "moved")
+        if step == STEPS or max((r[-1] for r in rows), default=0) < SETTLED:
             break
+        got = {(r, v): (g, b) for r, v, g, b, _ in rows}
         # Each document votes once by each rule, so the first rule's sums are those of all documents.
         good, bad = (sum(got.get((0, v), (0, 0))[k] for v in (-1, 0, 1)) + 1 for k in (0, 1))
         odds = []
@@ -129,7 +132,7 @@ def fit(features: DataFrame) -> VoteModel:
             of = {v: math.log((got.get((r, v), (0, 0))[0] + 1) / (good + 2)) - math.log((got.get((r, v), (0, 0))[1] + 1) / (bad + 2)) for v in (-1, 0, 1)}
             odds.append({-1: min(of[-1], 0.0), 0: 0.0, 1: max(of[1], 0.0)})
         model = VoteModel(good / (good + bad), odds)
-        p = model.posterior([F.col(c) for c in names])
+        before, p = p, model.posterior([F.col(c) for c in names])
     kept.drop()
     return model
 
@@ -141,20 +144,21 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with `_q_...` (the counts), `_p` (posterior probability of good quality), `_base_failed` and `_kept`.
+    """`docs` with `_q_...` (the counts), `v_...` (the votes), `_p` (posterior probability of good quality), `_base_failed` and `_kept`.
 
-    The counts are computed for the fit and again for the result, so that no text is written.
+    Rows are written with their counts, so that these are computed once, for the fit and for the result.
     """
     features = with_features(docs, text)
-    p = fit(features).posterior(votes())
-    return features.withColumns({"_p": p, "_base_failed": base_failed(), "_kept": ~base_failed() & (p >= KEEP_AT) & (F.col("_q_row") >= 0)})
+    rows = Written(features.select("*", *votes()), "judged").df
+    p = fit(rows).posterior([F.col(f"v_{r}") for r in RULES])
+    return rows.withColumns({"_p": p, "_base_failed": base_failed(), "_kept": ~base_failed() & (p >= KEEP_AT)})
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """The digest columns, a row for each of `docs`."""
     narrow = with_features(docs.select("doc_id", "text")).drop("text")
-    rows = Written(narrow, "quality").df
-    p = fit(rows).posterior(votes())
+    rows = Written(narrow.select("*", *votes()), "quality").df
+    p = fit(rows).posterior([F.col(f"v_{r}") for r in RULES])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return rows.select(
         "doc_id",
@@ -167,4 +171,4 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with their own columns."""
-    return judge(docs).where("_kept").select(*docs.columns)
+    return judge(docs.select(*[F.col(c).alias(f"_d_{c}") for c in docs.columns]), "_d_text").where("_kept").select(*[F.col(f"_d_{c}").alias(c) for c in docs.columns])

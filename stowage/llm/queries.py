@@ -90,7 +90,7 @@ SELECT page_id, octet_length(b) AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
   url, CASE WHEN page_id = first THEN octet_length(b) ELSE 0 END AS stored_bytes FROM d"""
 
-_MIX = f"""WITH n AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+_MIX = f"""WITH n AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM n GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
 w AS (SELECT *, CAST(1 + rank % 3 AS DOUBLE) AS weight FROM r),
@@ -130,7 +130,7 @@ def _quality() -> str:
     names = [f"v_{r}" for r in q.RULES]
     vote = ", ".join(f"CASE WHEN n_words = 0 THEN 0 WHEN {bad.replace('x', f'({x})')} THEN -1 WHEN {good.replace('x', f'({x})')} THEN 1 ELSE 0 END AS v_{r}" for r, (x, bad, good) in ((r, rules[r]) for r in q.RULES))
     cols = ", ".join(names)
-    steps = [f"p0 AS MATERIALIZED (SELECT *, CASE WHEN least({cols}) < 0 THEN 0.1::DOUBLE ELSE 0.95::DOUBLE END AS p FROM (SELECT {cols}, count(*) AS n FROM votes GROUP BY ALL))"]
+    steps = [f"p0 AS MATERIALIZED (SELECT *, CASE WHEN least({cols}) < 0 THEN 0.1::DOUBLE ELSE 0.95::DOUBLE END AS p, 1.0::DOUBLE AS moved FROM (SELECT {cols}, count(*) AS n FROM votes GROUP BY ALL))"]
     for k in range(q.STEPS):
         joins = " ".join(f"JOIN o{k} AS a{j} ON a{j}.j = {j} AND a{j}.v = p{k}.{name}" for j, name in enumerate(names))
         total = " + ".join(f"a{j}.o" for j in range(len(names)))
@@ -138,8 +138,10 @@ def _quality() -> str:
             f"m{k} AS MATERIALIZED (SELECT j, v, sum(n * p) AS g, sum(n * (1 - p)) AS b FROM (SELECT unnest({list(range(len(names)))}) AS j, unnest([{cols}]) AS v, n, p FROM p{k}) GROUP BY j, v)",
             f"t{k} AS MATERIALIZED (SELECT sum(g) + 1 AS good, sum(b) + 1 AS bad FROM m{k} WHERE j = 0)",
             f"o{k} AS MATERIALIZED (SELECT j, v, CASE v WHEN -1 THEN least(x, 0) WHEN 1 THEN greatest(x, 0) ELSE 0 END AS o FROM (SELECT j, v, ln((g + 1) / (good + 2)) - ln((b + 1) / (bad + 2)) AS x FROM m{k}, t{k}))",
-            f"p{k + 1} AS MATERIALIZED (SELECT p{k}.* EXCLUDE (p), 1 / (1 + exp(-(ln((good / (good + bad)) / (1 - good / (good + bad))) + {total}))) AS p FROM p{k}, t{k} {joins})",
+            f"p{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (q, was), q AS p, abs(q - was) AS moved FROM (SELECT p{k}.* EXCLUDE (p, moved), p{k}.p AS was, 1 / (1 + exp(-(ln((good / (good + bad)) / (1 - good / (good + bad))) + {total}))) AS q FROM p{k}, t{k} {joins}))",
         ]
+    steps.append("every AS (" + " UNION ALL ".join(f"SELECT {k} AS k, {cols}, p, moved FROM p{k}" for k in range(1, q.STEPS + 1)) + ")")
+    steps.append(f"settled AS (SELECT coalesce(min(k), {q.STEPS}) AS k FROM (SELECT k FROM every GROUP BY k HAVING max(moved) < {q.SETTLED}))")
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
 k AS (SELECT doc_id, i, w[i : i + 2] AS three FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
@@ -149,7 +151,11 @@ f AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, {dropped(blank + "+")}
   CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, {dropped("[^\\p{Lu}]+")} AS n_capitals, {dropped("[\\p{L}\\p{M}\\p{N}\\s]+")} AS n_marks FROM w LEFT JOIN rep USING (doc_id)),
 votes AS (SELECT *, {vote}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 {", ".join(steps)}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= {q.KEEP_AT} AS kept, round(p, 6) AS p_good FROM votes JOIN p{q.STEPS} USING ({cols})"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= {q.KEEP_AT} AS kept, round(p, 6) AS p_good FROM votes JOIN (SELECT * FROM every WHERE k = (SELECT k FROM settled)) USING ({cols})"""
+
+
+#: Rounds that the SQL has, more than ranks on these pages take to settle.
+_URL_ROUNDS = 64
 
 
 def _urls() -> str:
@@ -161,24 +167,28 @@ def _urls() -> str:
     when = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN " for _, _, h, p in fits]
     link = u.LINK.replace("'", "''")
     tail = "array_to_string(l[{} :], '.')".format
-    rounds = ["r0 AS (SELECT kind, host, seed AS rank FROM seeds)"]
-    for k in range(1, u.ROUNDS + 1):
+    rounds = [f"r0 AS MATERIALIZED (SELECT kind, host, seed * (1 - {u.DAMPING}) AS rank, seed * (1 - {u.DAMPING}) AS added FROM seeds)"]
+    for k in range(1, _URL_ROUNDS + 1):
         rounds.append(
-            f"r{k} AS (SELECT kind, host, sum(rank) AS rank FROM (SELECT r.kind, e.dst AS host, r.rank * e.share * {u.DAMPING} AS rank FROM r{k - 1} r JOIN shares e ON r.kind = e.kind AND r.host = e.src"
-            f" UNION ALL SELECT kind, host, seed * (1 - {u.DAMPING}) FROM seeds) GROUP BY kind, host)"
+            f"r{k} AS MATERIALIZED (SELECT kind, host, sum(rank) + sum(added) AS rank, sum(added) AS added FROM (SELECT r.kind, e.dst AS host, 0.0::DOUBLE AS rank, r.added * e.share * {u.DAMPING} AS added FROM r{k - 1} r JOIN shares e ON r.kind = e.kind AND r.host = e.src"
+            f" UNION ALL SELECT kind, host, rank, 0.0 FROM r{k - 1}) GROUP BY kind, host)"
         )
+    ends = range(u.WRITE_EVERY, _URL_ROUNDS + 1, u.WRITE_EVERY)
+    rounds.append("every AS (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM r{k}" for k in ends) + ")")
+    rounds.append(f"settled AS (SELECT min(k) AS k FROM (SELECT k FROM every GROUP BY k HAVING max(added / rank) <= {u.SETTLED}))")
     of = lambda kind: f"round(sum(CASE WHEN kind = '{kind}' THEN rank ELSE 0.0 END), 9) AS {kind}"
     return f"""WITH p AS (SELECT page_id, html, {lower("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 j AS (SELECT *, CASE {" ".join(w + f"'{r}'" for w, (_, r, _, _) in zip(when, fits, strict=True))} END AS rule, CASE {" ".join(w + f"'{s}'" for w, (s, _, _, _) in zip(when, fits, strict=True))} END AS said FROM p),
 links AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT host AS src, {lower(f"unnest(regexp_extract_all(html, '{link}', 1))")} AS dst FROM p) GROUP BY src, dst),
 hosts AS (SELECT DISTINCT string_split(host, '.') AS l FROM (SELECT host FROM p UNION ALL SELECT dst FROM links) WHERE host <> ''),
-family AS (SELECT DISTINCT {tail("k")} AS src, {tail("k + 1")} AS dst, CAST({u.FAMILY} AS DOUBLE) AS weight FROM (SELECT l, unnest(range(1, len(l) - 1)) AS k FROM hosts WHERE len(l) > 2)),
+owned AS (SELECT l, CASE WHEN {tail("len(l) - 1")} IN ({", ".join(f"'{x}'" for x in u.SUFFIXES)}) THEN 3 ELSE 2 END AS own FROM hosts WHERE len(l) > 2),
+family AS (SELECT DISTINCT {tail("k")} AS src, {tail("k + 1")} AS dst, CAST({u.FAMILY} AS DOUBLE) AS weight FROM (SELECT l, unnest(range(1, len(l) - own + 1)) AS k FROM owned WHERE len(l) > own)),
 edges AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM links UNION ALL SELECT * FROM family UNION ALL SELECT dst, src, weight FROM family) WHERE src <> dst AND src <> '' GROUP BY src, dst),
 ways AS (SELECT 'trust' AS kind, src, dst, weight FROM edges UNION ALL SELECT 'distrust', dst, src, weight FROM edges),
 shares AS (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS share FROM ways),
 seeds AS (SELECT CASE said WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, CAST(count(*) AS DOUBLE) AS seed FROM j WHERE said IS NOT NULL AND host <> '' GROUP BY 1, 2),
 {", ".join(rounds)},
-s AS (SELECT host, {of("trust")}, {of("distrust")} FROM r{u.ROUNDS} GROUP BY host)
+s AS (SELECT host, {of("trust")}, {of("distrust")} FROM every WHERE k = (SELECT k FROM settled) GROUP BY host)
 SELECT page_id, j.host, path, rule, coalesce(said, CASE WHEN distrust > trust * {u.THRESHOLD} THEN 'block' END, 'allow') AS verdict, coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust FROM j LEFT JOIN s ON j.host = s.host"""
 
 

@@ -5,13 +5,20 @@ urls go by their host's standing: personalised PageRank from the hosts of allowe
 edges (trust), and from the hosts of blocked pages against them (distrust). A host is blocked whose
 distrust exceeds its trust by THRESHOLD; one that neither reaches is allowed.
 
+Ranks begin with what the seeds keep to themselves and only grow: a round sends on what the one before
+it added. Rounds go on until none adds more than SETTLED of any host's rank, so that no host that a
+walk can reach is left out, and what is still to come is about as small a share.
+
 Edges are the hyperlinks of pages between hosts, and, with a smaller weight, those between a host and
-the domain above it, which share an owner. The graph is one of hosts: the pages of a host, however
-many, are counted before anything meets.
+the domain above it, which share an owner. Domains right above a host of SUFFIXES, where strangers
+register, share none with it. The graph is one of hosts: the pages of a host, however many, are counted
+before anything meets.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is
-allowed; repeated rows are judged alike; an empty table gives an empty result; other columns are
-ignored.
+allowed; a null html has no links; an html of any length is one row; repeated rows, and rows that share
+a page_id, are judged by their urls, equal ones alike, and count each for their host; hosts of equal
+trust and distrust are allowed; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +30,13 @@ from stowage.llm.common import Written
 
 #: (verdict, rule): host, then path from its first "/".
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Share of a host's rank that goes on, rounds, rounds between two writes, and how far distrust may exceed trust.
-DAMPING, ROUNDS, WRITE_EVERY, THRESHOLD = 0.85, 12, 3, 1.0
+#: Share of a host's rank that goes on, the share of a rank that a round adds to none when ranks have settled, rounds between two writes, and how far distrust may exceed trust.
+DAMPING, SETTLED, WRITE_EVERY, THRESHOLD = 0.85, 0.01, 4, 1.0
+#: Domains of two labels below which anyone may register (fixed values, some of the public list).
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "co.in", "co.za",
+    "github.io", "gitlab.io", "blogspot.com", "wordpress.com", "tumblr.com", "herokuapp.com", "netlify.app", "vercel.app", "pages.dev", "web.app", "appspot.com",
+)
 #: Weight of the edges between a host and the domain above it, a hyperlink being 1.
 FAMILY = 0.5
 #: The host of an absolute link in a page.
@@ -59,36 +71,40 @@ def host_edges(pages: DataFrame) -> DataFrame:
     linked = Written(linked, "links").df
     hosts = pages.select("host").union(linked.select("dst")).where("host <> ''").distinct()
     labels = F.split("host", r"\.")
-    # Each domain above a host, down to two labels, with the one below it.
-    above = hosts.select(labels.alias("l")).where(F.size("l") > 2).select("l", F.explode(F.sequence(F.lit(1), F.size("l") - 2)).alias("k"))
     tail = lambda k: F.array_join(F.slice("l", k, F.size("l")), ".")
+    # Each domain above a host, down to its owner's, with the one below it. An owner has two labels, below a suffix three.
+    above = hosts.select(labels.alias("l")).where(F.size("l") > 2)
+    above = above.withColumn("_own", F.when(tail(F.size("l") - 1).isin(*SUFFIXES), 3).otherwise(2)).where(F.size("l") > F.col("_own"))
+    above = above.select("l", F.explode(F.sequence(F.lit(1), F.size("l") - F.col("_own"))).alias("k"))
     family = above.select(tail(F.col("k")).alias("src"), tail(F.col("k") + 1).alias("dst")).distinct().withColumn("weight", F.lit(FAMILY))
     back = family.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     return linked.unionByName(family).unionByName(back).where("src <> dst and src <> ''").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, settled: float = SETTLED) -> DataFrame:
     """host, trust and distrust from `edges` (src, dst, weight) and `seeds` (host, allowed, blocked: numbers of pages).
 
     Ranks are in pages, not shares of a whole, so that trust and distrust can be held against each other.
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "weight"))
-    out = both.groupBy("kind", "src").agg(F.sum("weight").alias("_out"))
+    out = Written(both.groupBy("kind", "src").agg(F.sum("weight").alias("_out")), "host-out").df
     both = Written(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("_out")).alias("share")), "host-edges").df
     start = seeds.select(F.lit("trust").alias("kind"), "host", F.col("allowed").alias("n")).union(seeds.select(F.lit("distrust"), F.col("host"), F.col("blocked"))).where("n > 0")
-    start = Written(start.select("kind", "host", F.col("n").cast("double").alias("seed")), "host-seeds").df
-    home = start.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("rank"))
-    ranks, held = start.select("kind", "host", F.col("seed").alias("rank")), None
-    for k in range(1, ROUNDS + 1):
-        sent = ranks.withColumnRenamed("host", "src").join(both, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
-        ranks = sent.union(home).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if k % WRITE_EVERY == 0:
-            old, held = held, Written(ranks, "host-ranks")
-            ranks = held.df
-            if old:
-                old.drop()
+    own = F.col("n").cast("double") * (1 - DAMPING)
+    held = Written(start.select("kind", "host", own.alias("rank"), own.alias("added")), "host-ranks")
+    while True:
+        ranks = held.df
+        for _ in range(WRITE_EVERY):
+            sent = ranks.select("kind", F.col("host").alias("src"), "added").join(both, ["kind", "src"]).select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("rank"), (F.col("added") * F.col("share") * DAMPING).alias("added"))
+            ranks = sent.union(ranks.select("kind", "host", "rank", F.lit(0.0))).groupBy("kind", "host").agg((F.sum("rank") + F.sum("added")).alias("rank"), F.sum("added").alias("added"))
+        new = Written(ranks, "host-ranks")
+        held.drop()
+        held = new
+        most = held.df.agg(F.max(F.col("added") / F.col("rank"))).first()[0]
+        if most is None or most <= settled:
+            break
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
-    return ranks.groupBy("host").agg(of("trust"), of("distrust"))
+    return held.df.groupBy("host").agg(of("trust"), of("distrust"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
