@@ -74,9 +74,14 @@ def matches(path: Column | str, pattern: str, dialect: str | None = None) -> Col
     return path.startswith(f"{prefix}/") & hit if prefix and "/**" not in pattern else hit
 
 
-def select(entries: DataFrame, pattern: str, dialect: str | None = None) -> DataFrame:
-    """Entries that match a pattern; only if there are none, those below it as a directory. One pass."""
+def select(entries: DataFrame, pattern: str, dialect: str | None = None, inverse: bool = False) -> DataFrame:
+    """Entries that match a pattern; only if there are none, those below it as a directory. With `inverse`, all others.
+
+    Whether there are any is a scan of its own for one match; its one row is all that meets the entries.
+    """
     below = f"{pattern.rstrip('/')}/{'*' if dialect == 'fnmatch' else '**'}"
-    marked = entries.withColumns({"_hit": matches("path", pattern, dialect), "_below": matches("path", below, dialect)}).where("_hit or _below")
-    some = marked.agg(F.max("_hit").alias("_some"))
-    return marked.join(F.broadcast(some)).where(F.col("_hit") | (F.col("_below") & ~F.coalesce("_some", F.lit(False)))).select(*entries.columns)
+    hit, under = matches("path", pattern, dialect), matches("path", below, dialect)
+    some = entries.where(hit).limit(1).agg((F.count(F.lit(1)) > 0).alias("_some"))
+    chosen = F.coalesce(hit | (under & ~F.col("_some")), F.lit(False))
+    narrowed = entries if inverse else entries.where(hit | under)
+    return narrowed.join(F.broadcast(some)).where(~chosen if inverse else chosen).select(*entries.columns)

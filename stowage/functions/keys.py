@@ -68,6 +68,12 @@ def display(path: Column | str, cwd: str) -> Column:
     return F.when(path.startswith(f"{cwd}/"), F.substring(path, len(cwd) + 2, 1 << 30)).otherwise(path) if cwd else path
 
 
+def in_internal_dir(path: Column | str, dirs=INTERNAL_DIRS) -> Column:
+    """Whether a path lies in a directory of the tool's own."""
+    parts = F.split(_col(path), "/")
+    return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, dirs)))
+
+
 def is_internal(path: Column | str, dirs=INTERNAL_DIRS, names=INTERNAL_NAMES, ending: str = INTERNAL_ENDING) -> Column:
     """Whether a path is the tool's own."""
     path = _col(path)
@@ -111,10 +117,21 @@ def ancestors(path: Column | str) -> Column:
     return F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).otherwise(F.array().cast("array<string>"))
 
 
+#: Error codes of a store that no second attempt mends, and those of client errors that one may.
+LASTING_CODES = ("AccessDenied", "AllAccessDisabled", "InvalidAccessKeyId", "SignatureDoesNotMatch", "NoSuchBucket", "InvalidBucketName", "AccountProblem", "InvalidObjectState", "EntityTooLarge")
+PASSING_CODES = ("RequestTimeout", "SlowDown", "Throttling", "ThrottlingException")
+
+
 def is_retryable(code: Column | str, status: Column | str) -> Column:
-    """Whether an error may pass: client errors do not, but for throttling."""
-    throttled = _col(code).isin("SlowDown", "RequestLimitExceeded", "Throttling", "ThrottlingException", "RequestTimeout", "TooManyRequests") | _col(status).isin(408, 429)
-    return F.coalesce(throttled, F.lit(False)) | ~F.coalesce(_col(status).between(400, 499), F.lit(False))
+    """Whether an error may pass: neither a lasting one, nor a client error other than throttling and a timeout."""
+    code = F.coalesce(_col(code), F.lit(""))
+    client = F.coalesce(_col(status).between(400, 499), F.lit(False))
+    return ~code.isin(*LASTING_CODES) & (~client | code.isin(*PASSING_CODES))
+
+
+def setting(given: Column, stored: Column, default: Column) -> Column:
+    """What holds of a caller's setting, a file's and the default: the caller's if it says anything, else the file's if it is there."""
+    return F.when(given != "", given).otherwise(F.coalesce(stored, default))
 
 
 def backoff_ceiling(attempt: Column | str, most: float = 30.0) -> Column:

@@ -6,7 +6,7 @@ timestamp). Every operator is a plan: it names actions and has no effect.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import keys
@@ -15,8 +15,8 @@ from stowage.functions import keys
 BULK_COUNT, BULK_SHARE = 5, 0.5
 #: A cached hash is trusted if it was taken so many seconds after the file changed.
 GRANULARITY = 1.0
-#: Names, endings and directories that editors leave behind.
-DROPPING_NAMES, DROPPING_ENDINGS, DROPPING_DIRS = (".DS_Store", "Thumbs.db"), (".swp", ".swo", "~", ".tmp"), ("__pycache__",)
+#: Names and endings of what editors, interpreters and file browsers leave behind.
+DROPPING_NAMES, DROPPING_ENDINGS = (".DS_Store", "Thumbs.db"), (".tmp", ".swp", ".swo", ".pyc", "~")
 
 
 def _beside(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
@@ -98,10 +98,9 @@ def prune_plan(to_remove: DataFrame, disk: DataFrame, recoverable: DataFrame) ->
 
 
 def is_dropping(path: Column | str) -> Column:
-    """Whether a file is what an editor or an interpreter leaves behind."""
+    """Whether a file is what an editor, an interpreter or a file browser leaves behind, by its name alone."""
     path = F.col(path) if isinstance(path, str) else path
-    parts = F.split(path, "/")
-    out = F.element_at(parts, -1).isin(*DROPPING_NAMES) | F.arrays_overlap(parts, F.array(*map(F.lit, DROPPING_DIRS)))
+    out = F.element_at(F.split(path, "/"), -1).isin(*DROPPING_NAMES)
     for ending in DROPPING_ENDINGS:
         out = out | path.endswith(ending)
     return out
@@ -109,7 +108,7 @@ def is_dropping(path: Column | str) -> Column:
 
 def hidden(disk: DataFrame, directories: DataFrame, manifest: DataFrame, limit: int | None = None) -> DataFrame:
     """Files under tracked directories that the manifest doesn't know, in order. Directories meet by equality with each file's ancestors."""
-    files = disk.select("path").where(~is_dropping("path") & ~keys.is_internal("path"))
+    files = disk.select("path").where(~is_dropping("path") & ~keys.in_internal_dir("path"))
     under = files.select("path", F.explode(keys.ancestors("path")).alias("directory")).join(directories, "directory", "left_semi").select("path").distinct()
     found = under.join(manifest, "path", "left_anti").orderBy("path")
     return found.limit(limit) if limit else found
@@ -148,8 +147,10 @@ def changed_pairs(tips: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+    """The row of each key that comes first by `order`."""
+    rest = [c for c in rows.columns if c not in (key, order)]
+    first = rows.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("_first"))
+    return first.select(*[F.col(c) if c == key else F.col(f"_first.{c}").alias(c) for c in rows.columns])
 
 
 def changed_since(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from stowage.functions import content, globs, keys
 
+#: Lines are numbered in ranges of 2^RANGE_BITS of their places.
+RANGE_BITS = 16
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
     return old.join(new, key, "left_anti").unionByName(new)
@@ -19,7 +22,7 @@ def forget(rows: DataFrame, gone: DataFrame | None, key: str = "path") -> DataFr
 
 def remove_matching(entries: DataFrame, pattern: str) -> DataFrame:
     """Entries that remain after removal by a pattern whose "*" crosses directories."""
-    return entries.join(globs.select(entries, pattern, "fnmatch").select("path"), "path", "left_anti")
+    return globs.select(entries, pattern, "fnmatch", inverse=True)
 
 
 def record_hashes(cache: DataFrame, hashes: DataFrame, stats: DataFrame) -> DataFrame:
@@ -40,11 +43,40 @@ def upgrade_ignores(entries: DataFrame, added: DataFrame) -> DataFrame:
     return entries.join(below, "entry", "left_anti").union(added.select("entry")).distinct()
 
 
+def ordinals(rows: DataFrame) -> DataFrame:
+    """`rows` (part, ord, ...: whole numbers) with `ord` their places from 1, in order of part and ord.
+
+    Rows are counted by ranges of ord, and numbered within each: only one row a range is ever sorted in one task.
+    """
+    ranged = rows.withColumn("_range", F.shiftright("ord", RANGE_BITS))
+    counts = ranged.groupBy("part", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("part", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("part", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("part", "_range").orderBy("ord"))
+    numbered = ranged.withColumn("_nth", nth).join(counts, ["part", "_range"]).withColumn("ord", F.col("_before") + F.col("_nth"))
+    return numbered.select(*[c for c in rows.columns if c != "part"])
+
+
 def add_lines(block: DataFrame, lines: DataFrame) -> DataFrame:
     """A block (ord, line) with lines at its end, each line once, at its first place."""
-    rows = block.select(F.lit(0).alias("part"), "ord", "line").union(lines.select(F.lit(1), F.col("ord"), F.col("line")))
+    rows = block.select(F.lit(0).alias("part"), F.col("ord").cast("long").alias("ord"), "line").union(lines.select(F.lit(1), F.col("ord").cast("long"), F.col("line")))
     first = rows.groupBy("line").agg(F.min(F.struct("part", "ord")).alias("at"))
-    return first.select(F.row_number().over(Window.orderBy("at")).alias("ord"), "line")
+    return ordinals(first.select("at.part", "at.ord", "line"))
+
+
+def remove_lines(block: DataFrame, lines: DataFrame) -> DataFrame:
+    """A block (ord, line) without the given lines; what stays keeps its order."""
+    kept = block.join(lines.select("line"), "line", "left_anti")
+    return ordinals(kept.select(F.lit(0).alias("part"), F.col("ord").cast("long").alias("ord"), "line"))
+
+
+def write_block(sections: DataFrame, start: str, end: str) -> DataFrame:
+    """ord and line of the file that has these sections (section, ord, line): the block between its markers, behind a blank line if what comes before it ends otherwise; no markers around an empty block."""
+    part = F.when(F.col("section") == "before", 0).when(F.col("section") == "block", 3).otherwise(5)
+    rows = sections.select(part.alias("part"), F.col("ord").cast("long").alias("ord"), "line")
+    ends = rows.agg(F.max(F.when(F.col("part") == 0, F.struct("ord", "line"))).alias("last"), F.max(F.col("part") == 3).alias("some"))
+    marks = ends.where("some").select(F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(0).cast("long").alias("ord"), x.alias("line")) for p, x in ((1, F.when(F.col("last.line").rlike(r"\S"), "")), (2, F.lit(start)), (4, F.lit(end)))])).alias("m")).select("m.*")
+    return ordinals(rows.unionByName(marks.where("line is not null")))
 
 
 def emptied_parents(deleted: DataFrame, remaining: DataFrame) -> DataFrame:
@@ -73,17 +105,17 @@ def first_and_more(rows: DataFrame, order: str, n: int = 10) -> DataFrame:
 
 
 def split_block(lines: DataFrame, start: str, end: str) -> DataFrame:
-    """ord, line and section (before, block, after) of a file with a marked block; the markers are in no section.
+    """ord, line and section (before, block, after) of a file with a marked block; the markers are in no section, and blank lines in none if they are in the block.
 
-    A block without an end is none: its start marker goes, and all lines are before.
+    A block without an end is none: its start marker goes, and what follows is after.
     """
     marks = lines.agg(F.min(F.when(F.col("line") == start, F.col("ord"))).alias("_start"))
     begun = lines.join(F.broadcast(marks))
     ends = begun.agg(F.min(F.when((F.col("line") == end) & (F.col("ord") > F.col("_start")), F.col("ord"))).alias("_end"))
     rows = begun.join(F.broadcast(ends))
-    section = F.when(F.col("_end").isNull() | (F.col("ord") < F.col("_start")), "before").when(F.col("ord") < F.col("_end"), "block").otherwise("after")
+    section = F.when(F.col("_start").isNull() | (F.col("ord") < F.col("_start")), "before").when(F.col("ord") < F.col("_end"), "block").otherwise("after")
     marker = F.coalesce(F.col("ord") == F.col("_start"), F.lit(False)) | F.coalesce(F.col("ord") == F.col("_end"), F.lit(False))
-    return rows.where(~marker).select("ord", "line", section.alias("section"))
+    return rows.where(~marker).select("ord", "line", section.alias("section")).where("section <> 'block' or line rlike '\\\\S'")
 
 
 def claim(claims: DataFrame, bases: DataFrame, now: float) -> DataFrame:
@@ -103,10 +135,10 @@ def publish(manifest: DataFrame, uploads: DataFrame) -> DataFrame:
 
 
 def ignore_pattern(spec: Column, is_dir: Column, is_file: Column) -> Column:
-    """The ignore entry for what a user tracks: a directory with a slash at its end, a file escaped, a pattern as it is."""
+    """The ignore entry for what a user tracks: a directory with a slash at its end, a file escaped, a pattern exactly as it is."""
     plain = F.regexp_replace(spec, "/+$", "")
     globbed = spec.rlike(r"[*?\[]")
-    return F.when(is_dir, F.concat(F.lit("/"), keys.escape_ignore(plain), F.lit("/"))).when(is_file | ~globbed, F.concat(F.lit("/"), keys.escape_ignore(plain))).otherwise(F.concat(F.lit("/"), plain))
+    return F.when(is_dir, F.concat(F.lit("/"), keys.escape_ignore(plain), F.lit("/"))).when(is_file | ~globbed, F.concat(F.lit("/"), keys.escape_ignore(plain))).otherwise(F.concat(F.lit("/"), spec))
 
 
 def lfs_import(files: DataFrame, patterns: list[str]) -> DataFrame:

@@ -21,11 +21,12 @@ def merge_maps(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame
 
 
 def merge_lists(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """line and ord of ordered lists (line, ord): ours without what theirs removed, then what theirs added."""
-    gone = base.join(theirs, "line", "left_anti")
-    kept = ours.join(gone, "line", "left_anti").select("line", F.lit(0).alias("part"), "ord")
-    added = theirs.join(base, "line", "left_anti").join(ours, "line", "left_anti").select("line", F.lit(1).alias("part"), "ord")
-    return kept.union(added).select("line", F.struct("part", "ord").alias("at"))
+    """line, part and ord of ordered lists of different lines (line, ord): those of the base that both sides have, in the base's order, then what ours added, then what theirs added."""
+    sides = [df.select("line", F.col("ord").cast("long").alias(name)) for df, name in ((base, "b"), (ours, "o"), (theirs, "t"))]
+    rows = sides[0].join(sides[1], "line", "full").join(sides[2], "line", "full")
+    kept = F.col("b").isNull() | (F.col("o").isNotNull() & F.col("t").isNotNull())
+    part = F.when(F.col("b").isNotNull(), 0).when(F.col("o").isNotNull(), 1).otherwise(2)
+    return rows.where(kept).select("line", part.alias("part"), F.coalesce("b", "o", "t").alias("ord"))
 
 
 def merge_manifests(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -9,10 +9,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Slices of time that a stage is cut into: no window holds more than one of them.
+SLICES = 1024
+
+
+def _sliced(rows: DataFrame) -> DataFrame:
+    """`rows` with the slice of its stage's time that each is in."""
+    spans = rows.groupBy("stage").agg(F.min("ts").alias("_from"), ((F.max("ts") - F.min("ts")) / SLICES).alias("_step"))
+    at = F.when(F.col("_step") > 0, F.least(F.floor((F.col("ts") - F.col("_from")) / F.col("_step")), F.lit(SLICES - 1))).otherwise(0)
+    return rows.join(spans, "stage").withColumn("_slice", at.cast("int")).drop("_from", "_step")
+
+
 def active_workers(events: DataFrame) -> DataFrame:
-    """stage, ts, seq and workers after each start (+1) or end (-1), from (stage, ts, seq, delta)."""
-    order = Window.partitionBy("stage").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.select("stage", "ts", "seq", F.sum("delta").over(order).alias("workers"))
+    """stage, ts, seq and workers after each start (+1) or end (-1), from (stage, ts, seq, delta): the sum of the slices before, and a running sum within the slice."""
+    rows = _sliced(events.select("stage", "ts", "seq", "delta"))
+    sums = rows.groupBy("stage", "_slice").agg(F.sum("delta").alias("_sum"))
+    before = Window.partitionBy("stage").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("stage", "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("stage", "_slice").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_in", F.sum("delta").over(within)).join(sums, ["stage", "_slice"]).select("stage", "ts", "seq", (F.col("_before") + F.col("_in")).alias("workers"))
 
 
 def peak_workers(timeline: DataFrame) -> DataFrame:
@@ -21,9 +36,14 @@ def peak_workers(timeline: DataFrame) -> DataFrame:
 
 def parallelism(timeline: DataFrame) -> DataFrame:
     """stage, area (workers times duration; the last point has none) and span, from (stage, ts, seq, workers), in the unit of ts."""
-    order = Window.partitionBy("stage").orderBy("ts", "seq")
-    step = timeline.withColumn("_w", F.col("workers") * (F.lead("ts").over(order) - F.col("ts")))
-    return step.groupBy("stage").agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("area"), (F.max("ts") - F.min("ts")).alias("span"))
+    rows = _sliced(timeline.select("stage", "ts", "seq", "workers"))
+    starts = rows.groupBy("stage", "_slice").agg(F.min("ts").alias("_start"))
+    starts = starts.select("stage", "_slice", F.lead("_start").over(Window.partitionBy("stage").orderBy("_slice")).alias("_next"))
+    # A slice's last point lasts until the first of the next one that has any.
+    within = Window.partitionBy("stage", "_slice").orderBy("ts", "seq")
+    rows = rows.withColumn("_lead", F.lead("ts").over(within)).join(starts, ["stage", "_slice"])
+    step = F.col("workers") * (F.coalesce("_lead", "_next") - F.col("ts"))
+    return rows.groupBy("stage").agg(F.coalesce(F.sum(step), F.lit(0)).alias("area"), (F.max("ts") - F.min("ts")).alias("span"))
 
 
 def average_parallelism(areas: DataFrame) -> DataFrame:

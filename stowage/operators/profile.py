@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import keys
@@ -12,26 +12,30 @@ def is_cone(patterns: list[str]) -> bool:
     return not any(c in p for p in patterns for c in "*?[!")
 
 
-def inside(entries: DataFrame, directories: list[str]) -> DataFrame:
-    """Entries within the cone of `directories`: those below one, those directly in a directory above one, and top-level files.
+def covers(directories: list[str]) -> Column:
+    """Whether a path is within the cone of `directories`: below one, directly in a directory above one, or a top-level file.
 
     A profile that isn't a cone covers everything: it is better to show too much than to hide files.
     """
     if not is_cone(directories):
-        return entries
+        return F.lit(True)
     cone = sorted({d.strip("/") for d in directories if d.strip("/")})
     parents = sorted({"/".join(d.split("/")[:k]) for d in cone for k in range(1, d.count("/") + 1)})
     parent = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"(?s)\A(.*)/[^/]*\z", 1))
     hit = parent.isNull() | parent.isin(*parents) if parents else parent.isNull()
     if cone:
         hit = hit | F.arrays_overlap(keys.ancestors("path"), F.array(*map(F.lit, cone)))
-    return entries.where(hit)
+    return F.coalesce(hit, F.lit(False))
+
+
+def inside(entries: DataFrame, directories: list[str]) -> DataFrame:
+    """Entries that the profile covers."""
+    return entries.where(covers(directories))
 
 
 def partition(entries: DataFrame, directories: list[str]) -> tuple[DataFrame, DataFrame]:
     """Entries inside the profile, and outside."""
-    within = inside(entries, directories)
-    return within, entries.join(within.select("path"), "path", "left_anti")
+    return inside(entries, directories), entries.where(~covers(directories))
 
 
 def reachable_shards(directories: list[str]) -> list[str] | None:

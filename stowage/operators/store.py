@@ -6,7 +6,7 @@ number, or with both. The match runs over at most four candidates of each object
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import keys
@@ -60,7 +60,10 @@ def confirmed_garbage(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def locate(manifest: DataFrame, objects: DataFrame, prefix: str) -> DataFrame:
-    """path, form (raw or gz), chunked, parts, bytes of the stored form to read: whole before chunks, raw before gz, chunks only if none is missing."""
+    """path, state, form (raw or gz), chunked, parts and bytes of the stored form of each entry: raw before gz, and in either the whole object before chunks.
+
+    The state is ok, broken (chunks are what is to be read, and one is missing: nothing else is tried) or missing.
+    """
     bases = entries_with_base(manifest, prefix).select("path", "base")
     parts = objects.select("key", "size", F.explode(keys.stems_of("key")).alias("base")).join(bases, "base")
     behind = F.substring(F.col("key"), F.length("base") + 1, F.lit(1 << 30))
@@ -68,10 +71,11 @@ def locate(manifest: DataFrame, objects: DataFrame, prefix: str) -> DataFrame:
     forms = parts.groupBy("path", "gz", F.col("chunk").isNotNull().alias("chunked")).agg(
         F.count(F.lit(1)).alias("parts"), F.sum("size").alias("bytes"), F.min("chunk").alias("lo"), F.max("chunk").alias("hi"), F.count_distinct("chunk").alias("n")
     )
-    whole = forms.where(~F.col("chunked") | ((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)))
-    best = Window.partitionBy("path").orderBy("chunked", "gz")
-    first = whole.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    return first.select("path", F.when(F.col("gz"), "gz").otherwise("raw").alias("form"), "chunked", "parts", "bytes")
+    whole = ~F.col("chunked") | ((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1))
+    first = forms.groupBy("path").agg(F.min(F.struct("gz", "chunked", "parts", "bytes", whole.alias("whole"))).alias("x"))
+    state = F.when(F.col("x").isNull(), "missing").when(F.col("x.whole"), "ok").otherwise("broken")
+    form = F.when(F.col("x.gz"), "gz").when(~F.col("x.gz"), "raw")
+    return manifest.select("path").join(first, "path", "left").select("path", state.alias("state"), form.alias("form"), "x.chunked", "x.parts", "x.bytes")
 
 
 def contiguity(objects: DataFrame) -> DataFrame:
@@ -89,9 +93,9 @@ def complete_uploads(chunks: DataFrame) -> DataFrame:
 
 
 def reassemble(chunks: DataFrame) -> DataFrame:
-    """manifest_key and content: chunks (chunk_index, content) put together in order."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"])
-    return chunks.groupBy("manifest_key").agg(F.aggregate(ordered, F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
+    """manifest_key and content: chunks (chunk_index, content) put together in order, in one row a file. transfer.download() writes files of any size chunk by chunk instead."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: F.hex(x["content"]))
+    return chunks.groupBy("manifest_key").agg(F.unhex(F.array_join(ordered, "")).alias("content"))
 
 
 def verify(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import content, globs, keys
@@ -151,13 +151,16 @@ def _lines(df: DataFrame) -> DataFrame:
 
 @_query(
     "o_j14_merge_ordered",
-    "SELECT line, CAST(row_number() OVER (ORDER BY part, ord) AS INTEGER) AS ord FROM (SELECT line, 0 AS part, ord FROM o WHERE line NOT IN (SELECT line FROM b WHERE line NOT IN (SELECT line FROM t)) UNION ALL SELECT line, 1, ord FROM t WHERE line NOT IN (SELECT line FROM b) AND line NOT IN (SELECT line FROM o))",
-    "prev", "cur", "theirs", b="SELECT '/' || path AS line, doc_id AS ord FROM prev", o="SELECT '/' || path AS line, doc_id AS ord FROM cur", t="SELECT '/' || path AS line, doc_id AS ord FROM theirs",
+    """SELECT line, row_number() OVER (ORDER BY part, ord) AS ord FROM (SELECT line, 0 AS part, ord FROM b WHERE line IN (SELECT line FROM o) AND line IN (SELECT line FROM t)
+    UNION ALL SELECT line, 1, ord FROM o WHERE line NOT IN (SELECT line FROM b)
+    UNION ALL SELECT line, 2, ord FROM t WHERE line NOT IN (SELECT line FROM b) AND line NOT IN (SELECT line FROM o))""",
+    "prev", "cur", "theirs", b="SELECT '/' || path AS line, doc_id AS ord FROM prev", o="SELECT '/' || path AS line, doc_id % 10 * 1000000000 + doc_id AS ord FROM cur", t="SELECT '/' || path AS line, 1000000000 - doc_id AS ord FROM theirs",
 )
 def _(r):
-    from pyspark.sql import Window
-
-    return merge.merge_lists(_lines(r.prev), _lines(r.cur), _lines(r.theirs)).select("line", F.row_number().over(Window.orderBy("at")).alias("ord"))
+    """Each side has an order of its own."""
+    ours = _lines(r.cur).withColumn("ord", F.col("ord") % 10 * 1_000_000_000 + F.col("ord"))
+    theirs = _lines(r.theirs).withColumn("ord", 1_000_000_000 - F.col("ord"))
+    return dml.ordinals(merge.merge_lists(_lines(r.prev), ours, theirs))
 
 
 def _documents(r: Relations, df: DataFrame, limit: str) -> DataFrame:
@@ -177,14 +180,26 @@ def _(r):
     return merge.merge_manifests(_documents(r, r.prev, "1"), _documents(r, r.cur, "2"), _documents(r, r.theirs, "3"))
 
 
+#: Fixed endings that turn a file of the working copy into something beside it, by doc_id.
+_BESIDE = (".pyc", "~", ".tmp", ".swp", ".swo", "/.DS_Store", "/Thumbs.db", "/__pycache__/m.txt", "/.git/config", ".lock")
+_EVERYTHING = "SELECT path FROM disk UNION ALL SELECT path || [" + ", ".join(f"'{x}'" for x in _BESIDE) + f"][doc_id % {len(_BESIDE)} + 1] FROM disk WHERE doc_id % 3 = 1"
+_DROPPING = "(regexp_matches(path, '([.]tmp|[.]swp|[.]swo|[.]pyc|~)$') OR split_part(path, '/', -1) IN ('.DS_Store', 'Thumbs.db'))"
+
+
+def _everything(r: Relations) -> DataFrame:
+    """The working copy with what editors and others leave beside its files."""
+    ending = F.get(F.array(*map(F.lit, _BESIDE)), (F.col("doc_id") % len(_BESIDE)).cast("int"))
+    return r.disk.select("path").union(r.disk.where("doc_id % 3 = 1").select(F.concat("path", ending)))
+
+
 @_query(
     "o_j16_hidden",
-    "SELECT path FROM disk WHERE split_part(path, '/', 1) || '/' || split_part(path, '/', 2) IN (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM cur WHERE doc_id % 3 = 0) AND path NOT IN (SELECT path FROM cur)",
-    "disk", "cur",
+    f"SELECT path FROM everything WHERE split_part(path, '/', 1) || '/' || split_part(path, '/', 2) IN (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM cur WHERE doc_id % 3 = 0) AND path NOT IN (SELECT path FROM cur) AND NOT {_DROPPING} AND NOT contains(path, '/.git/')",
+    "disk", "cur", everything=_EVERYTHING,
 )
 def _(r):
     directories = r.cur.where("doc_id % 3 = 0").select(F.substring_index("path", "/", 2).alias("directory")).distinct()
-    return diff.hidden(r.disk, directories, r.cur)
+    return diff.hidden(_everything(r), directories, r.cur)
 
 
 @_query("o_j17_dual_ownership", "SELECT path FROM docs WHERE doc_id % 4 = 0 AND doc_id % 12 <> 0 AND path IN (SELECT path FROM cur)", "docs", "cur")
@@ -199,7 +214,8 @@ _FORMS = "SELECT path, gz, chunk IS NOT NULL AS chunked, count(*) AS parts, CAST
 
 @_query(
     "o_j18_locate",
-    "SELECT path, CASE WHEN gz THEN 'gz' ELSE 'raw' END AS form, chunked, parts, bytes FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY chunked, gz) AS r FROM forms WHERE NOT chunked OR (lo = 0 AND hi = n - 1)) WHERE r = 1",
+    """SELECT c.path, CASE WHEN f.path IS NULL THEN 'missing' WHEN chunked AND NOT (lo = 0 AND hi = n - 1) THEN 'broken' ELSE 'ok' END AS state, CASE WHEN gz THEN 'gz' WHEN NOT gz THEN 'raw' END AS form, chunked, parts, bytes
+    FROM cur c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY path ORDER BY gz, chunked) AS r FROM forms) f ON c.path = f.path AND r = 1""",
     "cur", "stems", parts=_PARTS, forms=_FORMS,
 )
 def _(r):
@@ -374,8 +390,6 @@ def _(r):
 
 @_query("o_n4_ordinals", "SELECT manifest_key, chunk_index, CAST(row_number() OVER (PARTITION BY manifest_key ORDER BY chunk_index) AS INTEGER) AS nth FROM chunks", "chunks")
 def _(r):
-    from pyspark.sql import Window
-
     return r.chunks.select("manifest_key", "chunk_index", F.row_number().over(Window.partitionBy("manifest_key").orderBy("chunk_index")).alias("nth"))
 
 
@@ -413,8 +427,7 @@ def _(r):
 
 @_query("o_u3_profile_partition", f"SELECT path, {_IN_CONE('path')} AS inside FROM cur", "cur")
 def _(r):
-    within, outside = profile.partition(r.cur.select("path"), CONE)
-    return within.withColumn("inside", F.lit(True)).union(outside.withColumn("inside", F.lit(False)))
+    return r.cur.select("path", profile.covers(CONE).alias("inside"))
 
 
 @_query("o_u4_intersect", "SELECT path FROM disk INTERSECT SELECT path FROM cur", "disk", "cur")
@@ -486,10 +499,20 @@ def _(r):
     return _url_paths(r).select("page_id", keys.shard_for("path").alias("shard"))
 
 
-@_query("o_p12_retryable", "SELECT event_id, NOT coalesce(status BETWEEN 400 AND 499, false) OR status IN (408, 429) AS retry FROM (SELECT event_id, 300 + event_id % 300 AS status FROM events)")
+#: Codes that errors of the query have in turn, beside none.
+_CODES = ("AccessDenied", "SlowDown", "InvalidBucketName", "TooManyRequests", "EntityTooLarge", "RequestTimeout", "NoSuchKey", "ThrottlingException", "RequestLimitExceeded", "Throttling", "SignatureDoesNotMatch", "InternalError")
+
+
+@_query(
+    "o_p12_retryable",
+    f"""SELECT event_id, code, status, CASE WHEN code IN ('AccessDenied', 'AllAccessDisabled', 'InvalidAccessKeyId', 'SignatureDoesNotMatch', 'NoSuchBucket', 'InvalidBucketName', 'AccountProblem', 'InvalidObjectState', 'EntityTooLarge') THEN false
+    WHEN status >= 400 AND status < 500 THEN coalesce(code IN ('RequestTimeout', 'SlowDown', 'Throttling', 'ThrottlingException'), false) ELSE true END AS retry
+    FROM (SELECT event_id, [{", ".join(f"'{x}'" for x in _CODES)}][event_id % 13 + 1] AS code, CASE WHEN event_id % 7 <> 0 THEN 300 + event_id % 300 END AS status FROM events)""",
+)
 def _(r):
-    rows = r.table("events").select("event_id", (300 + F.col("event_id") % 300).alias("status"), F.lit("Other").alias("code"))
-    return rows.select("event_id", keys.is_retryable("code", "status").alias("retry"))
+    code = F.get(F.array(*map(F.lit, _CODES)), (F.col("event_id") % 13).cast("int"))
+    rows = r.table("events").select("event_id", code.alias("code"), F.when(F.col("event_id") % 7 != 0, 300 + F.col("event_id") % 300).alias("status"))
+    return rows.select("event_id", "code", "status", keys.is_retryable("code", "status").alias("retry"))
 
 
 @_query("o_p13_racy", "SELECT path, timestamp - mtime < 1.0 AS racy FROM cache", "cache")
@@ -497,9 +520,9 @@ def _(r):
     return r.cache.select("path", diff.racy(F.col("timestamp"), F.col("mtime")).alias("racy"))
 
 
-@_query("o_p18_droppings", "SELECT page_id, ends_with(path, '~') OR ends_with(path, '.tmp') OR ends_with(path, '.swp') OR ends_with(path, '.swo') OR list_has_any(string_split(path, '/'), ['__pycache__']) AS dropping FROM paths", paths=_URL_PATH)
+@_query("o_p18_droppings", f"SELECT path, {_DROPPING} AS dropping FROM everything", "disk", everything=_EVERYTHING)
 def _(r):
-    return _url_paths(r).select("page_id", diff.is_dropping("path").alias("dropping"))
+    return _everything(r).select("path", diff.is_dropping("path").alias("dropping"))
 
 
 @_query("o_p19_escape", "SELECT page_id, replace(replace(replace(replace(replace(path, chr(92), chr(92) || chr(92)), '[', chr(92) || '['), ']', chr(92) || ']'), '*', chr(92) || '*'), '?', chr(92) || '?') AS escaped FROM paths", paths=_URL_PATH)
@@ -652,26 +675,6 @@ def _(r):
 # Scans ----------------------------------------------------------------------------------------------------------
 
 
-@_query("o_s2_shard_scan", "SELECT path, hash FROM cur WHERE split_part(path, '/', 1) = 'src3'", "cur")
-def _(r):
-    return r.cur.where(keys.shard_for("path") == "src3").select("path", "hash")
-
-
-@_query("o_s4_shards", "SELECT DISTINCT split_part(path, '/', 1) AS shard FROM cur", "cur")
-def _(r):
-    return r.cur.select(keys.shard_for("path").alias("shard")).distinct()
-
-
-@_query("o_s5_shard_slice", "SELECT path, hash FROM cur WHERE split_part(path, '/', 1) IN ('src1', 'src7')", "cur")
-def _(r):
-    return r.cur.where(keys.shard_for("path").isin("src1", "src7")).select("path", "hash")
-
-
-@_query("o_s8_objects", "SELECT key, size FROM store WHERE starts_with(key, 'p/assets/0')", "store")
-def _(r):
-    return r.store.where(F.col("key").startswith("p/assets/0"))
-
-
 @_query("o_s13_staged", "SELECT path FROM docs WHERE doc_id % 4 = 0 AND doc_id % 12 <> 0", "docs")
 def _(r):
     staged = r.docs.where("doc_id % 4 = 0").select("path", F.when(F.col("doc_id") % 12 == 0, "D").otherwise("M").alias("status"))
@@ -681,33 +684,57 @@ def _(r):
 # Snapshots ------------------------------------------------------------------------------------------------------
 
 
-def _snapshots(r: Relations):
-    """Both revisions, written to a folder that all executors share."""
+def _folder(r: Relations, name: str) -> str:
+    """A new folder that all executors share."""
     import tempfile
     import uuid
 
+    root = r.spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if r.spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='stowage-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _snapshots(r: Relations, *revisions: str):
+    """Revisions, written."""
     from stowage.plans.snapshots import Snapshots
 
-    root = r.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stowage-')}"
-    found = Snapshots(r.spark, f"{root.rstrip('/')}/snapshots-{uuid.uuid4().hex}")
-    found.write(r.prev, "prev")
-    found.write(r.cur, "cur")
+    found = Snapshots(r.spark, _folder(r, "snapshots"))
+    for name in revisions:
+        found.write(getattr(r, name), name)
     return found
 
 
+@_query("o_s2_shard_scan", "SELECT path, hash FROM cur WHERE split_part(path, '/', 1) = 'src3'", "cur")
+def _(r):
+    return _snapshots(r, "cur").read("cur", ["src3"])
+
+
+@_query("o_s4_shards", "SELECT DISTINCT split_part(path, '/', 1) AS shard FROM cur", "cur")
+def _(r):
+    return r.spark.createDataFrame([(x,) for x in _snapshots(r, "cur").shards("cur")], "shard string")
+
+
+@_query("o_s5_shard_slice", "SELECT path, hash FROM cur WHERE split_part(path, '/', 1) IN ('src1', 'src7')", "cur")
+def _(r):
+    return _snapshots(r, "cur").read("cur", ["src1", "src7"])
+
+
 @_query("o_s3_all_shards", "SELECT path, hash FROM cur", "cur")
 def _(r):
-    return _snapshots(r).read("cur")
+    return _snapshots(r, "cur").read("cur")
 
 
 @_query("o_s6_revision", "SELECT path, hash FROM prev WHERE split_part(path, '/', 1) IN ('src2', 'src4')", "prev")
 def _(r):
-    return _snapshots(r).read("prev", ["src2", "src4"])
+    return _snapshots(r, "prev", "cur").read("prev", ["src2", "src4"])
 
 
 @_query("o_w2_changed_shards", "SELECT path, hash FROM cur WHERE split_part(path, '/', 1) = 'src2' UNION ALL SELECT path, hash FROM prev WHERE split_part(path, '/', 1) <> 'src2'", "cur", "prev")
 def _(r):
-    found = _snapshots(r)
+    found = _snapshots(r, "prev")
     found.write_changed("prev", r.cur, "next", ["src2"])
     return found.read("next")
 
@@ -721,33 +748,33 @@ def _(r):
     return commits.where((F.col("ord") > 100) & (F.col("ord") <= 700)).orderBy("ord")
 
 
-@_query("o_s10_cache_scan", "SELECT path, hash, size, mtime, inode, timestamp FROM cache", "cache")
-def _(r):
-    return r.cache
-
-
-@_query("o_s11_claims_scan", "SELECT base, claimed_at FROM claims", "claims")
-def _(r):
-    return r.claims
-
-
 @_query("o_s14_lfs_patterns", "SELECT '/' || path AS pattern FROM docs WHERE doc_id % 3 = 0", "docs")
 def _(r):
     rest = F.when(F.col("doc_id") % 3 == 0, "  filter=lfs diff=lfs -text").otherwise(" text=auto")
     return dml.lfs_patterns(r.docs.select(F.concat(F.lit("/"), "path", rest).alias("value")))
 
 
-_FILE = "SELECT doc_id AS ord, CASE doc_id WHEN 30 THEN '# begin' WHEN 70 THEN '# end' ELSE path END AS line FROM docs"
+#: A file whose lines are paths, some of them blank, with two end markers, of which the first is no end.
+_FILE = "SELECT doc_id AS ord, CASE WHEN doc_id = 30 THEN '# begin' WHEN doc_id IN (10, 70, 90) THEN '# end' WHEN doc_id % 6 = 1 THEN '' WHEN doc_id % 6 = 2 THEN '  ' ELSE path END AS line FROM docs"
+
+
+def _file(r: Relations) -> DataFrame:
+    line = F.when(F.col("doc_id") == 30, "# begin").when(F.col("doc_id").isin(10, 70, 90), "# end").when(F.col("doc_id") % 6 == 1, "").when(F.col("doc_id") % 6 == 2, "  ").otherwise(F.col("path"))
+    return r.docs.select(F.col("doc_id").alias("ord"), line.alias("line"))
 
 
 @_query(
     "o_s15_marked_block",
-    "SELECT ord, line, CASE WHEN ord < 30 THEN 'before' WHEN ord < 70 THEN 'block' ELSE 'after' END AS section FROM lines WHERE line NOT IN ('# begin', '# end')",
+    "SELECT ord, line, CASE WHEN ord < 30 THEN 'before' WHEN ord < 70 THEN 'block' ELSE 'after' END AS section FROM lines WHERE ord NOT IN (30, 70) AND NOT (ord > 30 AND ord < 70 AND trim(line) = '')",
     "docs", lines=_FILE,
 )
 def _(r):
-    line = F.when(F.col("doc_id") == 30, "# begin").when(F.col("doc_id") == 70, "# end").otherwise(F.col("path"))
-    return dml.split_block(r.docs.select(F.col("doc_id").alias("ord"), line.alias("line")), "# begin", "# end")
+    return dml.split_block(_file(r), "# begin", "# end")
+
+
+@_query("o_s15_unterminated_block", "SELECT ord, line, CASE WHEN ord < 30 THEN 'before' ELSE 'after' END AS section FROM lines WHERE ord <> 30", "docs", lines=_FILE)
+def _(r):
+    return dml.split_block(_file(r), "# begin", "# nowhere")
 
 
 @_query("o_w8_forget", "SELECT path, hash FROM cache WHERE path NOT IN (SELECT path FROM disk)", "cache", "disk")
@@ -780,13 +807,28 @@ def _(r):
 
 @_query(
     "o_w19_add_lines",
-    "SELECT CAST(row_number() OVER (ORDER BY part, ord) AS INTEGER) AS ord, line FROM (SELECT line, min(part) AS part, min_by(ord, part * 1000000000 + ord) AS ord FROM (SELECT 0 AS part, doc_id AS ord, '/' || path AS line FROM cur UNION ALL SELECT 1, doc_id, '/' || path FROM theirs) GROUP BY line)",
+    "SELECT row_number() OVER (ORDER BY part, ord) AS ord, line FROM (SELECT line, min(part) AS part, min_by(ord, part * 1000000000 + ord) AS ord FROM (SELECT 0 AS part, doc_id AS ord, '/' || path AS line FROM cur UNION ALL SELECT 1, doc_id, '/' || path FROM theirs) GROUP BY line)",
     "cur", "theirs",
 )
 def _(r):
     return dml.add_lines(_lines(r.cur), _lines(r.theirs))
 
 
+@_query("o_w19_remove_lines", "SELECT row_number() OVER (ORDER BY doc_id) AS ord, '/' || path AS line FROM cur WHERE path NOT IN (SELECT path FROM theirs)", "cur", "theirs")
+def _(r):
+    return dml.remove_lines(_lines(r.cur), _lines(r.theirs))
+
+
+@_query(
+    "o_w19_write_block",
+    "SELECT row_number() OVER (ORDER BY part, ord) AS ord, line FROM (SELECT CASE WHEN ord <= 30 THEN 0 WHEN ord < 70 THEN 2 WHEN ord = 70 THEN 3 ELSE 4 END AS part, ord, line FROM lines WHERE NOT (ord > 30 AND ord < 70 AND trim(line) = '') UNION ALL SELECT 0, 29.5, '' FROM lines WHERE ord = 29 AND trim(line) <> '')",
+    "docs", lines=_FILE,
+)
+def _(r):
+    """Taken apart and put together again."""
+    return dml.write_block(dml.split_block(_file(r), "# begin", "# end"), "# begin", "# end")
+
+
 @_query(
     "o_w23_checkout",
     "SELECT c.path, c.hash FROM cur c LEFT JOIN disk d USING (path) WHERE starts_with(c.path, 'src3/') AND c.hash IS DISTINCT FROM d.hash",
@@ -813,18 +855,20 @@ def _(r):
 
 @_query(
     "o_p20_ignore_pattern",
-    "SELECT path, CASE WHEN doc_id % 3 = 0 THEN '/' || path || '/' WHEN doc_id % 3 = 1 THEN '/' || path ELSE '/' || path || '*' END AS entry FROM docs",
+    "SELECT path, CASE WHEN doc_id % 3 = 0 THEN '/' || path || '/' WHEN doc_id % 3 = 1 THEN '/' || path WHEN doc_id % 2 = 0 THEN '/' || path || '*' ELSE '/' || path || '*/' END AS entry FROM docs",
     "docs",
 )
 def _(r):
-    spec = F.when(F.col("doc_id") % 3 == 2, F.concat("path", F.lit("*"))).when(F.col("doc_id") % 3 == 0, F.concat("path", F.lit("/"))).otherwise(F.col("path"))
+    spec = F.when(F.col("doc_id") % 6 == 2, F.concat("path", F.lit("*"))).when(F.col("doc_id") % 6 == 5, F.concat("path", F.lit("*/"))).when(F.col("doc_id") % 3 == 0, F.concat("path", F.lit("/"))).otherwise(F.col("path"))
     return r.docs.select("path", dml.ignore_pattern(spec, F.col("doc_id") % 3 == 0, F.col("doc_id") % 3 == 1).alias("entry"))
 
 
-@_query("o_p23_precedence", "SELECT doc_id, coalesce(given, stored, 'default') AS value FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang END AS given, CASE WHEN doc_id % 2 = 0 THEN source END AS stored FROM documents)")
+@_query("o_p23_precedence", "SELECT doc_id, CASE WHEN given <> '' THEN given WHEN stored IS NOT NULL THEN stored ELSE 'default' END AS value FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN '' END AS given, CASE doc_id % 4 WHEN 0 THEN source WHEN 2 THEN '' END AS stored FROM documents)")
 def _(r):
-    given, stored = F.when(F.col("doc_id") % 3 == 0, F.col("lang")), F.when(F.col("doc_id") % 2 == 0, F.col("source"))
-    return r.docs.select("doc_id", F.coalesce(given, stored, F.lit("default")).alias("value"))
+    """An empty setting of the caller says nothing; an empty one in the file is one."""
+    given = F.when(F.col("doc_id") % 3 == 0, F.col("lang")).when(F.col("doc_id") % 3 == 1, "")
+    stored = F.when(F.col("doc_id") % 4 == 0, F.col("source")).when(F.col("doc_id") % 4 == 2, "")
+    return r.docs.select("doc_id", keys.setting(given, stored, F.lit("default")).alias("value"))
 
 
 @_query("o_p25_reachable_entries", "SELECT path FROM cur WHERE split_part(path, '/', 1) IN ('src1', 'src3') OR NOT contains(path, '/')", "cur")
@@ -845,12 +889,12 @@ def _(r):
 
 @_query(
     "o_t4_hidden_limit",
-    "SELECT path FROM disk WHERE split_part(path, '/', 1) IN (SELECT split_part(path, '/', 1) FROM cur) AND path NOT IN (SELECT path FROM cur) ORDER BY path LIMIT 20",
-    "disk", "cur",
+    f"SELECT path FROM everything WHERE split_part(path, '/', 1) IN (SELECT split_part(path, '/', 1) FROM cur) AND path NOT IN (SELECT path FROM cur) AND NOT {_DROPPING} AND NOT contains(path, '/.git/') ORDER BY path LIMIT 20",
+    "disk", "cur", everything=_EVERYTHING,
 )
 def _(r):
     directories = r.cur.select(keys.shard_for("path").alias("directory")).distinct()
-    return diff.hidden(r.disk, directories, r.cur, limit=20)
+    return diff.hidden(_everything(r), directories, r.cur, limit=20)
 
 
 @_query("o_t5_chunk_order", "SELECT manifest_key, list(chunk_index ORDER BY chunk_index)::VARCHAR AS chunks FROM chunks GROUP BY manifest_key", "chunks")
@@ -899,3 +943,194 @@ def _(r):
 @_query("o_r2_incremental", "SELECT path FROM files WHERE mtime > 1700010000.0 AND path NOT IN (SELECT path FROM cur)", "files", "cur")
 def _(r):
     return diff.recent(r.files, 1_700_010_000.0).select("path").join(r.cur, "path", "left_anti")
+
+
+# Files that are written and read -----------------------------------------------------------------------------------
+
+
+def _local(where: str) -> str:
+    return where.removeprefix("file://")
+
+
+def _working_copy(r: Relations) -> str:
+    """A folder with a file for each of `disk`, and others that a lister has to know."""
+    import os
+
+    root = _folder(r, "copy")
+    target = _local(root)
+
+    def write(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                full = os.path.join(target, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "wb") as f:
+                    f.write(text)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    text = F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("#edit"))).otherwise(F.col("text"))
+    files = r.docs.where("doc_id % 17 <> 2").select("path", text.cast("binary").alias("content"))
+    files = files.union(r.spark.createDataFrame([("src1/.hidden/a.txt", bytearray(b"a")), ("src1/_empty", bytearray()), (".git/config", bytearray(b"no"))], "path string, content binary"))
+    files.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+#: What a user names by src1/**/*1.txt, by the directory src3/fr and by the pattern s?c4, which names a directory.
+_NAMED = "regexp_full_match(path, 'src1/(.*/)?[^/]*1[.]txt') OR starts_with(path, 'src3/fr/') OR starts_with(path, 'src4/')"
+
+
+@_query("o_s9_files", f"SELECT path, octet_length(encode(CASE WHEN doc_id % 13 = 0 THEN text || '#edit' ELSE text END)) AS size FROM docs WHERE doc_id % 17 <> 2 AND ({_NAMED})", "docs")
+def _(r):
+    from stowage.sources import files
+
+    root = _local(_working_copy(r))
+    found = [files.resolve(r.spark, root, spec) for spec in ("src1/**/*1.txt", "src3/fr", "s?c4", "none/*.x")]
+    return found[0].union(found[1]).union(found[2]).union(found[3]).select("path", "size")
+
+
+@_query("o_s9_all_files", "SELECT path, sha256(CASE WHEN doc_id % 13 = 0 THEN text || '#edit' ELSE text END) AS hash FROM docs WHERE doc_id % 17 <> 2 UNION ALL SELECT 'src1/.hidden/a.txt', sha256('a') UNION ALL SELECT 'src1/_empty', sha256('')", "docs")
+def _(r):
+    from stowage.sources import files
+
+    root = _local(_working_copy(r))
+    return files.hash_files(files.list_files(r.spark, root), root)
+
+
+_UPLOADED = "SELECT path, sha256(CASE WHEN doc_id % 13 = 0 THEN text || '#edit' ELSE text END) AS hash FROM docs WHERE doc_id % 17 <> 2 AND starts_with(path, 'src2/')"
+
+
+@_query("o_w12_upload", f"SELECT *, true AS landed FROM ({_UPLOADED})", "docs")
+def _(r):
+    from stowage.operators import transfer
+    from stowage.sources import files
+
+    root, to = _local(_working_copy(r)), _folder(r, "store")
+    return transfer.upload(files.resolve(r.spark, root, "src2"), root, to, PREFIX, 1500).select("path", "hash", "landed")
+
+
+@_query("o_w14_download", f"SELECT *, true AS ok FROM ({_UPLOADED})", "docs")
+def _(r):
+    """Up, listed, located and down again, with the digests of the files that arrive."""
+    from stowage.operators import transfer
+    from stowage.sources import files
+
+    root, to, back = _local(_working_copy(r)), _folder(r, "store"), _local(_folder(r, "back"))
+    sent = transfer.upload(files.resolve(r.spark, root, "src2"), root, to, PREFIX, 1500).select("path", "hash")
+    entries = r.spark.createDataFrame(sent.toArrow())
+    located = store.locate(entries, files.inventory(r.spark, _local(to)), PREFIX).join(entries, "path")
+    fetched = r.spark.createDataFrame(transfer.download(located, to, back, PREFIX).toArrow())
+    return files.hash_files(files.list_files(r.spark, back), back).join(fetched.select("path", "ok"), "path")
+
+
+@_query("o_s8_objects", f"SELECT count(*) FILTER (WHERE starts_with(hash, '0')) AS n FROM ({_UPLOADED})", "docs")
+def _(r):
+    """Assets of a written store by a prefix of their keys."""
+    from stowage.operators import transfer
+    from stowage.sources import files
+
+    root, to = _local(_working_copy(r)), _folder(r, "store")
+    transfer.upload(files.resolve(r.spark, root, "src2"), root, to, PREFIX).agg(F.count(F.lit(1))).collect()
+    return files.inventory(r.spark, _local(to), f"{PREFIX}/assets/0").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("o_s1_manifest", "SELECT path, hash FROM cur", "cur")
+def _(r):
+    """Written as YAML and read by the source."""
+    import os
+
+    from stowage.sources import manifest
+
+    where = _local(_folder(r, "manifest"))
+    os.makedirs(where)
+    manifest.write_manifest(r.cur, f"{where}/.manifest.yaml", bucket="assets")
+    return manifest.read_manifest(r.spark, manifest.manifest_path(where))
+
+
+@_query("o_w17_convert", "SELECT path, hash FROM cur", "cur")
+def _(r):
+    """Written as JSON, made into YAML."""
+    import os
+
+    from stowage.sources import manifest
+
+    where = _local(_folder(r, "manifest"))
+    os.makedirs(where)
+    manifest.write_manifest(r.cur, f"{where}/.manifest.json", bucket="assets")
+    manifest.convert(r.spark, manifest.manifest_path(where), f"{where}/.manifest.yaml")
+    return manifest.read_manifest(r.spark, manifest.manifest_path(where))
+
+
+@_query("o_w1_manifest_order", "SELECT row_number() OVER (ORDER BY path) AS nth, path FROM cur", "cur")
+def _(r):
+    """The lines of a written manifest, in their order."""
+    import os
+
+    from stowage.sources import manifest
+
+    where = _local(_folder(r, "manifest"))
+    os.makedirs(where)
+    manifest.write_manifest(r.cur, f"{where}/m.json")
+    lines = [x.partition('": "')[0].lstrip('"') for x in open(f"{where}/m.json").read().splitlines() if '": "' in x]
+    return r.spark.createDataFrame(list(enumerate(lines, 1)), "nth long, path string")
+
+
+@_query("o_s10_cache_scan", "SELECT path, hash, size, mtime, inode, timestamp FROM cache", "cache")
+def _(r):
+    """Saved because it has changed, and read from its file."""
+    import os
+
+    from stowage.sources import cache
+
+    where = _local(_folder(r, "cache"))
+    os.makedirs(where)
+    held = cache.HashCache(r.spark, f"{where}/cache.yaml")
+    held.set(r.cache)
+    held.save()
+    return cache.HashCache(r.spark, f"{where}/cache.yaml").load()
+
+
+@_query("o_s11_claims_scan", "SELECT base, max(claimed_at) AS claimed_at FROM claims GROUP BY base", "claims")
+def _(r):
+    import os
+
+    from stowage.sources import cache
+
+    where = _local(_folder(r, "claims"))
+    os.makedirs(where)
+    cache.write_claims(r.claims, f"{where}/claims.yaml")
+    return cache.read_claims(r.spark, f"{where}/claims.yaml")
+
+
+@_query("o_p15_changed_during_hash", "SELECT f.path, f.size IS DISTINCT FROM g.size OR g.path IS NULL AS changed FROM files f LEFT JOIN (SELECT path, CASE WHEN doc_id % 4 = 0 THEN n_chars + 1 ELSE n_chars END AS size FROM docs WHERE doc_id % 6 <> 0) g USING (path)", "files", "docs")
+def _(r):
+    after = r.docs.where("doc_id % 6 <> 0").select("path", F.when(F.col("doc_id") % 4 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"), (1_700_000_000.0 + F.col("doc_id") * 100.0).alias("mtime"), (F.col("doc_id") + 1000).alias("inode"))
+    return diff.changed_since(r.files, after)
+
+
+@_query("o_r3_on_move", "SELECT path, hash FROM cur WHERE path NOT IN (SELECT path FROM prev WHERE prev.hash = cur.hash)", "cur", "prev")
+def _(r):
+    """What an action that follows the pointer is given: the entries of the new revision that the one before hasn't."""
+    found, checkpoint, seen = _snapshots(r, "prev", "cur"), _folder(r, "trigger"), []
+    found.advance(None, "prev")
+    found.on_move(lambda before, after: seen.append((before, after)), checkpoint)
+    found.advance("prev", "cur")
+    found.on_move(lambda before, after: seen.append((before, after)), checkpoint)
+    before, after = seen[-1]
+    return diff.delta(found.read(after), found.read(before)).select("path", "hash")
+
+
+@_query("o_r4_completed_files", "SELECT manifest_key, count(*) AS n_chunks FROM chunks WHERE CAST(manifest_key AS BIGINT) % 3 <> 0 GROUP BY manifest_key", "chunks")
+def _(r):
+    """Chunks come in any order from a stream; of every third file one is lacking."""
+    from stowage.streaming import claims
+
+    where, last = _folder(r, "chunks"), F.max("chunk_index").over(Window.partitionBy("manifest_key"))
+    rows = r.chunks.withColumn("last", last).where("cast(manifest_key as bigint) % 3 <> 0 or chunk_index < last")
+    rows.select("manifest_key", "chunk_index", (F.col("last") + 1).cast("int").alias("num_chunks"), F.lit(NOW).cast("timestamp").alias("landed_at")).orderBy(F.xxhash64("manifest_key", "chunk_index")).write.parquet(where)
+    stream = r.spark.readStream.schema("manifest_key string, chunk_index long, num_chunks int, landed_at timestamp").option("maxFilesPerTrigger", 2).parquet(where)
+    to = _folder(r, "completed")
+    query = claims.completed_files(stream).writeStream.format("parquet").option("path", to).option("checkpointLocation", _folder(r, "completed-state")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return r.spark.read.schema("manifest_key string, n_chunks long").parquet(to)

@@ -14,6 +14,7 @@ from stowage.session import ship
 
 PREFIX = "p"
 CHUNK_CHARS = 2000
+NAMES = ("docs", "cur", "prev", "disk", "theirs", "cache", "files", "store", "claims", "timeline", "chunks")
 #: The present, for everything that expires: 2024-01-15T00:00:00Z.
 NOW = 1_705_276_800.0
 
@@ -23,6 +24,30 @@ def _micros(column: str):
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', CAST({column} AS timestamp_ntz))")
 
 
+#: Folders of relations that keep_relations() has written, by the folder of their tables.
+_KEPT: dict[str, str] = {}
+
+
+def keep_relations(spark: SparkSession, root: str, to: str) -> None:
+    """Write all relations over the tables in `root` once, for all queries of this process that follow: those then time operators, not the making of their input."""
+    _KEPT.pop(root, None)
+    held = Relations(spark, root)
+    for name in NAMES:
+        getattr(held, name).write.parquet(f"{to}/{name}")
+    _KEPT[root] = to
+
+
+def _relation(build):
+    """A relation that is read where keep_relations() has written it, and else built."""
+
+    def get(self):
+        kept = _KEPT.get(self.root)
+        return self.spark.read.parquet(f"{kept}/{build.__name__}") if kept else build(self)
+
+    get.__doc__ = build.__doc__
+    return property(get)
+
+
 class Relations:
     """Relations over one folder of tables; each is built when it is asked for."""
 
@@ -33,7 +58,7 @@ class Relations:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
-    @property
+    @_relation
     def docs(self) -> DataFrame:
         path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
         return self.table("documents").withColumn("path", path)
@@ -42,23 +67,23 @@ class Relations:
         text = F.when(F.col("doc_id") % modulus == 0, F.concat("text", F.lit(suffix))).otherwise(F.col("text"))
         return rows.select("path", F.sha2(text, 256).alias("hash"), "doc_id", "n_chars")
 
-    @property
+    @_relation
     def cur(self) -> DataFrame:
         return self.docs.where("doc_id % 9 <> 3").select("path", F.sha2("text", 256).alias("hash"), "doc_id", "n_chars")
 
-    @property
+    @_relation
     def prev(self) -> DataFrame:
         return self._edited(self.docs.where("doc_id % 11 <> 5"), 7, "#v0")
 
-    @property
+    @_relation
     def disk(self) -> DataFrame:
         return self._edited(self.docs.where("doc_id % 17 <> 2"), 13, "#edit")
 
-    @property
+    @_relation
     def theirs(self) -> DataFrame:
         return self._edited(self.docs.where("doc_id % 10 <> 4"), 7, "#v1")
 
-    @property
+    @_relation
     def cache(self) -> DataFrame:
         """Hashes taken for most files; some are out of date, racy or of another inode."""
         rows = self.docs.where("doc_id % 6 <> 1")
@@ -73,13 +98,13 @@ class Relations:
             (mtime + F.when(F.col("doc_id") % 5 == 0, 0.5).otherwise(60.0)).alias("timestamp"),
         )
 
-    @property
+    @_relation
     def files(self) -> DataFrame:
         """Files with stat and content."""
         rows = self.docs.where("doc_id % 17 <> 2")
         return rows.select("path", "n_chars", F.col("n_chars").alias("size"), (1_700_000_000.0 + F.col("doc_id") * 100.0).alias("mtime"), (F.col("doc_id") + 1000).alias("inode"), F.col("text").alias("content"))
 
-    @property
+    @_relation
     def store(self) -> DataFrame:
         """Objects: raw or .gz, whole or in chunks, some with a hole, and look-alikes that belong to nothing."""
         both = self.cur.union(self.prev).distinct().where("doc_id % 19 <> 4")
@@ -91,22 +116,24 @@ class Relations:
         parts = parts.where(~((F.col("n") >= 3) & (F.col("doc_id") % 5 == 1) & (F.col("k") == 1)))
         size = F.least(F.lit(CHUNK_CHARS).cast("long"), F.col("n_chars") - F.col("k") * CHUNK_CHARS)
         parts = parts.select(F.concat("stem", F.lit(".chunk"), F.col("k").cast("string")).alias("key"), size.alias("size"))
+        # Some raw chunks, with and without a hole, have a compressed object beside them.
+        both = rows.where("n > 1 and n_chars % 2 = 1 and doc_id % 3 <> 0").select(F.concat("stem", F.lit(".gz")).alias("key"), F.lit(1).cast("long").alias("size"))
         odd = self.spark.createDataFrame([(k, s) for k, s in ODD_KEYS], "key string, size long")
-        return whole.union(parts).union(odd)
+        return whole.union(parts).union(both).union(odd)
 
-    @property
+    @_relation
     def claims(self) -> DataFrame:
         """Claims on the base keys of every fourth entry, at the times of events."""
         times = self.table("events").select((F.col("event_id") * 4).alias("doc_id"), _micros("ts").alias("us"))
         rows = self.prev.join(times, "doc_id")
         return rows.select(F.concat(F.lit(f"{PREFIX}/assets/"), "hash", F.lit("/"), "path").alias("base"), (F.floor(F.col("us") / 1_000_000)).cast("double").alias("claimed_at"))
 
-    @property
+    @_relation
     def timeline(self) -> DataFrame:
         """stage, ts (microseconds), seq and delta: starts and ends of tasks."""
         return self.table("events").select(F.col("event_type").alias("stage"), _micros("ts").alias("ts"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("delta"))
 
-    @property
+    @_relation
     def chunks(self) -> DataFrame:
         """Turns of conversations as the chunks of files."""
         return self.table("conversations").select(F.col("conv_id").cast("string").alias("manifest_key"), F.col("turn").alias("chunk_index"), F.col("text").cast("binary").alias("content"))
@@ -140,6 +167,7 @@ CTES = {
         FROM (SELECT * FROM cur UNION SELECT * FROM prev) WHERE doc_id % 19 <> 4""",
     "store": f"""SELECT stem AS key, n_chars AS size FROM stored WHERE n <= 1
         UNION ALL SELECT stem || '.chunk' || CAST(k AS VARCHAR), least({CHUNK_CHARS}, n_chars - k * {CHUNK_CHARS}) FROM (SELECT *, unnest(range(0, n)) AS k FROM stored WHERE n > 1) WHERE NOT (n >= 3 AND doc_id % 5 = 1 AND k = 1)
+        UNION ALL SELECT stem || '.gz', 1 FROM stored WHERE n > 1 AND n_chars % 2 = 1 AND doc_id % 3 <> 0
         UNION ALL SELECT * FROM (VALUES {_ODD})""",
     "stems": """SELECT DISTINCT key, size, base FROM (SELECT key, size, unnest([key, regexp_replace(key, '[.]chunk[0-9]+$', ''), regexp_replace(key, '[.]gz$', ''),
         regexp_replace(regexp_replace(key, '[.]chunk[0-9]+$', ''), '[.]gz$', '')]) AS base FROM store)""",

@@ -83,8 +83,9 @@ def test_keys(spark):
     assert [column(spark, n, keys.human_size, "long") for n in (0, 1023, 1024, 1536, 5 << 40, 3 << 50)] == ["0.0 B", "1023.0 B", "1.0 KB", "1.5 KB", "5.0 TB", "3.0 PB"]
     assert [column(spark, k, lambda c: keys.is_asset_key("p", c)) for k in ("p/assets/h/p/x.gz", "other/assets/h/f", "p/short", "p/assets/only")] == [True, False, False, False]
     assert [column(spark, p, keys.is_internal) for p in (".git/x", "a/.manifest.yaml", "a.lock", "a/b")] == [True, True, True, False]
-    retry = spark.createDataFrame([("SlowDown", 400), ("NoSuchKey", 404), (None, 429), ("Other", 503), (None, None)], "code string, status int")
-    assert [r[0] for r in retry.select(keys.is_retryable("code", "status")).collect()] == [True, False, True, True, True]
+    errors = [("SlowDown", 400, True), ("NoSuchKey", 404, False), (None, 429, False), ("Other", 503, True), (None, None, True), ("AccessDenied", None, False), ("InvalidBucketName", 500, False), ("TooManyRequests", 429, False), ("Any", 408, False), ("RequestTimeout", 408, True), ("Throttling", 429, True)]
+    retry = spark.createDataFrame(errors, "code string, status int, want boolean")
+    assert [r[0] for r in retry.select(keys.is_retryable("code", "status")).collect()] == [x for _, _, x in errors]
 
 
 def test_coverage_of_look_alikes(spark):
@@ -106,11 +107,11 @@ def test_garbage_goes_by_hash_and_path(spark):
     assert [r["key"] for r in store.delete_victims("p/assets/h9/no.bin", objects).collect()] == ["p/assets/h9/no.bin"]
 
 
-def test_locate_prefers_whole_and_raw_and_needs_all_chunks(spark):
-    names = {"a": ["", ".gz", ".chunk0"], "b": [".gz.chunk0", ".gz.chunk1", ".gz.chunk2"], "c": [".gz.chunk0", ".gz.chunk2"], "d": [".gz", ".chunk0", ".chunk1"]}
+def test_locate_prefers_raw_then_whole_and_needs_all_chunks(spark):
+    names = {"a": ["", ".gz", ".chunk0"], "b": [".gz.chunk0", ".gz.chunk1", ".gz.chunk2"], "c": [".gz.chunk0", ".gz.chunk2"], "d": [".gz", ".chunk0", ".chunk1"], "f": [".gz", ".chunk1"]}
     objects = spark.createDataFrame([(f"p/assets/h/{p}{x}", 2) for p, ends in names.items() for x in ends], "key string, size long")
-    got = {r["path"]: tuple(r)[1:] for r in store.locate(entries(spark, a="h", b="h", c="h", d="h", e="h"), objects, "p").collect()}
-    assert got == {"a": ("raw", False, 1, 2), "b": ("gz", True, 3, 6), "d": ("gz", False, 1, 2)}
+    got = {r["path"]: tuple(r)[1:] for r in store.locate(entries(spark, a="h", b="h", c="h", d="h", e="h", f="h"), objects, "p").collect()}
+    assert got == {"a": ("ok", "raw", False, 1, 2), "b": ("ok", "gz", True, 3, 6), "c": ("broken", "gz", True, 2, 4), "d": ("ok", "raw", True, 2, 4), "e": ("missing", None, None, None, None), "f": ("broken", "raw", True, 1, 2)}
 
 
 def test_status_and_sync(spark):
@@ -179,10 +180,37 @@ def test_merge(spark, base, ours, theirs, want, conflicts):
 
 def test_merge_lists(spark):
     side = lambda lines: spark.createDataFrame([(x, k) for k, x in enumerate(lines)], "line string, ord long")
-    merged = lambda *x: [r["line"] for r in merge.merge_lists(*map(side, x)).orderBy("at").collect()]
+    merged = lambda *x: [r["line"] for r in dml.ordinals(merge.merge_lists(*map(side, x))).orderBy("ord").collect()]
     assert merged([], ["/a"], ["/b"]) == ["/a", "/b"]
     assert merged(["/a", "/b"], ["/a", "/b"], ["/b"]) == ["/b"]
     assert merged(["/a"], ["/a", "/c"], ["/d", "/a"]) == ["/a", "/c", "/d"]
+    assert merged(["a", "b"], ["b", "x", "a"], ["a", "b"]) == ["a", "b", "x"]
+    assert merged(["a", "b"], ["b"], ["a"]) == []
+
+
+def test_ordinals_across_ranges(spark):
+    rows = spark.createDataFrame([(k % 2, k * 30_000, f"l{k}") for k in range(40)], "part int, ord long, line string")
+    got = [r["line"] for r in dml.ordinals(rows).orderBy("ord").collect()]
+    assert got == [f"l{k}" for k in range(0, 40, 2)] + [f"l{k}" for k in range(1, 40, 2)]
+    assert [r["ord"] for r in dml.ordinals(rows).orderBy("ord").collect()] == list(range(1, 41))
+
+
+def test_marked_blocks(spark):
+    file = lambda *lines: spark.createDataFrame(list(enumerate(lines)), "ord long, line string")
+    parts = lambda *lines: [(r["section"], r["line"]) for r in dml.split_block(file(*lines), "<", ">").orderBy("ord").collect()]
+    assert parts("a", "<", "b", "", " ", "c", ">", "", "d") == [("before", "a"), ("block", "b"), ("block", "c"), ("after", ""), ("after", "d")]
+    assert parts("a", ">", "<", "b", "", "c") == [("before", "a"), ("before", ">"), ("after", "b"), ("after", ""), ("after", "c")]
+    assert parts("a", "", "b") == [("before", "a"), ("before", ""), ("before", "b")]
+    block = file("/a", "/b", "/c")
+    assert [r["line"] for r in dml.remove_lines(block, file("/b", "/x")).orderBy("ord").collect()] == ["/a", "/c"]
+    written = lambda *lines: [r["line"] for r in dml.write_block(dml.split_block(file(*lines), "<", ">"), "<", ">").orderBy("ord").collect()]
+    assert written("a", "<", "b", "", ">", "d") == ["a", "", "<", "b", ">", "d"]
+    assert written("a", "", "<", "b", ">") == ["a", "", "<", "b", ">"]
+    assert written("<", "b", ">", "d") == ["<", "b", ">", "d"]
+    assert written("a", "<", "", ">", "d") == ["a", "d"]
+    specs = [("data*/", False, False, "/data*/"), ("data/", True, False, "/data/"), ("r[1]", False, True, "/r\\[1\\]"), ("r[1]/", True, False, "/r\\[1\\]/"), ("x.bin", False, False, "/x.bin"), ("*.bin", False, False, "/*.bin")]
+    rows = spark.createDataFrame(specs, "spec string, is_dir boolean, is_file boolean, want string")
+    assert [r[0] for r in rows.select(dml.ignore_pattern(F.col("spec"), F.col("is_dir"), F.col("is_file"))).collect()] == [x[-1] for x in specs]
 
 
 def test_split(spark):
@@ -245,8 +273,8 @@ def test_changes(spark):
     assert sorted(r["entry"] for r in dml.upgrade_ignores(held, added).collect()) == ["/d/", "/dx", "/e/y/"]
     attributes = spark.createDataFrame([("*.bin filter=lfs diff=lfs",), ("# note",), ("*.txt text",), ("filter=lfs",), ("  data/** -text  filter=lfs",)], "value string")
     assert sorted(r["pattern"] for r in dml.lfs_patterns(attributes).collect()) == ["*.bin", "data/**"]
-    hidden = diff.hidden(spark.createDataFrame([(p,) for p in ("d/new.bin", "d/old.bin", "d/x.swp", "d/__pycache__/m", "e/n", "d/s/deep")], "path string"), spark.createDataFrame([("d",)], "directory string"), entries(spark, **{"d/old.bin": "h"}))
-    assert [r["path"] for r in hidden.collect()] == ["d/new.bin", "d/s/deep"]
+    hidden = diff.hidden(spark.createDataFrame([(p,) for p in ("d/new.bin", "d/old.bin", "d/x.swp", "d/x.pyc", "d/__pycache__/m", "d/.git/x", "d/x.lock", "e/n", "d/s/deep")], "path string"), spark.createDataFrame([("d",)], "directory string"), entries(spark, **{"d/old.bin": "h"}))
+    assert [r["path"] for r in hidden.collect()] == ["d/__pycache__/m", "d/new.bin", "d/s/deep", "d/x.lock"]
 
 
 def test_manifest_files(spark, tmp_path):
@@ -282,7 +310,7 @@ def test_files(spark, tmp_path):
 
 
 def test_snapshots(spark, tmp_path):
-    from stowage.plans.snapshots import Conflict, Snapshots, register_sql
+    from stowage.plans.snapshots import Conflict, NoRevision, Snapshots
 
     held = Snapshots(spark, f"file://{tmp_path}")
     rows = entries(spark, **{"alpha/f": "1", "beta/f": "2", "gamma/f": "3", "top": "4"})
@@ -294,30 +322,220 @@ def test_snapshots(spark, tmp_path):
     assert paths(one) == ["beta/f"]
     assert "PartitionFilters: [" in (plan := one._jdf.queryExecution().toString()) and "beta" in plan
     held.advance(None, "r1")
+    written = lambda: {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    before = written()
     held.write_changed("r1", entries(spark, **{"alpha/g": "9"}), "r2", ["alpha", "gamma"])
     assert paths(held.read("r2")) == ["alpha/g", "beta/f", "top"]
-    assert "gamma" not in held.shards("r2")
+    assert held.shards("r2") == ["_root", "alpha", "beta"]
+    assert paths(held.read("r2", ["alpha"])) == ["alpha/g"]
+    assert len(held.read("r2", ["alpha"]).inputFiles()) == 1
+    # Only the changed shard was written, and none was rewritten.
+    after = written()
+    assert {p.parent.name for p in after.keys() - before.keys()} == {"shard=alpha"}
+    assert {p: after[p] for p in before} == before
     held.advance("r1", "r2")
     assert held.head() == "r2"
     with pytest.raises(Conflict):
-        held.advance("r1", "r3")
+        held.advance("r1", "r2")
+    with pytest.raises(NoRevision):
+        held.advance("r2", "r9")
+    with pytest.raises(NoRevision):
+        held.write_changed("r9", rows, "r3", ["alpha"])
+    with pytest.raises(FileExistsError):
+        held.write(rows, "r2")
+
+
+def test_a_writer_that_stops_blocks_nobody(spark, tmp_path, monkeypatch):
+    from stowage.plans.snapshots import Conflict, Snapshots
+
+    held = Snapshots(spark, f"file://{tmp_path}")
+    rows = entries(spark, **{"a/f": "1", "b c%/f": "2"})
+    held.write(rows, "r1")
+    held.write(rows, "r2")
+    assert held.shards("r1") == ["a", "b c%"] and paths(held.read("r1", ["b c%"])) == ["b c%/f"]
+    held.advance(None, "r1")
+    # One that stops before its move has a name leaves at most a file that nothing reads.
+    (tmp_path / ".half").write_text("r2")
+    assert held.head() == "r1"
+    # Of two that have read the same revision, the second to move is told.
+    monkeypatch.setattr(held, "_last", lambda: 0)
+    with pytest.raises(Conflict):
+        held.advance(None, "r2")
+    monkeypatch.undo()
+    held.advance("r1", "r2")
+    assert held.head() == "r2"
+
+
+def test_on_move(spark, tmp_path):
+    from stowage.plans.snapshots import Snapshots
+
+    held, seen = Snapshots(spark, f"file://{tmp_path / 'c'}"), []
+    for name in ("r1", "r2", "r3"):
+        held.write(entries(spark, a=name), name)
+    follow = lambda: held.on_move(lambda before, after: seen.append((before, after)), str(tmp_path / "seen"))
+    held.advance(None, "r1")
+    follow()
+    held.advance("r1", "r2")
+    held.advance("r2", "r3")
+    follow()
+    follow()
+    assert seen == [(None, "r1"), ("r1", "r3")]
+
+
+def test_sql_functions(spark):
+    from stowage.plans.snapshots import register_sql
+
     register_sql(spark)
     assert spark.sql("SELECT asset_key('p', 'h', 'a/b'), shard_for('a/b'), array_sort(key_stems('k.gz.chunk3'))").first()[:2] == ("p/assets/h/a/b", "a")
 
 
+def _rows(spark, query, name):
+    query.processAllAvailable()
+    return sorted(map(tuple, spark.table(name).collect()))
+
+
 def test_streams(spark, tmp_path):
+    import datetime
+
     from stowage.streaming import claims
 
-    rows = [("k1", 0, 2), ("k2", 0, 1), ("k1", 1, 2), ("k3", 1, 2)]
-    spark.createDataFrame(rows, "manifest_key string, chunk_index int, num_chunks int").write.parquet(str(tmp_path / "c"))
-    stream = spark.readStream.schema("manifest_key string, chunk_index int, num_chunks int").parquet(str(tmp_path / "c"))
+    at = lambda day, hour=0: datetime.datetime(2024, 1, day, hour)
+    kind = "manifest_key string, chunk_index int, num_chunks int, landed_at timestamp"
+    spark.createDataFrame([("k1", 0, 2, at(1)), ("k2", 0, 1, at(1)), ("k1", 1, 2, at(1)), ("k3", 1, 2, at(1))], kind).write.mode("append").parquet(str(tmp_path / "c"))
+    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "c"))
     q = claims.completed_files(stream).writeStream.format("memory").queryName("done_files").outputMode("append").start()
-    q.processAllAvailable()
+    assert _rows(spark, q, "done_files") == [("k1", 2), ("k2", 1)]
+    # A chunk that comes again makes no second file; the state of files that rest goes, and k3 begins anew.
+    spark.createDataFrame([("k1", 1, 2, at(1)), ("k4", 0, 1, at(9))], kind).write.mode("append").parquet(str(tmp_path / "c"))
+    assert _rows(spark, q, "done_files") == [("k1", 2), ("k2", 1), ("k4", 1)]
+    spark.createDataFrame([("k5", 0, 1, at(9, 1))], kind).write.mode("append").parquet(str(tmp_path / "c"))
+    _rows(spark, q, "done_files")
+    spark.createDataFrame([("k3", 0, 2, at(10))], kind).write.mode("append").parquet(str(tmp_path / "c"))
+    assert ("k3", 2) not in _rows(spark, q, "done_files")
     q.stop()
-    assert sorted(map(tuple, spark.table("done_files").collect())) == [("k1", 2), ("k2", 1)]
-    spark.sql("SELECT 'b' AS base, timestamp'2024-01-01 01:00:00' AS claimed_at UNION ALL SELECT 'b', timestamp'2024-01-01 02:00:00' UNION ALL SELECT 'c', timestamp'2024-01-01 01:00:00'").write.parquet(str(tmp_path / "l"))
+    spark.createDataFrame([("b", at(1, 23)), ("b", at(1, 22)), ("c", at(1, 1))], "base string, claimed_at timestamp").write.mode("append").parquet(str(tmp_path / "l"))
     stream = spark.readStream.schema("base string, claimed_at timestamp").parquet(str(tmp_path / "l"))
-    q = claims.latest_claims(stream).writeStream.format("memory").queryName("held_claims").outputMode("complete").start()
-    q.processAllAvailable()
+    q = claims.latest_claims(stream).writeStream.format("memory").queryName("held_claims").outputMode("update").start()
+    assert _rows(spark, q, "held_claims") == [("b", at(1, 23), True), ("c", at(1, 1), True)]
+    # Claimed again after midnight: the same claim, prolonged. The other one has expired.
+    for row in (("b", at(2, 2)), ("d", at(2, 3))):
+        spark.createDataFrame([row], "base string, claimed_at timestamp").write.mode("append").parquet(str(tmp_path / "l"))
+        _rows(spark, q, "held_claims")
+    got = _rows(spark, q, "held_claims")
     q.stop()
-    assert {r["base"]: r["claimed_at"].hour for r in spark.table("held_claims").collect()} == {"b": 2, "c": 1}
+    assert got == [("b", at(1, 23), True), ("b", at(2, 2), True), ("c", at(1, 1), False), ("c", at(1, 1), True), ("d", at(2, 3), True)]
+
+
+def test_metrics_across_slices(spark):
+    rng = random.Random(6)
+    events = [(s, rng.randrange(10_000), k, rng.choice([1, -1])) for k, s in enumerate(rng.choices("xy", k=3000))] + [("z", 5, 9000, 1), ("z", 5, 9001, 1)]
+    got = metrics.active_workers(spark.createDataFrame(events, "stage string, ts long, seq long, delta int"))
+    want, area = {}, {}
+    for s in "xyz":
+        n, before = 0, None
+        for _, ts, seq, delta in sorted(e for e in events if e[0] == s):
+            if before is not None:
+                area[s] = area.get(s, 0) + n * (ts - before)
+            n, before = n + delta, ts
+            want[s, ts, seq] = n
+    assert {tuple(r)[:3]: r["workers"] for r in got.collect()} == want
+    assert {r["stage"]: r["area"] for r in metrics.parallelism(got).collect()} == {"z": 0} | area
+
+
+def test_named_files(spark, tmp_path):
+    import glob
+
+    from stowage.sources import files
+
+    names = ["a.txt", "d/b.txt", "d/e/c.txt", "d/.h/x.txt", ".top.txt", "d/e/.dot", "r[1]/f", "g.d/x", "deep/a/b/c/d.txt", "d/e.bin"]
+    for n in names:
+        os.makedirs((tmp_path / n).parent, exist_ok=True)
+        (tmp_path / n).write_text(n)
+
+    def want(spec):
+        place = tmp_path / spec
+        if place.is_file():
+            return [spec]
+        found = [place] if place.is_dir() else [tmp_path / x for x in glob.glob(spec, root_dir=tmp_path, recursive=True)]
+        return sorted({str(f.relative_to(tmp_path)) for x in found for f in ([x] if x.is_file() else x.rglob("*")) if f.is_file()})
+
+    for spec in ("a.txt", "d", "d/", "*.txt", "**/*.txt", "d/*", "d/**", "d/**/*.txt", "r[1]", "r[1]/f", "g.?", "**", ".t*", "d/e*", "deep/**/d.txt", "none/*", "?"):
+        assert paths(files.resolve(spark, str(tmp_path), spec)) == want(spec), spec
+    assert sorted(r["key"] for r in files.inventory(spark, str(tmp_path), "d/e").collect()) == ["d/e.bin", "d/e/.dot", "d/e/c.txt"]
+    assert files.inventory(spark, str(tmp_path), "q/e").collect() == []
+
+
+def test_transfers(spark, tmp_path):
+    from stowage.operators import transfer
+    from stowage.sources import files
+
+    rng = random.Random(8)
+    data = {"a/noise.bin": rng.randbytes(5000), "a/text.txt": b"word " * 4000, "b/empty": b"", "b/one": b"x" * 1999, "b/two": rng.randbytes(2001)}
+    for n, d in data.items():
+        os.makedirs((tmp_path / "w" / n).parent, exist_ok=True)
+        (tmp_path / "w" / n).write_bytes(d)
+    root, to, back = str(tmp_path / "w"), str(tmp_path / "s"), str(tmp_path / "b")
+    listed = files.list_files(spark, root)
+    kept = listed.select("path").union(spark.createDataFrame([("gone",)], "path string"))
+    first = {r["path"]: r for r in transfer.upload(kept, root, f"file://{to}", "p", 2000).collect()}
+    assert {p: (r["landed"], r["objects"], r["sent"]) for p, r in first.items()} == {"a/noise.bin": (True, 3, 3), "a/text.txt": (True, 1, 1), "b/empty": (True, 1, 1), "b/one": (True, 1, 1), "b/two": (True, 2, 2), "gone": (False, 0, 0)}
+    assert {r["sent"] for r in transfer.upload(listed, root, f"file://{to}", "p", 2000).collect()} == {0}
+    manifest = entries(spark, **{p: r["hash"] for p, r in first.items() if r["landed"]})
+    located = lambda: store.locate(manifest, files.inventory(spark, to), "p").join(manifest, "path")
+    assert all(r["ok"] for r in transfer.download(located(), f"file://{to}", back, "p").collect())
+    assert {p: open(f"{back}/{p}", "rb").read() for p in data} == data
+    # A damaged object, a lost chunk and a lost object are told, and leave what is there as it is.
+    stem = lambda p: f"{to}/p/assets/{first[p]['hash']}/{p}"
+    open(stem("b/one") + ".gz", "wb").write(gzip.compress(b"y" * 1999))
+    os.unlink(stem("a/noise.bin") + ".chunk1")
+    os.unlink(stem("b/empty"))
+    got = {r["path"]: (r["ok"], r["error"]) for r in transfer.download(located(), f"file://{to}", back, "p").collect()}
+    assert {p for p, (ok, _) in got.items() if ok} == {"a/text.txt", "b/two"}
+    assert "broken" in got["a/noise.bin"][1] and "missing" in got["b/empty"][1] and "digest" in got["b/one"][1]
+    assert {p: open(f"{back}/{p}", "rb").read() for p in data} == data
+    assert not [p for p in (tmp_path / "b").rglob("*.tmp")]
+
+
+def test_cache_and_claims(spark, tmp_path):
+    from stowage.sources import cache
+
+    where = tmp_path / "cache.yaml"
+    held = cache.HashCache(spark, str(where))
+    assert held.load().collect() == [] and not held.save() and not where.exists()
+    rows = spark.createDataFrame([("é/\U0001f600 \\ud83d", "h", 1, 2.5, 3, 4.0), ("b", "g", 1, 1.0, None, None)], "path string, hash string, size long, mtime double, inode long, timestamp double")
+    held.set(rows)
+    assert held.save() and not held.save()
+    again = cache.HashCache(spark, str(where))
+    assert sorted(map(tuple, again.load().collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    read = again.load()
+    assert again.load() is read and again.load(force=True) is not read
+    cache.convert_cache(spark, str(where), str(tmp_path / "cache.json"))
+    assert sorted(map(tuple, cache.HashCache(spark, str(tmp_path / "cache.json")).load().collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    with pytest.raises(FileExistsError):
+        cache.convert_cache(spark, str(where), str(tmp_path / "cache.json"))
+    where.write_text("{not: [yaml")
+    assert again.load(force=True).collect() == []
+    claims = spark.createDataFrame([("b", 1.0), ("b", 2.0), ("c", 1.0)], "base string, claimed_at double")
+    cache.write_claims(claims, str(tmp_path / "claims.yaml"))
+    assert sorted(map(tuple, cache.read_claims(spark, str(tmp_path / "claims.yaml")).collect())) == [("b", 2.0), ("c", 1.0)]
+    for text in ("", "- a", "claims: [1]", "{{{"):
+        (tmp_path / "claims.yaml").write_text(text)
+        assert cache.read_claims(spark, str(tmp_path / "claims.yaml")).collect() == []
+    assert cache.read_claims(spark, str(tmp_path / "none.yaml")).collect() == []
+
+
+def test_manifest_paths_and_index(spark, tmp_path):
+    import subprocess
+
+    from stowage.sources import index, manifest
+
+    assert manifest.manifest_path(str(tmp_path)).endswith(".manifest.yaml")
+    (tmp_path / ".manifest.json").write_text("{}")
+    assert manifest.manifest_path(str(tmp_path)).endswith(".manifest.json")
+    (tmp_path / ".manifest.yaml").write_text("")
+    assert manifest.manifest_path(str(tmp_path)).endswith(".manifest.yaml")
+    assert index.read_index(spark, str(tmp_path)).collect() == []
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    (tmp_path / "a b\rc").write_text("x")
+    subprocess.run(["git", "-C", str(tmp_path), "add", "a b\rc", ".manifest.json"], check=True)
+    assert paths(index.read_index(spark, str(tmp_path))) == [".manifest.json", "a b\rc"]
