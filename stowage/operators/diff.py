@@ -106,17 +106,49 @@ def is_dropping(path: Column | str) -> Column:
     return out
 
 
-def hidden(disk: DataFrame, directories: DataFrame, manifest: DataFrame, limit: int | None = None) -> DataFrame:
-    """Files under tracked directories that the manifest doesn't know, in order. Directories meet by equality with each file's ancestors."""
+def hidden(disk: DataFrame, directories: DataFrame, manifest: DataFrame, limit: int | None = None, changed: DataFrame | None = None) -> DataFrame:
+    """Files under tracked directories that the manifest doesn't know, in order. Directories meet by equality with each file's ancestors.
+
+    With `changed` (directory), only files right in one of those: a file that is added changes its directory's time.
+    """
+    if changed is not None:
+        folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"(?s)\A(.*)/[^/]*\z", 1)).otherwise("")
+        disk = disk.withColumn("directory", folder).join(changed.select("directory"), "directory", "left_semi")
     files = disk.select("path").where(~is_dropping("path") & ~keys.in_internal_dir("path"))
     under = files.select("path", F.explode(keys.ancestors("path")).alias("directory")).join(directories, "directory", "left_semi").select("path").distinct()
     found = under.join(manifest, "path", "left_anti").orderBy("path")
     return found.limit(limit) if limit else found
 
 
+def staged_files(staged: DataFrame) -> DataFrame:
+    """Staged paths (path, status), other than deletions."""
+    return staged.where("status <> 'D'").select("path")
+
+
 def dual_ownership(staged: DataFrame, manifest: DataFrame) -> DataFrame:
     """Staged paths, other than deletions, that the manifest also owns."""
-    return staged.where("status <> 'D'").select("path").intersect(manifest.select("path"))
+    return staged_files(staged).intersect(manifest.select("path"))
+
+
+def to_deindex(index: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Paths that the index of version control still has though the manifest owns them, in order."""
+    return index.select("path").distinct().join(manifest, "path", "left_semi").orderBy("path")
+
+
+def commit_range(commits: DataFrame, base: str | None, last: str) -> DataFrame:
+    """Commits (ord, sha) after `base` up to `last`, in order; from the first one without a base. None for a commit that isn't there."""
+    ends = commits.agg(F.max(F.when(F.col("sha") == base, F.col("ord"))).alias("_base") if base else F.lit(None).cast("long").alias("_base"), F.max(F.when(F.col("sha") == last, F.col("ord"))).alias("_last"))
+    begins = F.lit(True) if base is None else F.col("ord") > F.col("_base")
+    return commits.join(F.broadcast(ends)).where(begins & (F.col("ord") <= F.col("_last"))).select("ord", "sha").orderBy("ord")
+
+
+def distinct_pairs(*revisions: DataFrame) -> DataFrame:
+    """Each (path, hash) of some revisions once."""
+    pairs = [r.select("path", "hash") for r in revisions]
+    out = pairs[0]
+    for more in pairs[1:]:
+        out = out.union(more)
+    return out.distinct()
 
 
 def racy(timestamp: Column, mtime: Column) -> Column:
@@ -159,6 +191,6 @@ def changed_since(before: DataFrame, after: DataFrame) -> DataFrame:
     return stat(before, "_was").join(stat(after, "_is"), "path", "left").select("path", (~F.col("_was").eqNullSafe(F.col("_is"))).alias("changed"))
 
 
-def recent(files: DataFrame, since: float) -> DataFrame:
-    """Files that changed after a time: what an incremental scan has to look at."""
-    return files.where(F.col("mtime") > since)
+def recent(rows: DataFrame, since: float) -> DataFrame:
+    """Directories, or files, that changed after a time: what an incremental scan has to look at."""
+    return rows.where(F.col("mtime") > since)

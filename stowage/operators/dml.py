@@ -141,12 +141,22 @@ def ignore_pattern(spec: Column, is_dir: Column, is_file: Column) -> Column:
     return F.when(is_dir, F.concat(F.lit("/"), keys.escape_ignore(plain), F.lit("/"))).when(is_file | ~globbed, F.concat(F.lit("/"), keys.escape_ignore(plain))).otherwise(F.concat(F.lit("/"), spec))
 
 
-def lfs_import(files: DataFrame, patterns: list[str]) -> DataFrame:
-    """path and pointer of the files (path, content) that patterns of an attributes file name: a pointer must be replaced by its content before it is tracked.
+def lfs_files(files: DataFrame, attributes: DataFrame) -> DataFrame:
+    """The files (path, ...) that patterns of an attributes file (value: its lines) name. A pattern without a slash holds at any depth.
 
-    A pattern without a slash holds at any depth.
+    Patterns are a handful of lines, and a condition each.
     """
     hit = F.lit(False)
-    for pattern in patterns:
+    for (pattern,) in lfs_patterns(attributes).distinct().orderBy("pattern").collect():
         hit = hit | globs.matches("path", pattern if "/" in pattern else f"**/{pattern}")
-    return files.where(hit).select("path", content.is_lfs_pointer(F.col("content")).alias("pointer"))
+    return files.where(hit)
+
+
+def lfs_import(files: DataFrame, attributes: DataFrame) -> DataFrame:
+    """path and pointer of the files (path, content) that an attributes file names: a pointer must be replaced by its content before it is tracked."""
+    return lfs_files(files, attributes).select("path", content.is_lfs_pointer(F.col("content")).alias("pointer"))
+
+
+def lfs_bytes(files: DataFrame, attributes: DataFrame) -> DataFrame:
+    """The bytes of the files (path, size) that an attributes file names."""
+    return lfs_files(files, attributes).agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))

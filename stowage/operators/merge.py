@@ -29,6 +29,19 @@ def merge_lists(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFram
     return rows.where(kept).select("line", part.alias("part"), F.coalesce("b", "o", "t").alias("ord"))
 
 
+def key_union(*sides: DataFrame) -> DataFrame:
+    """Each key of some maps once."""
+    out = sides[0].select("key")
+    for side in sides[1:]:
+        out = out.union(side.select("key"))
+    return out.distinct()
+
+
+def unknown_keys(settings: DataFrame, known: DataFrame) -> DataFrame:
+    """Keys of settings that aren't among the known ones."""
+    return settings.select("key").distinct().join(known, "key", "left_anti")
+
+
 def merge_manifests(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Merge documents (kind, key, value): entries and settings by the same rule, apart from each other."""
     both = [df.select(F.struct("kind", "key").alias("key"), "value") for df in (base, ours, theirs)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -593,7 +594,7 @@ def _(r):
     return rows.select("attempt", keys.backoff_ceiling("attempt").alias("seconds"))
 
 
-@_query("o_p17_should_compress")
+@_query("o_p17_should_compress")  # SQL has no gzip; tests hold it against Python's
 def _(r):
     return r.docs.select("path", content.should_compress(F.col("text")).alias("compress"))
 
@@ -637,9 +638,19 @@ def _(r):
     return store.delete_victims("p/assets/h3/gone.bin", r.store)
 
 
-@_query("o_w16_shard", "SELECT split_part(path, '/', 1) AS shard, path, hash FROM cur", "cur")
+@_query("o_w16_shard", "SELECT path, hash FROM cur", "cur")
 def _(r):
-    return r.cur.select(keys.shard_for("path").alias("shard"), "path", "hash")
+    """One file made into shards, and shards into one file."""
+    import os
+
+    from stowage.sources import manifest
+
+    where, found = _local(_folder(r, "manifest")), _snapshots(r)
+    os.makedirs(where)
+    manifest.write_manifest(r.cur, f"{where}/.manifest.yaml", bucket="assets")
+    found.shard_manifest(f"{where}/.manifest.yaml", "sharded")
+    found.unshard("sharded", f"{where}/again.json")
+    return manifest.read_manifest(r.spark, f"{where}/again.json")
 
 
 @_query(
@@ -652,9 +663,9 @@ def _(r):
     return dml.upgrade_ignores(r.cur.select(F.concat(F.lit("/"), "path").alias("entry")), added)
 
 
-@_query("o_w21_deindex", "SELECT path FROM docs WHERE doc_id % 2 = 0 INTERSECT SELECT path FROM cur", "docs", "cur")
+@_query("o_w21_deindex", "SELECT path FROM docs WHERE doc_id % 2 = 0 INTERSECT SELECT path FROM cur ORDER BY path", "docs", "cur")
 def _(r):
-    return r.docs.where("doc_id % 2 = 0").select("path").intersect(r.cur.select("path"))
+    return diff.to_deindex(r.docs.where("doc_id % 2 = 0").select("path"), r.cur)
 
 
 @_query(
@@ -677,8 +688,7 @@ def _(r):
 
 @_query("o_s13_staged", "SELECT path FROM docs WHERE doc_id % 4 = 0 AND doc_id % 12 <> 0", "docs")
 def _(r):
-    staged = r.docs.where("doc_id % 4 = 0").select("path", F.when(F.col("doc_id") % 12 == 0, "D").otherwise("M").alias("status"))
-    return staged.where("status <> 'D'").select("path")
+    return diff.staged_files(r.docs.where("doc_id % 4 = 0").select("path", F.when(F.col("doc_id") % 12 == 0, "D").otherwise("M").alias("status")))
 
 
 # Snapshots ------------------------------------------------------------------------------------------------------
@@ -744,8 +754,9 @@ def _(r):
 
 @_query("o_s7_commit_range", "SELECT CAST(event_id AS BIGINT) AS ord, md5(CAST(event_id AS VARCHAR)) AS sha FROM events WHERE event_id > 100 AND event_id <= 700 ORDER BY ord")
 def _(r):
+    sha = lambda k: hashlib.md5(str(k).encode()).hexdigest()
     commits = r.table("events").select(F.col("event_id").cast("long").alias("ord"), F.md5(F.col("event_id").cast("string")).alias("sha"))
-    return commits.where((F.col("ord") > 100) & (F.col("ord") <= 700)).orderBy("ord")
+    return diff.commit_range(commits, sha(100), sha(700))
 
 
 @_query("o_s14_lfs_patterns", "SELECT '/' || path AS pattern FROM docs WHERE doc_id % 3 = 0", "docs")
@@ -876,15 +887,19 @@ def _(r):
     return r.cur.select("path").where(keys.shard_for("path").isin(profile.reachable_shards(CONE)))
 
 
-@_query("o_a10_lfs_bytes", "SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM docs WHERE doc_id % 3 = 0", "docs")
+#: The lines of an attributes file.
+_ATTRIBUTES = ("*7.txt filter=lfs diff=lfs -text", "# src2/** filter=lfs", "src1/**/*.txt -text filter=lfs", "src4/** text", "")
+
+
+@_query("o_a10_lfs_bytes", "SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM docs WHERE starts_with(path, 'src1/') OR ends_with(path, '7.txt')", "docs")
 def _(r):
-    return r.docs.where("doc_id % 3 = 0").agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+    attributes = r.spark.createDataFrame([(x,) for x in _ATTRIBUTES], "value string")
+    return dml.lfs_bytes(r.docs.select("path", F.octet_length("text").cast("long").alias("size")), attributes)
 
 
 @_query("o_a16_distinct_pairs", "SELECT path, hash FROM cur UNION SELECT path, hash FROM prev UNION SELECT path, hash FROM theirs", "cur", "prev", "theirs")
 def _(r):
-    pair = lambda df: df.select("path", "hash")
-    return pair(r.cur).union(pair(r.prev)).union(pair(r.theirs)).distinct()
+    return diff.distinct_pairs(r.cur, r.prev, r.theirs)
 
 
 @_query(
@@ -903,14 +918,14 @@ def _(r):
     return r.chunks.groupBy("manifest_key").agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x.cast("string")), ", "), F.lit("]")).alias("chunks"))
 
 
-@_query("o_u6_key_union", "SELECT path FROM cur UNION SELECT path FROM prev UNION SELECT path FROM theirs", "cur", "prev", "theirs")
+@_query("o_u6_key_union", "SELECT path AS key FROM cur UNION SELECT path FROM prev UNION SELECT path FROM theirs", "cur", "prev", "theirs")
 def _(r):
-    return r.cur.select("path").union(r.prev.select("path")).union(r.theirs.select("path")).distinct()
+    return merge.key_union(*[x.withColumnRenamed("path", "key") for x in (r.cur, r.prev, r.theirs)])
 
 
-@_query("o_u7_unknown_keys", "SELECT path FROM theirs EXCEPT SELECT path FROM cur", "theirs", "cur")
+@_query("o_u7_unknown_keys", "SELECT path AS key FROM theirs EXCEPT SELECT path FROM cur", "theirs", "cur")
 def _(r):
-    return r.theirs.select("path").subtract(r.cur.select("path"))
+    return merge.unknown_keys(*[x.withColumnRenamed("path", "key") for x in (r.theirs, r.cur)])
 
 
 @_query("o_u8_scan_union", f"SELECT path FROM cur WHERE {_IN_CONE('path')} UNION SELECT path FROM prev WHERE path NOT IN (SELECT path FROM cur)", "cur", "prev")
@@ -930,9 +945,9 @@ def _(r):
     return good.select("path", F.lit(True).alias("whole")).union(bad.select("path", F.lit(False)))
 
 
-@_query("o_w18_lfs_import", "SELECT path, starts_with(content, 'version https://git-lfs.github.com/spec/v1') AS pointer FROM files WHERE regexp_full_match(path, 'src1/(.*/)?[^/]*[.]txt') OR ends_with(path, '7.txt')", "files")
+@_query("o_w18_lfs_import", "SELECT path, starts_with(content, 'version https://git-lfs.github.com/spec/v1') AS pointer FROM files WHERE starts_with(path, 'src1/') OR ends_with(path, '7.txt')", "files")
 def _(r):
-    return dml.lfs_import(r.files, ["src1/**/*.txt", "*7.txt"])
+    return dml.lfs_import(r.files, r.spark.createDataFrame([(x,) for x in _ATTRIBUTES], "value string"))
 
 
 @_query("o_p16_stat_changed", "SELECT k.path, f.path IS NULL OR f.size IS DISTINCT FROM k.size OR f.mtime IS DISTINCT FROM k.mtime OR f.inode IS DISTINCT FROM k.inode AS changed FROM cache k LEFT JOIN files f USING (path)", "cache", "files")
@@ -940,9 +955,16 @@ def _(r):
     return diff.changed_since(r.cache, r.files)
 
 
-@_query("o_r2_incremental", "SELECT path FROM files WHERE mtime > 1700010000.0 AND path NOT IN (SELECT path FROM cur)", "files", "cur")
+@_query(
+    "o_r2_incremental",
+    f"SELECT path FROM everything WHERE path NOT IN (SELECT path FROM cur) AND NOT {_DROPPING} AND regexp_replace(path, '/[^/]*$', '') IN (SELECT source || '/' || lang FROM docs GROUP BY 1 HAVING max(doc_id) % 2 = 0)",
+    "disk", "cur", everything=_EVERYTHING,
+)
 def _(r):
-    return diff.recent(r.files, 1_700_010_000.0).select("path").join(r.cur, "path", "left_anti")
+    """Of all tracked directories only those whose time is after the last scan's are looked into."""
+    times = r.docs.groupBy(F.concat_ws("/", "source", "lang").alias("directory")).agg((F.lit(1000.0) + F.max("doc_id") % 2).alias("mtime"))
+    directories = r.docs.select(F.col("source").alias("directory")).distinct()
+    return diff.hidden(_everything(r), directories, r.cur, changed=diff.recent(times.withColumn("mtime", 2001.0 - F.col("mtime")), 1000.0))
 
 
 # Files that are written and read -----------------------------------------------------------------------------------

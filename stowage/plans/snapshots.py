@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.functions import keys
+from stowage.sources import manifest
 
 _SCHEMA = "path string, hash string, shard string"
 
@@ -127,6 +128,17 @@ class Snapshots:
         fresh = self._put(entries.where(keys.shard_for("path").isin(changed)))
         self._commit(new, {k: v for k, v in held.items() if k not in changed} | fresh)
 
+    def shard_manifest(self, path: str, revision: str) -> None:
+        """Write a revision from a manifest that is one file."""
+        self.write(manifest.read_manifest(self.spark, path), revision)
+
+    def unshard(self, revision: str, path: str, **settings) -> None:
+        """Write a revision as a manifest that is one file."""
+        found = self.read(revision)
+        if found is None:
+            raise NoRevision(revision)
+        manifest.write_manifest(found, path, **settings)
+
     # Pointer --------------------------------------------------------------------------------------
 
     def _last(self) -> int:

@@ -236,6 +236,25 @@ def test_compression(spark):
     assert column(spark, packed, content.gzip_decompress, "binary") == b"abc" * 100
 
 
+def test_the_compression_query_against_gzip(spark):
+    from stowage.plans.queries import queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables aren't here")
+    texts = {f"{r['source']}/{r['lang']}/{r['doc_id']}.txt": r["text"].encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    want = {p: bool(t) and len(gzip.compress(t[: 256 * 1024], 1)) < 0.9 * len(t[: 256 * 1024]) for p, t in texts.items()}
+    assert {r["path"]: r["compress"] for r in queries()["o_p17_should_compress"](spark, folder).collect()} == want
+
+
+def test_commit_ranges(spark):
+    commits = spark.createDataFrame([(k, f"c{k}") for k in range(6)], "ord long, sha string")
+    shas = lambda *ends: [r["sha"] for r in diff.commit_range(commits, *ends).collect()]
+    assert shas("c1", "c4") == ["c2", "c3", "c4"]
+    assert shas(None, "c1") == ["c0", "c1"]
+    assert shas("c4", "c4") == shas("none", "c4") == shas("c1", "none") == []
+
+
 def test_cone(spark):
     rows = spark.createDataFrame([(p,) for p in ("keep/in.bin", "keep/deep/nested.bin", "root.bin", "drop/out.bin", "a/x", "a/b/y", "a/c/z")], "path string")
     assert paths(profile.inside(rows, ["keep", "a/b"])) == ["a/b/y", "a/x", "keep/deep/nested.bin", "keep/in.bin", "root.bin"]
