@@ -35,7 +35,20 @@ def test_stages_keep_the_columns(spark, awkward):
         got = stage(docs)
         assert got.columns == docs.columns, name
         assert got.dtypes == docs.dtypes, name
-        assert 0 < len(got.collect()), name
+
+
+def test_what_the_stages_keep(spark, awkward):
+    docs = documents(spark, awkward)
+    ids = lambda stage: sorted((r["doc_id"] for r in STAGES[stage](docs).collect()), key=str)
+    # Short, empty and repetitive texts go; the rest stays, whatever its id and however often it is there.
+    assert ids("quality") == [4, 5, 5, 6, None]
+    # No words are one group, the text of 4 and its double another; two texts of document 13 are no copies.
+    assert ids("simhash") == sorted([1, 4, 6, 7, 8, 9, 10, 11, 13, 13], key=str)
+    assert ids("substring") == sorted((r[0] for r in awkward), key=str)
+    copies = {r["doc_id"]: r["taken"] // r["size"] if r["size"] else 0 for r in mixing.mix_table(docs).where("doc_id not in (5, 13)").collect()}
+    mixed = ids("mixing")
+    assert {i: mixed.count(i) for i in copies} == copies
+    assert not {1, 2, 3} & set(mixed) and max(mixed.count(i) for i in (4, 6, 7, 11)) <= 3
 
 
 def test_empty_tables(spark):
@@ -67,7 +80,28 @@ def test_a_stage_that_keeps_nothing(spark, stage):
     docs = documents(spark, [(1, None, None), (2, "", "a")])
     got = STAGES[stage](docs)
     assert got.columns == docs.columns
-    assert len(got.collect()) <= 2
+    assert len(got.collect()) == {"quality": 0, "simhash": 1, "substring": 2, "mixing": 0}[stage]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_the_pipeline_on_awkward_rows(spark, tmp_path, awkward, empty):
+    import corpus_pipeline
+
+    documents(spark, [] if empty else awkward).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} == (set() if empty else {4, 6})
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for items in bins.values():
+        assert [at for at, _ in sorted(items)] == [sum(n for _, n in sorted(items)[:k]) for k in range(len(items))]
+
+
+def test_the_pipeline_on_texts_without_any(spark, tmp_path):
+    import corpus_pipeline
+
+    documents(spark, [(1, None, None), (None, "", "a"), (2, " ", "b")]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_awkward_pages(spark):

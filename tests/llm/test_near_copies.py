@@ -60,6 +60,28 @@ def test_candidates_that_fall_short_hide_no_link(spark):
     assert groups_of(spark, texts) == dict(enumerate(root))
 
 
+def test_recall_and_removals_on_documents(spark):
+    """Held against all pairs of the driver's smallest table: every text that goes has one at 0.8 or more, and hardly a link is missed."""
+    import os
+
+    import pytest
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables aren't here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("text is not null")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets = {i: shingles(t.lower()) for i, t in rows.items()}
+    linked = [(a, b) for a in rows for b in rows if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    recall = sum(got[a] == got[b] for a, b in linked) / len(linked)
+    gone = [i for i in rows if got[i] != i]
+    wrong = sum(not any(i in p for p in linked) and len(rows[i].split()) >= 5 for i in gone) / max(1, len(gone))
+    print(f"links at 0.8 or more: {len(linked)}, found {recall:.3f}; removed {len(gone)}, without any such link {wrong:.3f}")
+    assert recall >= 0.99
+    assert wrong == 0
+
+
 def test_pairs_at_four_fifths_meet():
     assert simhash.met(0.8) > 0.995
     assert simhash.met(0.3) < 0.05
