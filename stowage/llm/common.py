@@ -14,6 +14,8 @@ from stowage.session import ship
 BLANKS = " \t\n\x0b\x0c\r"
 #: One or more of them, as a Java regular expression.
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+#: A table is written by no more tasks than there are so many bytes in the files that it is made from, or than so many for each core, whichever is more.
+TASK_BYTES, TASKS_A_CORE = 1 << 20, 4
 #: Paths of the tables that Written has made and not dropped.
 _PATHS: list[str] = []
 #: Shuffle files are dropped as soon as the statement that made them has ended.
@@ -81,8 +83,9 @@ def prepare(spark: SparkSession) -> None:
 class Written:
     """A DataFrame cut from its lineage: written once to the shared folder and read from there.
 
-    Each task of the last stage writes a file; how many there are is for Spark to say, from the size of
-    the input or of the shuffle.
+    Each task of the last stage writes a file. How many there are is for Spark to say, from the sizes of
+    scans and shuffles, as long as what is read has TASK_BYTES for each of them: with more tasks than that,
+    one takes several partitions. The larger the input, the less that binds.
     """
 
     def __init__(self, df: DataFrame, name: str, codec: str = "zstd"):
@@ -90,6 +93,9 @@ class Written:
         self.path = new_path(self.spark, name)
         _PATHS.append(self.path)
         schema = df.schema
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        read = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+        df = df.coalesce(min(max(TASKS_A_CORE * self.spark.sparkContext.defaultParallelism, read // TASK_BYTES), (1 << 31) - 1))
         df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
