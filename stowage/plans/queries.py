@@ -1156,3 +1156,51 @@ def _(r):
     query = claims.completed_files(stream).writeStream.format("parquet").option("path", to).option("checkpointLocation", _folder(r, "completed-state")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return r.spark.read.schema("manifest_key string, n_chunks long").parquet(to)
+
+
+@_query("o_s12_index", f"SELECT path FROM docs WHERE doc_id % 17 <> 2 AND ({_NAMED})", "docs")
+def _(r):
+    """A repository of some files of the working copy, and what its index holds."""
+    import subprocess
+
+    from stowage.sources import index
+
+    root = _local(_working_copy(r))
+    subprocess.run(["git", "init", "-q", root], check=True)
+    subprocess.run(["git", "-C", root, "add", "src1/**/*1.txt", "src3/fr", "src4"], check=True)
+    return index.read_index(r.spark, root)
+
+
+@_query("o_s17_config", "SELECT * FROM (VALUES ('bucket_name', 'assets', true), ('max_workers', '4', true), ('future_option', NULL, false)) AS t(key, value, known)")
+def _(r):
+    """A settings file with an unknown key: what it sets, and what is reported and left out."""
+    import os
+
+    from stowage.sources import config
+
+    where = _local(_folder(r, "config"))
+    os.makedirs(f"{where}/a/b")
+    with open(f"{where}/.stowage.yaml", "w") as f:
+        f.write("bucket_name: assets\nmax_workers: 4\nfuture_option: 1\n")
+    settings, unknown = config.load(config.find(f"{where}/a/b"))
+    rows = [(k, str(v), True) for k, v in settings.items() if v and config.DEFAULTS[k] != v] + [(k, None, False) for k in unknown]
+    return r.spark.createDataFrame(rows, "key string, value string, known boolean")
+
+
+@_query("o_w6_save_if_changed", "SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false)) AS t(step, written)")
+def _(r):
+    """Saved after a change, not again, after the next change, and not after it was read."""
+    import os
+
+    from stowage.sources import cache
+
+    where = _local(_folder(r, "cache"))
+    os.makedirs(where)
+    held, wrote = cache.HashCache(r.spark, f"{where}/cache.json"), []
+    held.set(r.cache)
+    wrote += [held.save(), held.save()]
+    held.set(dml.forget(held.load(), r.disk))
+    wrote.append(held.save())
+    held.load(force=True)
+    wrote.append(held.save())
+    return r.spark.createDataFrame(list(enumerate(wrote, 1)), "step int, written boolean")
