@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -49,12 +50,14 @@ def sweep(spark: SparkSession) -> None:
     drop_path(spark, _own_folder(spark))
 
 
-def drop_since(spark: SparkSession, mark: int, keep: str) -> None:
-    """Delete the tables that were written after the first `mark` ones, but for the one at `keep`. Nothing may read them any more."""
+def drop_since(spark: SparkSession, mark: int, kept: DataFrame) -> None:
+    """Delete the tables that were written after the first `mark` ones, but for those that `kept` reads. Nothing else may read them any more."""
+    bare = lambda path: re.sub(r"^[A-Za-z][\w+.-]*:(?://[^/]*)?", "", path)
+    reads = {bare(f).rpartition("/")[0] for f in kept.inputFiles()}
     for path in _PATHS[mark:]:
-        if path != keep:
+        if bare(path) not in reads:
+            _PATHS.remove(path)
             drop_path(spark, path)
-    _PATHS[mark:] = [keep]
 
 
 def tables_written() -> int:

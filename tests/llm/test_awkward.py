@@ -124,3 +124,33 @@ def test_awkward_pages(spark):
     assert by[4]["record_type"] == "response"
     assert by[6]["payload_bytes"] == 300_000
     assert by[None]["refers_to"] == 4
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from stowage.llm import common
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://head:7077", setCheckpointDir=lambda _: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda _, default: default), sparkContext=context)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(session)
+    context.master = "local[4]"
+    assert common.shared_dir(session).startswith("file://")
+
+
+def test_tables_that_nothing_reads_are_dropped(spark):
+    import os
+
+    from stowage.llm import common
+
+    rows = spark.range(5)
+    before = common.Written(rows, "before")
+    mark = common.tables_written()
+    one, two = common.Written(rows, "one"), common.Written(rows, "two")
+    common.drop_since(spark, mark, two.df.where("id > 2"))
+    there = lambda w: os.path.isdir(w.path.removeprefix("file://"))
+    assert [there(w) for w in (before, one, two)] == [True, False, True]
+    assert two.df.count() == 5
+    before.drop()
+    two.drop()
