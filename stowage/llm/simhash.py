@@ -20,8 +20,9 @@ unlike texts hardly ever, however many texts there are. Within a bucket, fingerp
 compared bit-sliced: at 0.8 they differ in 39 bits with a deviation of 6, in WIDE_RADIUS or fewer all
 but surely; what is within the radius is a candidate. A forest of candidates won't do, as a candidate
 that falls short may be all that joins two that don't; but nodes that are known to be connected need no
-further link. So forests at the CLOSE radii are verified first, and then all candidates between nodes
-that these leave apart.
+further link. So forests at the CLOSE radii are verified first, by joins with the sets; then, in buckets
+whose nodes these leave apart, the sets come along, and candidates that are not yet connected are verified
+where they are compared. A bucket gives links, never its pairs.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other, and in
 keep_one() the empty set of shingles, which is similar to itself only; a text of any length is hashed
@@ -60,8 +61,8 @@ BANDS, ROWS = 14, 5
 CLOSE = (12, 24, 36)
 #: Hashes whose least are sought at a time.
 SOUGHT = 20_000
-#: Hash values whose bits are unpacked at a time, rows gathered before their buckets are compared, comparisons (of one with 64) held at a time.
-UNPACKED, GATHERED, HELD = 200_000, 200_000, 400_000
+#: Hash values whose bits are unpacked at a time, bytes of rows gathered before their buckets are compared, comparisons (of one with 64) held at a time.
+UNPACKED, GATHERED, HELD = 200_000, 8_000_000, 400_000
 
 
 def _remixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -271,15 +272,35 @@ def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: i
     return nodes[linked], nodes[labels[linked]]
 
 
-def bucket_pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, labels: np.ndarray, radius: int):
-    """All links within each bucket between nodes of different labels, some at a time; the greater node comes first."""
-    keep = _shared(keys)
-    keys, nodes, fps, labels = keys[keep], nodes[keep], fps[keep], labels[keep]
+def _similar(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sets of hashes, each in order, are as similar as SIMILAR says; the union has `total - both` of them."""
+    total = len(one) + len(two)
+    both = total - len(np.union1d(one, two))
+    return both * (SIMILAR[0] + SIMILAR[1]) >= total * SIMILAR[0]
+
+
+def bucket_similar(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], radius: int) -> tuple[list[int], list[int]]:
+    """Links of sufficient similarity that connect nodes of different labels within each bucket: a pair within the radius is verified if no link so far connects its labels."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    sizes, label, node = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets)), labels.tolist(), nodes.tolist()
+    links: tuple[list[int], list[int]] = ([], [])
     for a, b in _matches(keys, fps, radius):
-        apart = (b > a) & (labels[a] != labels[b])
-        u, v = nodes[a[apart]], nodes[b[apart]]
-        if len(u):
-            yield np.maximum(u, v), np.minimum(u, v)
+        # Sets of sizes further apart can't be similar.
+        alike = np.minimum(sizes[a], sizes[b]) * SIMILAR[1] >= np.maximum(sizes[a], sizes[b]) * SIMILAR[0]
+        apart = (b > a) & (labels[a] != labels[b]) & alike
+        for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            one, two = find(label[x]), find(label[y])
+            if one != two and _similar(sets[x], sets[y]):
+                root[max(one, two)] = min(one, two)
+                links[0].append(node[x])
+                links[1].append(node[y])
+    return links
 
 
 def met(similarity: float) -> float:
@@ -315,15 +336,9 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def links(rows: DataFrame, words: int = 1, radii: tuple[int, ...] = (RADIUS,)) -> DataFrame:
-    """Links u, v that connect all nodes of a bucket within each radius of each other, from rows (key, node, f0, ...).
-
-    Where rows have a label too, all links between nodes of different labels instead.
-    """
-    f = _names(words)
-    labelled = "label" in rows.columns
-    if labelled:
-        f = [*f, "label"]
+def _dealt(rows: DataFrame) -> DataFrame:
+    """`rows` (key, ...) with `tiles`, dealt and sorted by both: a bucket above TILE rows is cut into tiles, and each pair of them is one task's."""
+    names = [c for c in rows.columns if c != "key"]
     hot = Written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE), "simhash-hot").df
     if hot.isEmpty():
         rows = rows.withColumn("tiles", F.lit(0))
@@ -332,33 +347,69 @@ def links(rows: DataFrame, words: int = 1, radii: tuple[int, ...] = (RADIUS,)) -
         rows = rows.join(tiles, "key", "left").withColumn("_t", F.coalesce("_t", F.lit(1)))
         mine = F.pmod(F.xxhash64("node", F.lit("tile")), F.col("_t")).cast("int")
         other = F.explode(F.transform(F.sequence(F.lit(0), F.col("_t") - 1), lambda t: F.least(t, mine) * F.col("_t") + F.greatest(t, mine)))
-        rows = rows.select("key", "node", *f, other.alias("tiles"))
+        rows = rows.select("key", *names, other.alias("tiles"))
+    return rows.select("key", "tiles", *names).repartition("key", "tiles").sortWithinPartitions("key", "tiles")
 
-    def run(batches):
-        held: list[np.ndarray] = []
-        rest = 0
 
-        def compare(x):
-            keys, fps = x[0] * np.int64(1 << 16) + x[1], np.ascontiguousarray(x[3 : 3 + words].T).view(np.uint64)
+def _whole_buckets(batches, size: int):
+    """Batches joined until they have so many bytes, and cut where a bucket ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key, tiles = (rows.column(k).to_numpy() for k in range(2))
+            ends = np.flatnonzero((key != key[-1]) | (tiles != tiles[-1]))
+            whole = int(ends[-1]) + 1 if len(ends) else 0
+            if whole:
+                yield rows.slice(0, whole)
+            held = rows.slice(whole).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _bucket_numbers(rows: pa.Table) -> np.ndarray:
+    """A number for each row's bucket."""
+    key, tiles = (rows.column(k).to_numpy() for k in range(2))
+    return np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (tiles[1:] != tiles[:-1]))))
+
+
+def _prints(rows: pa.Table, words: int) -> np.ndarray:
+    return np.ascontiguousarray(np.stack([rows.column(f"f{k}").to_numpy() for k in range(words)], axis=1)).view(np.uint64)
+
+
+def links(rows: DataFrame, words: int = 1, radii: tuple[int, ...] = (RADIUS,)) -> DataFrame:
+    """Links u, v that connect all nodes of a bucket within each radius of each other, from rows (key, node, f0, ...)."""
+
+    def run(batches):
+        for some in _whole_buckets(batches, GATHERED):
+            keys, fps, nodes = _bucket_numbers(some), _prints(some, words), some.column("node").to_numpy()
             for radius in radii:
-                for u, v in bucket_pairs(keys, x[2], fps, x[-1], radius) if labelled else [bucket_links(keys, x[2], fps, radius)]:
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                u, v = bucket_links(keys, nodes, fps, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-        for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
-            rest += batch.num_rows
-            if rest >= GATHERED:
-                x = np.concatenate(held, axis=1)
-                ends = np.flatnonzero((x[0] != x[0, -1]) | (x[1] != x[1, -1]))
-                whole = int(ends[-1]) + 1 if len(ends) else 0
-                if whole:
-                    yield from compare(x[:, :whole])
-                held, rest = [x[:, whole:]], x.shape[1] - whole
-        if rest:
-            yield from compare(np.concatenate(held, axis=1))
-
-    dealt = rows.select("key", "tiles", "node", *f).repartition("key", "tiles").sortWithinPartitions("key", "tiles")
-    return dealt.mapInArrow(run, "u long, v long").where("u <> v").distinct()
+    return _dealt(rows.select("key", "node", *_names(words))).mapInArrow(run, "u long, v long").where("u <> v").distinct()
+
+
+def similar_in_buckets(rows: DataFrame, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
+    """Links u, v of sufficient similarity that connect what labels leave apart in a bucket, from rows (key, node, f0, ..., label, shingles). No pair leaves its task but as a link."""
+
+    def run(batches):
+        for some in _whole_buckets(batches, GATHERED):
+            keys = _bucket_numbers(some)
+            keep = np.flatnonzero(_shared(keys))
+            if not len(keep):
+                continue
+            some, keys = some.take(pa.array(keep)), keys[keep]
+            lists = some.column("shingles").combine_chunks()
+            ends, flat = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))), lists.flatten().to_numpy()
+            sets = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            u, v = bucket_similar(keys, some.column("node").to_numpy(), _prints(some, words), some.column("label").to_numpy(), sets, radius)
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return _dealt(rows.select("key", "node", *_names(words), "label", "shingles")).mapInArrow(run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -407,66 +458,89 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(known, "node").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def text_md5() -> Column:
-    """What tells texts apart; empty for a null text."""
-    return F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+def document() -> Column:
+    """What tells documents apart: doc_id and the MD5 of the text, both empty where they are null."""
+    md5 = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    return F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), md5)
+
+
+def _set_of(text: bytes | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text, WIDE_SHINGLE))
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, md5 (of the text), node (a hash of the set), f0, ..., `bands` (the keys of its buckets) and `shingles`, the set of a text's shingle hashes, a row for each of `docs`."""
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, document, node (a hash of the set of a text's shingles), f0, ... and `bands` (the keys of its buckets), a row for each of `docs`."""
     f = _names(WIDE_WORDS)
-    schema = "doc_id long, md5 string, node long" + "".join(f", {n} long" for n in f) + ", bands array<long>, shingles array<long>"
+    schema = "doc_id long, document string, node long" + "".join(f", {n} long" for n in f) + ", bands array<long>"
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x, WIDE_SHINGLE)) for x in batch.column(2).to_pylist()]
+            sets = [_set_of(x) for x in batch.column(2).to_pylist()]
             nodes = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
             prints = _fingerprints(sets, words=WIDE_WORDS).view(np.int64)
+            bands = _lists(np.array([BANDS * (len(x) > 0) for x in sets], dtype=np.int64), band_keys([x for x in sets if len(x)]).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE_WORDS)), bands], ["doc_id", "document", "node", *f, "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), document().alias("document"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and `shingles`, the set of hashes, of some `nodes`: from the text of one document of each, as the `rows` of sketches() have them."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [_set_of(x) for x in batch.column(1).to_pylist()]
             sizes = np.array([len(x) for x in sets], dtype=np.int64)
-            lists = lambda each, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32)), pa.array(values))
-            bands = lists(BANDS * (sizes > 0), band_keys([x for x in sets if len(x)]).ravel())
-            held = lists(sizes, np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE_WORDS)), bands, held], ["doc_id", "md5", "node", *f, "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sizes, np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64))], ["node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_md5().alias("md5"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    one = Written(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("document").alias("_doc")), "bucket-documents").df
+    # Rows that repeat a document meet under its key, where one is taken.
+    texts = docs.select(document().alias("_doc"), F.col("text").cast("binary").alias("text")).join(one, "_doc")
+    texts = texts.groupBy("_doc", "node").agg(F.first("text").alias("text"))
+    return Written(texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>"), "shingle-sets").df
 
 
-def similar(candidates: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the `candidates` (u, v) whose sets, from `rows` (node, shingles), are as similar as SIMILAR says."""
+def similar(candidates: DataFrame, every: DataFrame) -> DataFrame:
+    """Those of the `candidates` (u, v) whose sets, from `every` (node, shingles), are as similar as SIMILAR says."""
     met = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).distinct()
     # Written, so that a node with very many candidates can be split in the joins.
-    sets = Written(rows.select("node", "shingles").join(met, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets").df
+    sets = Written(every.join(met, "node", "left_semi"), "candidate-sets").df
     one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"_{n}")) for n in ("u", "v"))
     both, total = F.size(F.array_intersect("_u", "_v")), F.size("_u") + F.size("_v")
     # The union has `total - both` shingles.
     return candidates.join(one, "u").join(two, "v").where(both * (SIMILAR[0] + SIMILAR[1]) >= total * SIMILAR[0]).select("u", "v")
 
 
-def similar_links(rows: DataFrame) -> DataFrame:
-    """Links u, v of sufficient similarity that connect all nodes of a component, from the rows of shingle_sets()."""
+def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links u, v of sufficient similarity that connect all nodes of a component, from `docs` and their sketches()."""
     f = _names(WIDE_WORDS)
     keyed = Written(rows.select("node", *f, "bands").dropDuplicates(["node"]).select(F.explode("bands").alias("key"), "node", *f), "bands").df
     shared = Written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "bands-shared").df
     buckets = Written(keyed.join(shared, "key"), "buckets").df
+    sets = shingle_sets(docs, rows, buckets.select("node").distinct())
     close = Written(links(buckets, WIDE_WORDS, CLOSE), "close-candidates").df
-    close = Written(similar(close, rows), "close-links").df
+    close = Written(similar(close, sets), "close-links").df
     labelled = Written(buckets.join(components(close), "node", "left").select("key", "node", *f, F.coalesce("root", "node").alias("label")), "buckets-labelled").df
-    # A bucket whose nodes are all connected by now has no candidates left.
+    # A bucket whose nodes are all connected by now has no candidates left. In the others, sets go where they are compared.
     apart = labelled.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("key")
     labelled = labelled.join(Written(apart, "buckets-apart").df, "key")
-    wide = Written(links(labelled, WIDE_WORDS, (WIDE_RADIUS,)), "wide-candidates").df
-    return Written(close.union(similar(wide, rows)), "similar-links").df
+    wide = similar_in_buckets(Written(labelled.join(sets, "node"), "buckets-with-sets").df)
+    return Written(close.union(wide), "similar-links").df
 
 
 def _copies(docs: DataFrame) -> DataFrame:
-    """doc_id, md5 and `stays`, the first (doc_id, md5) of the component, a row for each of `docs`."""
-    rows = Written(shingle_sets(docs), "shingles").df
+    """doc_id, document and `stays`, the first (unnamed, doc_id, document) of the component, a row for each of `docs`."""
+    rows = Written(sketches(docs), "sketches").df
     # A document without id comes after all others.
-    rows = rows.withColumn("document", F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "md5"))
-    known = _classes(rows, similar_links(rows), "document")
-    return rows.join(known, "node").select("doc_id", "md5", F.col("component_id").alias("stays"))
+    rows = rows.withColumn("place", F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "document"))
+    known = _classes(rows, similar_links(docs, rows), "place")
+    return rows.join(known, "node").select("doc_id", "document", F.col("component_id").alias("stays"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -481,9 +555,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     its text; of equal texts that with the least other columns. Groups are made of texts, so different texts
     stay whether they have no id or share one.
     """
-    stay = Written(_copies(docs).select(F.col("stays.doc_id").alias("_stay"), F.col("stays.md5").alias("_stay_md5")).distinct(), "copies-stay").df
-    rows = docs.withColumns({"_md5": text_md5(), "_rest": F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_none"))})
-    rows = rows.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")) & (F.col("_md5") == F.col("_stay_md5")), "left_semi")
-    # Rows that repeat an id and a text are combined before they are dealt out.
-    one = rows.groupBy("doc_id", "_md5").agg(F.first("text").alias("text"), F.min("_rest").alias("_rest"))
-    return one.select(*[c if c in ("doc_id", "text") else F.col(f"_rest.{c}").alias(c) for c in docs.columns])
+    stay = Written(_copies(docs).select(F.col("stays.document").alias("_doc")).distinct(), "copies-stay").df
+    rest = F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_none"))
+    rows = docs.select(document().alias("_doc"), F.struct("doc_id", "text").alias("_own"), rest.alias("_rest")).join(stay, "_doc", "left_semi")
+    # Rows that repeat an id and a text meet under their document, where the least is taken.
+    one = rows.groupBy("_doc").agg(F.first("_own").alias("_own"), F.min("_rest").alias("_rest"))
+    return one.select(*[F.col(f"{'_own' if c in ('doc_id', 'text') else '_rest'}.{c}").alias(c) for c in docs.columns])
