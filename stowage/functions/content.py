@@ -59,5 +59,5 @@ def should_compress(content: Column, mode: str = "auto") -> Column:
 
 
 def is_lfs_pointer(content: Column) -> Column:
-    """Whether a file is a pointer of Git LFS rather than its content."""
-    return content.cast("string").startswith("version https://git-lfs.github.com/spec/v1")
+    """Whether a file is a pointer of Git LFS rather than its content, by its first bytes."""
+    return F.substring(content.cast("binary"), 1, 512).cast("string").startswith("version https://git-lfs.github.com/spec/v1")
