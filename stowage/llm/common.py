@@ -48,6 +48,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def sweep(spark: SparkSession) -> None:
     """Delete all that this application has written to the shared folder. Results must have been written elsewhere by then."""
     drop_path(spark, _own_folder(spark))
+    _PATHS.clear()
 
 
 def drop_since(spark: SparkSession, mark: int, kept: DataFrame) -> None:

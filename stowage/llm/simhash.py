@@ -2,14 +2,15 @@
 
 Distinct fingerprints meet in buckets: the 64 bits are cut into six blocks, and two fingerprints at
 most four bits apart agree in at least two of them, so each of the 15 pairs of blocks is a key and no
-link is lost. Within a bucket, fingerprints are stored vertically in planes: word b of a plane set has
+link is lost. With more fingerprints than such keys tell apart, there are seven or eight blocks, and a key
+for each three or four of them. Within a bucket, fingerprints are stored vertically in planes: word b of a plane set has
 bit b of 64 fingerprints. One fingerprint is compared with all 64 at once: each plane is flipped to
 its differing bits, which carry-save adders sum into bitwise counters, and a plane set whose 64
 counters have all passed the radius is abandoned. A bucket gives a spanning forest of its links, never
 all pairs; components come from alternating large and small stars over those links.
 
 A bucket above TILE rows is dealt over tasks in tiles, each pair of tiles to one of them, which covers
-all pairs exactly. Copies of a text cost one fingerprint. Only fingerprints move, never texts.
+all pairs exactly. Copies of a text cost one fingerprint.
 
 near_duplicates() is that, with 64 bits. Four bits of 64 stand for a similarity far above 0.8, though:
 texts that share 80 % of their shingles differ in ten. keep_one(), which drops near copies from a

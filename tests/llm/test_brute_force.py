@@ -363,6 +363,13 @@ def test_media(spark):
     assert store.df.where("kind = 1").select("key").distinct().count() == held
     chunks = lists.dropDuplicates(["payload"]).select(F.explode("digests").alias("d"))
     assert chunks.count() > chunks.distinct().count()
+    # The digest of a medium is that of the bytes in the store that it is rebuilt from.
+    packs = {bytes(r["key"]): r for r in store.df.where("kind = 0").collect()}
+    shared = {bytes(r["key"]): bytes(r["data"]) for r in store.df.where("kind = 1").collect()}
+    for r in got.values():
+        pack = packs[bytes.fromhex(r["payload_sha256"])]
+        stored = bytes(pack["list"]) + bytes(pack["data"]) + b"".join(shared[bytes(d)] for d in pack["taken"])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 
 def test_cuts_follow_the_content():
