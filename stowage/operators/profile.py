@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from stowage.functions import keys
 
 
+#: With so many directories a path is compared with each; with more, its ancestors are looked up among them.
+PREFIXES = 64
+
+
 def is_cone(patterns: list[str]) -> bool:
     return not any(c in p for p in patterns for c in "*?[!")
 
@@ -21,10 +25,15 @@ def covers(directories: list[str]) -> Column:
         return F.lit(True)
     cone = sorted({d.strip("/") for d in directories if d.strip("/")})
     parents = sorted({"/".join(d.split("/")[:k]) for d in cone for k in range(1, d.count("/") + 1)})
-    parent = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"(?s)\A(.*)/[^/]*\z", 1))
-    hit = parent.isNull() | parent.isin(*parents) if parents else parent.isNull()
-    if cone:
-        hit = hit | F.arrays_overlap(keys.ancestors("path"), F.array(*map(F.lit, cone)))
+    path = F.col("path")
+    hit = ~path.contains("/")
+    if parents:
+        hit = hit | F.regexp_extract(path, r"(?s)\A(.*)/[^/]*\z", 1).isin(*parents)
+    if len(cone) <= PREFIXES:
+        for directory in cone:
+            hit = hit | path.startswith(f"{directory}/")
+    else:
+        hit = hit | F.arrays_overlap(keys.ancestors(path), F.array(*map(F.lit, cone)))
     return F.coalesce(hit, F.lit(False))
 
 

@@ -261,6 +261,8 @@ def test_cone(spark):
     assert paths(profile.inside(rows, ["*.bin"])) == paths(rows)
     inside, outside = profile.partition(rows, ["keep"])
     assert sorted(paths(inside) + paths(outside)) == paths(rows)
+    many = ["keep", "a/b", *[f"none{k}" for k in range(profile.PREFIXES)]]
+    assert paths(profile.inside(rows, many)) == paths(profile.inside(rows, ["keep", "a/b"]))
     assert profile.reachable_shards(["keep", "a/b"]) == ["_root", "a", "keep"]
     assert profile.reachable_shards(["a*"]) is None
 
