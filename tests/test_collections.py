@@ -560,3 +560,43 @@ def test_manifest_paths_and_index(spark, tmp_path):
     (tmp_path / "a b\rc").write_text("x")
     subprocess.run(["git", "-C", str(tmp_path), "add", "a b\rc", ".manifest.json"], check=True)
     assert paths(index.read_index(spark, str(tmp_path))) == [".manifest.json", "a b\rc"]
+
+
+def test_large_caches_are_read_in_tasks(spark, tmp_path, monkeypatch):
+    """No entry passes through the driver's parser, in whatever layout; ranges, pieces and batches cut anywhere."""
+    import json
+
+    import yaml
+
+    from stowage.sources import cache
+
+    monkeypatch.setattr(cache, "_RANGE", 300)
+    monkeypatch.setattr(cache, "_PIECE", 7)
+    monkeypatch.setattr(cache, "_BATCH", 5)
+    monkeypatch.setattr(cache, "_document", None)
+    want = [(f"d/{k}-é\U0001f600\\U0001f600\n{'x' * (k * 11)}", f"h{k}", k, k / 3, None if k % 5 == 0 else k + 10**12, 1e17 + k) for k in range(60)]
+    rows = spark.createDataFrame(want, "path string, hash string, size long, mtime double, inode long, timestamp double")
+    plain = {p: {"hash": h, "metadata": {"size": s, "mtime": m, "inode": i}, "timestamp": t} for p, h, s, m, i, t in want}
+    for ending in ("yaml", "json"):
+        held = cache.HashCache(spark, str(tmp_path / f"own.{ending}"))
+        held.set(rows)
+        held.save()
+    (tmp_path / "block.yaml").write_text(yaml.safe_dump(plain, default_flow_style=False))
+    (tmp_path / "flow.yaml").write_text(yaml.safe_dump(plain, default_flow_style=True, allow_unicode=True))
+    (tmp_path / "wide.json").write_text(json.dumps(plain, indent=2))
+    (tmp_path / "narrow.json").write_text(json.dumps(plain, ensure_ascii=False))
+    read = lambda name: sorted(map(tuple, cache.HashCache(spark, str(tmp_path / name)).load().collect()))
+    for name in ("own.yaml", "own.json", "block.yaml", "flow.yaml", "wide.json", "narrow.json"):
+        assert read(name) == sorted(want), name
+    whole = {n: (tmp_path / n).read_text() for n in ("own.yaml", "own.json", "wide.json")}
+    for name, text in whole.items():
+        (tmp_path / name).write_text(text[: len(text) // 2])
+        assert read(name) == []
+    (tmp_path / "own.yaml").write_text(whole["own.yaml"] + '"other": 5\n"d/z": {"hash": "a"}\n"d/z": {"hash": "b"}\n')
+    assert [r for r in read("own.yaml") if r[0] == "d/z"] == [("d/z", "b", None, None, None, None)] and len(read("own.yaml")) == 61
+    # What was read stays as it was when the file is another.
+    held = cache.HashCache(spark, str(tmp_path / "own.yaml"))
+    before = held.load()
+    held.set(before.where("size < 3"))
+    held.save()
+    assert before.count() == 61 and sorted(r["size"] for r in held.load().collect()) == [0, 1, 2]
