@@ -482,6 +482,32 @@ def test_lm_scores(spark, monkeypatch, context, head):
         assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize(("singly", "head"), [(10, 40), (0, 0)])
+def test_all_words_are_states(spark, monkeypatch, singly, head):
+    """By default the class of every word is the state before the next, whatever the driver and the tasks know."""
+    monkeypatch.setattr(lm_score, "SINGLY", singly)
+    monkeypatch.setattr(lm_score, "HEAD", head)
+    rows, tok, out = lm_corpus()
+    docs = documents(spark, rows).repartition(40)  # more than tasks that write
+    of = {bytes(r["word"]): r["cls"] for r in lm_score.train(docs)[1].collect()}
+    counts = Counter(w for i in tok if not out[i] for w in tok[i])
+    last, d = lm_score.CLASSES - 1, lm_score.DELTA
+    first = set(sorted((w for w in counts if w != b"\n" and len(w) <= 64), key=lambda w: (-counts[w], w))[:singly])
+    assert all((of[w] == last - 1) == (counts[w] < lm_score.LEAST and w not in first) for w in counts if w != b"\n")
+    grid, words = np.zeros((last + 1, last + 1)), np.bincount(list(of.values()), minlength=last + 1)
+    cls = lambda w: of.get(w, last - 1)
+    for i in tok:
+        if not out[i]:
+            for a, b in zip([b"\n", *tok[i]], tok[i], strict=False):
+                grid[of[a], of[b]] += 1
+    model = lm_score.ClassModel(grid, words, sum(counts.values()), len(counts))
+    got = {r["doc_id"]: r for r in lm_score.scores(docs).collect()}
+    for i, w in tok.items():
+        want = sum(model.transition[cls(a), cls(b)] + math.log10(counts[b] + d) - model.log_class[cls(b)] for a, b in zip([b"\n", *w], w, strict=False))
+        assert got[i]["score"] == pytest.approx(want)
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(w), sum(x in counts for x in w))
+
+
 def test_words_beyond_the_context_join_their_likes(spark, monkeypatch):
     """With few context words, words that follow the same ones get the same class, whatever their names."""
     monkeypatch.setattr(lm_score, "CONTEXT", 4)
